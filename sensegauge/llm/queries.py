@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensegauge.llm import decontaminate, licenses, quality, toxicity
+from sensegauge.llm import decontaminate, licenses, ngram_join, quality, toxicity
 from sensegauge.llm.shared import table
 
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("leaks", F.expr("array_join(transform(array_sort(leaks), s -> concat(s.item_id, ':', s.covered, '/', s.item_words)), ',')"))
@@ -32,5 +36,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_decontaminate, op9_licenses, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_join, op7_decontaminate, op9_licenses, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

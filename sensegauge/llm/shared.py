@@ -32,3 +32,19 @@ def blocks(texts: DataFrame, key: str, text: str, chars: int) -> list[list]:
     n = max(1, math.ceil(total / chars))
     block = F.pmod(F.xxhash64(key, text), F.lit(n))
     return [(texts.where(block == i) if n > 1 else texts).select(key, text) for i in range(n)]
+
+
+#: Keys that are broadcast at most; a longer list is joined by shuffle.
+FEW = 1_000_000
+
+
+def few(keys: DataFrame, most: int = FEW) -> bool:
+    """Whether keys (written already, so that counting is cheap) may be broadcast."""
+    return keys.limit(most + 1).count() <= most
+
+
+def restrict(rows: DataFrame, keys: DataFrame, key: str, without: bool = False) -> DataFrame:
+    """The rows whose key is in keys; or those whose key is not, among them rows without key."""
+    keys = cut(keys)
+    keys = F.broadcast(keys) if few(keys) else keys
+    return rows.join(keys, key, "left_anti" if without else "left_semi")
