@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensegauge.llm import decontaminate, licenses, ngram_join, quality, toxicity
+from sensegauge.llm import decontaminate, licenses, ngram_join, quality, secrets, toxicity, url_filters
 from sensegauge.llm.shared import table
 
 
@@ -22,6 +22,82 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+#: Dated entries of a list of hosts and paths: key, action, since.
+URL_LIST = (
+    ("spam-farm.example.com", "block", "2024-01-10"),
+    ("spam-farm.example.com", "lift", "2024-06-01"),
+    ("spam-farm.example.com", "block", "2024-09-15"),
+    ("cheap-pills.example.com", "block", "2024-02-01"),
+    ("casino-win.example.com", "block", "2024-03-20"),
+    ("m.casino-win.example.com", "allow", "2024-05-05"),
+    ("m.casino-win.example.com", "lift", "2024-10-05"),
+    ("free-bets.example.com", "block", "2024-01-01"),
+    ("free-bets.example.com/de", "allow", "2024-04-01"),
+    ("ads-track.example.com", "block", "2024-07-01"),
+    ("ads-track.example.com", "allow", "2024-11-11"),
+    ("example.net", "block", "2024-08-01"),
+    ("example.net", "lift", "2024-08-15"),
+    ("blog.tionsh.example.net", "allow", "2024-08-05"),
+    ("example.org", "allow", "2024-01-01"),
+)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no fetch time: a page counts as fetched on the day of 2024 that its id gives."""
+    entries = spark.createDataFrame(URL_LIST, "key string, action string, since string").withColumn("since", F.to_date("since"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
+    return url_filters.judge(pages, entries).select("page_id", "host", "fetched", "verdict", "rule", "since")
+
+
+OP4_SQL = f"""
+WITH list(key, action, since) AS (VALUES {", ".join(f"('{k}', '{a}', DATE '{d}')" for k, a, d in URL_LIST)}),
+spans AS (SELECT key, action, since, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM list),
+captures AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
+    lower(regexp_extract(url, '{url_filters.HOST}', 1)) AS host, lower(regexp_extract(url, '{url_filters.SEGMENT}', 1)) AS seg FROM pages),
+asked AS (
+  SELECT page_id, fetched, 0 AS rank, host || '/' || seg AS key FROM captures WHERE host <> ''
+  UNION ALL
+  SELECT page_id, fetched, i AS rank, array_to_string(string_split(host, '.')[i:], '.') AS key
+  FROM (SELECT *, unnest(range(1, 1 + greatest(len(string_split(host, '.')) - 1, 1))) AS i FROM captures WHERE host <> '')),
+best AS (
+  SELECT page_id, arg_min(action, rank) AS action, arg_min(asked.key, rank) AS rule, arg_min(since, rank) AS since
+  FROM asked JOIN spans ON asked.key = spans.key AND since <= fetched AND (until IS NULL OR fetched < until) AND action <> 'lift' GROUP BY page_id)
+SELECT c.page_id, host, fetched, coalesce(action, 'none') AS verdict, rule, since FROM captures c LEFT JOIN best b ON c.page_id = b.page_id
+"""
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["ord"] < sum(r.base for r in secrets.RULES))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+def _op6_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    parts = [
+        f"""SELECT doc_id, rn, {i} AS ord, '{r.kind}' AS kind, ms, vs, ps, {r.least} AS least FROM (SELECT doc_id, rn, regexp_extract_all(t, '{quoted(r.pattern)}') AS ms,
+        regexp_extract_all(t, '{quoted(r.pattern)}', {r.group}) AS vs, string_split_regex(t, '{quoted(r.pattern)}') AS ps FROM docs WHERE regexp_matches(t, '{quoted(r.pattern)}'))"""
+        for i, r in enumerate(secrets.RULES)
+    ]
+    n_base = sum(r.base for r in secrets.RULES)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rn FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+each AS (SELECT rn, ord, kind, ms, vs, ps, least, unnest(range(1, len(ms) + 1)) AS i FROM found),
+spans AS (
+  SELECT rn, ord, kind, length(ms[i]) AS n, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS start
+  FROM each WHERE length(vs[i]) >= least),
+texts AS (SELECT rn, ord, kind, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT) AS s FROM spans),
+sums AS (
+  SELECT rn, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(s, ',' ORDER BY start, ord) FILTER (ord < {n_base}) AS base, string_agg(s, ',' ORDER BY start, ord) AS spans FROM texts GROUP BY rn)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN sums USING (rn)
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("leaks", F.expr("array_join(transform(array_sort(leaks), s -> concat(s.item_id, ':', s.covered, '/', s.item_words)), ',')"))
@@ -36,5 +112,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_join, op7_decontaminate, op9_licenses, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_join, op4_url_filters, op6_secrets, op7_decontaminate, op9_licenses, op10_quality_rules)}
+ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op6_secrets": _op6_sql()}
