@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 BLOCK = 1 << 17
@@ -185,3 +186,7 @@ def bit_table(table: np.ndarray) -> np.ndarray:
     bits = np.zeros(n, bool)
     bits[(table & _U(n - 1)).astype(np.int64)] = True
     return bits
+
+
+def with_field(schema: T.StructType, ddl: str) -> T.StructType:
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensegauge.llm import decontaminate, licenses, ngram_join, quality, secrets, toxicity, url_filters
+from sensegauge.llm import decontaminate, licenses, line_dedup, ngram_join, pieces, quality, secrets, token_counts, toxicity, url_filters
 from sensegauge.llm.shared import table
 
 
@@ -18,6 +18,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -74,6 +79,23 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no edits: each document gets a replacement, a removal and an insertion at places its length gives."""
+    sent = token_counts.ship(spark, token_counts.read_ranks())
+    docs = token_counts.build(table(spark, sf_dir, "documents").select("doc_id", "text"), sent)
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edits = [(F.floor(n / 3), F.floor(n / 3) + 12, F.concat(F.lit(" edited "), F.col("doc_id").cast("string"))), (F.floor(n / 2), F.floor(n / 2) + 40, F.lit("")), (F.floor(2 * n / 3), F.floor(2 * n / 3), F.lit("\n\nAdded line.\n"))]
+    listed = F.array(*(F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), t.alias("replacement")) for a, b, t in edits))
+    counted = token_counts.edit(docs.withColumn("edits", listed), sent)
+    return counted.select("doc_id", "n_before", "n_tokens", "n_chars", "n_edits", F.size("tree").cast("long").alias("n_segments"), "encoded", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = pieces.ship(spark, pieces.Vocabulary.read())
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sent), sent)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")).alias("round_trip"), "ids")
+
+
 def _op6_sql() -> str:
     quoted = lambda p: p.replace("'", "''")
     parts = [
@@ -112,5 +134,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_join, op4_url_filters, op6_secrets, op7_decontaminate, op9_licenses, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_ngram_join, op4_url_filters, op5_token_counts, op6_secrets, op7_decontaminate, op8_sentencepiece, op9_licenses, op10_quality_rules)}
 ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op6_secrets": _op6_sql()}
