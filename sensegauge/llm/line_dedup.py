@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensegauge.llm.kernels import _POWERS, bit_table, map_slices, member, mix
-from sensegauge.llm.shared import cut, few
+from sensegauge.llm.shared import cut
 
 NEAR_CHARS = 20
 #: Segments of the first and of the second blocking.
 HALVES, PARTS = 2, 16
-#: Shared keys, and lines that go, that are broadcast at most; beyond, joins are by shuffle.
-MAX_SHARED, MAX_GONE = 1 << 22, 200_000
+#: Shared keys that are broadcast at most; more are broadcast in blocks, with a pass for each.
+MAX_SHARED = 1 << 22
 BLOCK = 1 << 17
 _U = np.uint64
 #: A line of these only is without a word.
@@ -224,7 +224,7 @@ def gone_lines(docs: DataFrame) -> DataFrame:
     lines = _all_lines(docs, kind)
     again = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "first")
     why = cut(again.join(_near(docs, kind).withColumn("near", F.lit(True)), ["h1", "h2"], "full"))
-    met = lines.join(F.broadcast(why) if few(why, MAX_GONE) else why, ["h1", "h2"])
+    met = lines.join(why, ["h1", "h2"])
     later = F.coalesce(F.struct("doc_id", "line") > F.col("first"), F.lit(False))
     return met.where(later | F.col("near")).select("doc_id", "line", (~later).alias("near")).distinct()
 
@@ -233,10 +233,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text that stays, and n_lines (lines with a word before), n_exact, n_near (lines that went)."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("rest"))
-    gone = cut(gone_lines(docs))
+    gone = gone_lines(docs)
     # as many numbers as the document has lines, at most
     by_doc = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
-    met = packed.join(F.broadcast(by_doc) if few(gone, MAX_GONE) else by_doc, "doc_id", "left")
+    met = packed.join(by_doc, "doc_id", "left")
     split = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
