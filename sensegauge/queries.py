@@ -312,7 +312,7 @@ def cohort_summary(spark, sf_dir):
 
 
 @query(_LAST + """
-SELECT cohort, event_type, round(m.mean, 6) AS mean, m.mean = max(m.mean) OVER (PARTITION BY event_type) AS is_high, m.mean = min(m.mean) OVER (PARTITION BY event_type) AS is_low FROM means m
+SELECT cohort, event_type, round(m.mean, 6) AS mean, round(m.mean, 9) = round(max(m.mean) OVER (PARTITION BY event_type), 9) AS is_high, round(m.mean, 9) = round(min(m.mean) OVER (PARTITION BY event_type), 9) AS is_low FROM means m
 """)
 def best_in_column(spark, sf_dir):
     from pyspark.sql import Window
@@ -337,7 +337,7 @@ def _report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 rows AS (SELECT row_name, 'pearson_corr' AS col_name, avg(value) AS mean, stddev_samp(value) AS stdev, count(*) AS n_runs FROM cells WHERE row_name IS NOT NULL GROUP BY ALL
   UNION ALL SELECT row_name, 'rmse', avg(abs(value - 50)), stddev_samp(abs(value - 50)), count(*) FROM cells WHERE row_name IS NOT NULL GROUP BY ALL)
 SELECT dense_rank() OVER (ORDER BY CASE row_name WHEN 'Trained model' THEN 1 WHEN 'Trained model (augmented)' THEN 2 ELSE 0 END, row_name) + CASE WHEN row_name LIKE 'Trained%' THEN 1 ELSE 0 END AS row_idx,
-  row_name, col_name, round(mean, 6) AS mean, round(stdev, 6) AS stdev, n_runs, CASE WHEN col_name = 'rmse' THEN mean = min(mean) OVER (PARTITION BY col_name) ELSE mean = max(mean) OVER (PARTITION BY col_name) END AS is_best FROM rows
+  row_name, col_name, round(r.mean, 6) AS mean, round(r.stdev, 6) AS stdev, n_runs, CASE WHEN col_name = 'rmse' THEN round(r.mean, 9) = round(min(r.mean) OVER (PARTITION BY col_name), 9) ELSE round(r.mean, 9) = round(max(r.mean) OVER (PARTITION BY col_name), 9) END AS is_best FROM rows r
 """)
 def report_layout(spark, sf_dir):
     """The correlation report on stand-in runs: rows in order, mean and deviation, best of each column."""

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-PAIRS = T.StructType.fromDDL("pair_id bigint, config string, split string, original string, simplification string, label double")
-SCORES = T.StructType.fromDDL("pair_id bigint, split string, metric string, score double, label double")
-RUNS = T.StructType.fromDDL("run_id string, state string, augmented boolean, epochs int, variant string")
-METRIC_LOG = T.StructType.fromDDL("run_id string, step bigint, key string, value double")
-ARTIFACTS = T.StructType.fromDDL("run_id string, step bigint, key string, value string")
+_TYPES = {"bigint": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
+
+
+def _schema(ddl: str) -> T.StructType:
+    """Without a session, which Spark's own parser of such strings asks for."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+PAIRS = _schema("pair_id bigint, config string, split string, original string, simplification string, label double")
+SCORES = _schema("pair_id bigint, split string, metric string, score double, label double")
+RUNS = _schema("run_id string, state string, augmented boolean, epochs int, variant string")
+METRIC_LOG = _schema("run_id string, step bigint, key string, value double")
+ARTIFACTS = _schema("run_id string, step bigint, key string, value string")
 
 #: Names of the dataset's configurations and splits.
 CONFIGS = ("meaning_with_data_augmentation", "meaning", "meaning_holdout_identical", "meaning_holdout_unrelated")
