@@ -3,14 +3,18 @@
 A document's set holds its distinct windows of ``k`` words (all its words as one, if they are fewer). Documents link
 when 100 * intersection >= percent * union. Exact, by these steps:
 
-1. Equal sets are one *unit*. Of a set of n the *prefix* is the first n - ceil(percent * n / 100) + 1 windows in a
-   fixed order (rare before frequent, then by hash); sets that link have a window of their prefixes in common.
-2. Units with the same prefix and size are one *group*; its smallest unit leads it. Only leaders are posted, under
-   their prefix windows and size bands.
-3. Among the groups under one posting the smallest is the hub. Leaders are verified against hubs, members against their
-   leaders: linear in the postings, however large a group of near copies is.
-4. Where units under one posting are in different components still, pairs of them are expanded and verified, unless
-   the triangle inequality (1 - Jaccard is a metric) excludes a link by their distances to the hub.
+1. Equal sets are one *unit*. Windows are ordered by hash. Of a set of n the *prefix* is its first 2 * (1 - t) * n + 2
+   windows, t = percent / 100. In the ordered union of two sets that link fewer than one in two of the first windows
+   are in one set only, so that two neighbours in the prefixes of both are the same: pairs of neighbours are the keys.
+   Unlike single windows they hardly ever meet by a common phrase or passage, so no frequencies are needed.
+2. Units with the same prefix and size are one *group*; its smallest unit leads it. Groups are posted under their keys,
+   and under size bands too where a key has many.
+3. Each group is verified against one hub of a posting that it is under, by size and by parity bitmap first (a set's
+   windows hashed to 1024 bits; bits that differ bound the difference from below), then by the sets; members against
+   their leaders. That is linear in the groups, and makes one component of most of a large group of near copies. A few
+   rounds with other hubs follow for what is in different components still.
+4. Of postings with several components left, pairs of units of different ones are expanded and verified, by size and
+   bitmap first. Pairs under postings of many groups are made and tested by the bitmaps in one step, not kept.
 
 So every link between different components is found, and links within a component are not spelled out.
 
@@ -26,16 +30,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensegauge.llm.components import components
 from sensegauge.llm.kernels import TEXT_LOWER, Words, bit_table, map_slices, member, mix, text_bytes, windows
-from sensegauge.llm.shared import cut, restrict
+from sensegauge.llm.shared import cut, few, restrict
 
-#: A window in more prefixes than this counts as frequent; doubled until the frequent ones are MAX_FREQUENT at most.
-FREQUENT = 64
-MAX_FREQUENT = 1 << 20
+#: Keys that several documents have are broadcast if they are so many at most, and joined by shuffle otherwise.
+MAX_SHARED = 1 << 22
+#: Rounds of hubs, and the share of keys (one in so many, by hash) that hubs are taken from.
+ROUNDS, HUB_KEYS = 2, 8
+#: Groups under one key from which on these are dealt to size bands, and units from which on pairs carry bitmaps.
+BANDED, CROWDED = 8, 32
+#: Units in a block of a crowd.
+BLOCK = 1000
+BITMAP = 16
 
 
 @dataclass(frozen=True)
@@ -43,8 +53,12 @@ class Rule:
     k: int
     percent: int
 
+    def __post_init__(self) -> None:
+        if not 75 <= self.percent <= 100:
+            raise ValueError("percent must be 75 to 100")  # neighbours need not meet below
+
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        return n + (-self.percent * n) // 100 + 1
+        return 2 * (100 - self.percent) * n // 100 + 2
 
 
 class Sets:
@@ -82,15 +96,24 @@ class Sets:
         raw = np.stack([a, b], 1).astype(">u8").tobytes()
         return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((np.arange(len(a) + 1) * 16).astype(np.int32).tobytes()), pa.py_buffer(raw)])
 
-    def prefixes(self, rule: Rule, frequent: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and rows of the prefixes."""
-        late = np.zeros(len(self.codes), bool)
-        late[member(self.codes, frequent, bits)] = True
-        order = np.lexsort((self.codes, late, self.rows)) if late.any() else np.arange(len(self.codes))
-        rows = self.rows[order]
-        rank = np.arange(len(rows)) - self.ptr[rows]
-        use = rank < rule.prefix(self.n)[rows]
-        return self.codes[order][use], rows[use]
+    def bitmaps(self) -> np.ndarray:
+        """For each row BITMAP words of 64 bits: the parity of its windows by bit."""
+        out = np.zeros(len(self.n) * BITMAP, np.uint64)
+        place = self.rows * BITMAP + (self.codes & np.uint64(BITMAP - 1)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        bit = np.uint64(1) << ((self.codes[order] >> np.uint64(8)) & np.uint64(63))
+        some, at = np.unique(place[order], return_index=True)
+        if len(some):
+            out[some] = np.bitwise_xor.reduceat(bit, at)
+        return out
+
+    def prefixes(self, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and rows of the prefixes; keys (pairs of neighbours in them) and their rows."""
+        rank = np.arange(len(self.rows)) - self.ptr[self.rows]
+        use = rank < rule.prefix(self.n)[self.rows]
+        codes, rows = self.codes[use], self.rows[use]
+        pair = rows[1:] == rows[:-1]
+        return codes, rows, mix(codes[:-1] * np.uint64(0x9FB21C651E98DF25) + codes[1:])[pair], rows[1:][pair]
 
 
 def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
@@ -98,40 +121,44 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _prefixes(docs: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _shared(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Keys of more than one row."""
 
     def make():
-        late = sent.value
-        bits = bit_table(late)
+        def of(part: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(Sets(part.column("text"), rule.k).prefixes(rule)[2].view(np.int64))], ["w"])
+
+        return of
+
+    return cut(map_slices(docs.select("text"), make, "w long").groupBy("w").count().where("count > 1").select("w"))
+
+
+def _rows(docs: DataFrame, rule: Rule, shared: DataFrame) -> DataFrame:
+    """doc_id, n, unit, grp, bits, and keys that are shared. Shared keys are broadcast only if few; else all keys are
+    returned, and postings are joined with the shared ones."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("w").to_numpy().astype(np.int64).view(np.uint64))) if few(shared, MAX_SHARED) else None
+
+    def make():
+        table = sent.value if sent else None
+        bits = bit_table(table) if sent else None
 
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
-            sets = Sets(part.column("text"), rule.k)
-            codes, rows = sets.prefixes(rule, late, bits)
+            sets, n = Sets(part.column("text"), rule.k), part.num_rows
+            codes, rows, keys, key_rows = sets.prefixes(rule)
             group = mix(sets.sums(mix(codes), rows) + mix(sets.n.astype(np.uint64)))
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n), sets.fingerprints(), pa.array(group.view(np.int64)), _lists(codes, rows, part.num_rows)], ["doc_id", "n", "unit", "grp", "prefix"])
+            at = member(keys, table, bits) if sent else np.arange(len(keys))
+            bitmaps = _lists(sets.bitmaps(), np.repeat(np.arange(n), BITMAP), n)
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n), sets.fingerprints(), pa.array(group.view(np.int64)), bitmaps, _lists(keys[at], key_rows[at], n)], ["doc_id", "n", "unit", "grp", "bits", "keys"])
 
         return of
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, n long, unit binary, grp long, prefix array<long>")
-
-
-def _frequent(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """Windows that stand in the hash-ordered prefixes of more than FREQUENT documents; any set of windows would be valid."""
-    none = np.zeros(0, np.uint64)
-    counts = _prefixes(docs, rule, none).select(F.explode("prefix").alias("w")).groupBy("w").count().where(F.col("count") > FREQUENT)
-    counts = cut(counts)
-    least, n = FREQUENT, counts.count()
-    while n > MAX_FREQUENT:
-        least *= 2
-        n = counts.where(F.col("count") > least).count()
-    found = counts.where(F.col("count") > least).select("w").toArrow().column("w").to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
-    return np.sort(found.view(np.uint64))
+    return cut(map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, n long, unit binary, grp long, bits array<long>, keys array<long>"))
 
 
-def _codes(docs: DataFrame, rule: Rule, ids: DataFrame) -> DataFrame:
-    """unit, codes (the sorted set as bytes) of the documents in ids."""
+def _codes(docs: DataFrame, rule: Rule, units: DataFrame) -> DataFrame:
+    """unit, codes (the sorted set as bytes) of units (unit, doc_id), once each."""
 
     def make():
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -142,7 +169,9 @@ def _codes(docs: DataFrame, rule: Rule, ids: DataFrame) -> DataFrame:
 
         return of
 
-    return map_slices(restrict(docs.select("doc_id", "text"), ids, "doc_id"), make, "unit binary, codes binary")
+    found = cut(map_slices(restrict(docs.select("doc_id", "text"), units.select("doc_id").distinct(), "doc_id"), make, "unit binary, codes binary"))
+    # more than one row a unit only where rows share a doc_id
+    return found if found.count() == units.count() else found.dropDuplicates(["unit"])
 
 
 def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
@@ -164,77 +193,124 @@ def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     return full.select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a binary, b binary, both long, either long")
 
 
+def _can_link(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent: int) -> Column:
+    """Whether two sets can link by their sizes and bitmaps."""
+    differ = sum((F.bit_count(F.get(bits_a, i).bitwiseXOR(F.get(bits_b, i))) for i in range(BITMAP)), F.lit(0))
+    both = F.least(F.floor((n_a + n_b - differ) / 2), n_a, n_b)
+    return _can_size(n_a, n_b, percent) & (both * 100 >= (n_a + n_b - both) * percent)
+
+
+def _can_size(n_a: Column, n_b: Column, percent: int) -> Column:
+    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for each row of docs."""
     rule = Rule(k, percent)
-    sized = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
-    far = 1 - percent / 100 + 1e-9
-    rows = cut(_prefixes(docs, rule, _frequent(docs, rule)))
-    units = rows.where("n > 0").groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"))
-    units = cut(units)
-    groups = units.groupBy("grp").agg(F.min("unit").alias("leader"), F.count("*").alias("units"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-
-    # postings of windows that two groups have, in two size bands each: sets that link are in neighbouring bands
-    posted = groups.select("grp", "n", F.explode("prefix").alias("w"))
-    shared = posted.groupBy("w").count().where("count > 1").select("w")
-    band = F.floor(F.log(F.col("n")) / -math.log(percent / 100)).cast("int")
-    posted = posted.join(shared, "w").select("grp", "n", "w", F.explode(F.array(band, band + 1)).alias("band"))
-    several = groups.where("units > 1").select("grp", "n", F.col("grp").alias("w"), F.lit(-1).alias("band"))
+    shared = _shared(docs, rule)
+    rows = _rows(docs, rule, shared)
+    full = rows.where("n > 0")
+
+    # postings (w, band, grp); members of a group have the same keys; groups of several units are postings of their own
+    groups = full.where(F.size("keys") > 0).select("grp", "n", "keys").dropDuplicates(["grp"])
+    posted = groups.select(F.explode("keys").alias("w"), "grp", "n")
+    if not few(shared, MAX_SHARED):
+        posted = posted.join(shared, "w", "left_semi")
+    posted = cut(posted.distinct())
+    band = F.floor(F.log(F.col("n")) / -math.log(percent / 100 - 1e-9)).cast("int")
+    posted = posted.join(posted.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"), "w")
+    posted = posted.select("w", "grp", F.explode(F.when(F.col("c") >= BANDED, F.array(band, band + 1)).otherwise(F.array(F.lit(-2)))).alias("band"))
+    several = full.groupBy("grp").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u <> v").select(F.col("grp").alias("w"), "grp", F.lit(-1).alias("band"))
     posted = cut(posted.unionByName(several))
-    hubs = posted.groupBy("w", "band").agg(F.min("grp").alias("hub"), F.count("*").alias("c")).where("c > 1 or band = -1").select("w", "band", "hub")
-    posted = posted.join(hubs, ["w", "band"])
-    involved = cut(posted.select("grp").union(posted.select(F.col("hub").alias("grp"))).distinct())
-    near = cut(units.select("unit", "doc_id", "n", "grp").join(involved, "grp"))
-    if near.isEmpty():
-        return _result(rows, units, None)
-    leaders = near.groupBy("grp").agg(F.min("unit").alias("leader"), F.first("n").alias("n"))
-    codes = cut(_codes(docs, rule, near.select("doc_id").distinct()).dropDuplicates(["unit"]))
-
-    # stars: leaders with hubs, members with leaders
-    sides = lambda side: leaders.select(F.col("grp").alias(side), F.col("leader").alias(f"{side}_unit"), F.col("n").alias(f"{side}_n"))
-    stars = posted.where("grp <> hub").select("grp", "hub").distinct().join(sides("grp"), "grp").join(sides("hub"), "hub").where(sized(F.col("grp_n"), F.col("hub_n")))
-    inner = near.join(leaders.select("grp", "leader"), "grp").where("unit <> leader")
-    pairs = stars.select(F.col("grp_unit").alias("a"), F.col("hub_unit").alias("b")).unionByName(inner.select(F.col("unit").alias("a"), F.col("leader").alias("b"))).distinct()
-    known = cut(_verify(pairs, codes))
-    linked = F.col("both") * 100 >= F.col("either") * percent
-    links = known.where(linked).select("a", "b")
-    roots = cut(components(links))
-
-    # pairs under one posting in different components
-    placed = near.join(roots, F.col("unit") == F.col("node"), "left").select("unit", "n", "grp", F.coalesce("root", "unit").alias("root"))
-    under = cut(posted.select("w", "band", "grp", "hub").join(placed, "grp"))
-    mixed = under.groupBy("w", "band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("w", "band")
-    under = under.join(mixed, ["w", "band"])
-    apart = known.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-    lead = leaders.select("grp", "leader")
-    under = (
-        under.join(lead, "grp").join(lead.select(F.col("grp").alias("hub"), F.col("leader").alias("hub_unit")), "hub")
-        .join(apart.select(F.col("a").alias("unit"), F.col("b").alias("leader"), F.col("d").alias("d_own")), ["unit", "leader"], "left")
-        .join(apart.select(F.col("a").alias("leader"), F.col("b").alias("hub_unit"), F.col("d").alias("d_hub")), ["leader", "hub_unit"], "left")
-        .join(placed.select(F.col("unit").alias("hub_unit"), F.col("root").alias("hub_root")), "hub_unit")
-    )
-    own = F.when(F.col("unit") == F.col("leader"), F.lit(0.0)).otherwise(F.coalesce("d_own", F.lit(1.0)))
-    hub = F.when(F.col("leader") == F.col("hub_unit"), F.lit(0.0)).otherwise(F.col("d_hub"))
-    under = cut(under.select("w", "band", "unit", "n", "root", (F.col("root") == F.col("hub_root")).alias("at_hub"), F.coalesce(hub - own, F.lit(0.0)).alias("lo"), F.coalesce(hub + own, F.lit(1.0)).alias("hi")))
-    x, y = under.where("not at_hub").alias("x"), under.alias("y")
-    more = x.join(y, ["w", "band"]).where(
-        (F.col("x.root") != F.col("y.root")) & (F.col("y.at_hub") | (F.col("x.unit") < F.col("y.unit"))) & sized(F.col("x.n"), F.col("y.n"))
-        & (F.col("x.lo") - F.col("y.hi") <= far) & (F.col("y.lo") - F.col("x.hi") <= far)
-    ).select(F.col("x.unit").alias("a"), F.col("y.unit").alias("b")).distinct()
-    late = cut(_verify(more, codes).where(linked).select("a", "b"))
-    if not late.isEmpty():
-        roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
-    return _result(rows, units, roots)
-
-
-def _result(rows: DataFrame, units: DataFrame, roots: DataFrame | None) -> DataFrame:
+    near = full.select("unit", "doc_id", "n", "grp", "bits").join(posted.select("grp").distinct(), "grp", "left_semi")
+    near = near.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits"))
+    near = cut(near.join(near.groupBy("grp").agg(F.min("unit").alias("leader")), "grp"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        side = lambda c: near.select(F.col("unit").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return cut(both.where(_can_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), percent)).select("a", "b"))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        units = near.join(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct(), "unit", "left_semi")
+        return cut(_verify(pairs, _codes(docs, rule, units)).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
+
+    def place(roots: DataFrame | None) -> DataFrame:
+        """unit, grp, leader, n, root, and c (a hash of root, to compare by)."""
+        own = near.select("unit", "grp", "leader", "n")
+        own = own.withColumn("root", F.col("unit")) if roots is None else own.join(roots, F.col("unit") == F.col("node"), "left").select("unit", "grp", "leader", "n", F.coalesce("root", "unit").alias("root"))
+        return own.withColumn("c", F.xxhash64("root"))
+
+    placed, roots, tried = place(None), None, None
+    some = posted.where(F.pmod("w", F.lit(HUB_KEYS)) == 0).join(near.groupBy("grp").agg(F.first("leader").alias("leader")), "grp")
+    for turn in range(ROUNDS):
+        at = some.join(placed.where("unit = leader").select("grp", "c"), "grp").withColumn("o", F.xxhash64("grp", F.lit(turn)))
+        hubs = at.groupBy("w", "band").agg(F.min(F.struct("o", "leader", "c")).alias("hub"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("w", "band", "hub")
+        stars = at.join(hubs, ["w", "band"]).where("c <> hub.c").groupBy("leader").agg(F.min("hub").alias("hub")).select(F.col("leader").alias("a"), F.col("hub.leader").alias("b"))
+        pairs = stars.unionByName(near.where("unit <> leader").select(F.col("unit").alias("a"), F.col("leader").alias("b"))) if turn == 0 else stars
+        pairs = possible(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = links_of(pairs) if not pairs.isEmpty() else None
+        if links is None or links.isEmpty():
+            break
+        roots = cut(components(_with(links, roots)))
+        placed = cut(place(roots))
+
+    # postings with several components, and all pairs of these under them
+    under = posted.join(placed.select("grp", "unit", "n", "c"), "grp")
+    mixed = under.groupBy("w", "band").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("units"), F.min_by("c", "unit").alias("hub")).where("x <> y")
+    under = cut(under.join(mixed.select("w", "band", "units", "hub"), ["w", "band"]).select("w", "band", "unit", "n", "c", "units", (F.col("c") == F.col("hub")).alias("main")))
+
+    def pairs_of(rows: DataFrame, test) -> DataFrame:
+        x, y = rows.where("not main").alias("x"), rows.alias("y")
+        same = (F.col("x.w") == F.col("y.w")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.main") | (F.col("x.unit") < F.col("y.unit")))
+        return x.join(y, same & test).select(F.greatest("x.unit", "y.unit").alias("a"), F.least("x.unit", "y.unit").alias("b")).distinct()
+
+    by_size = pairs_of(under.where(F.col("units") <= CROWDED), _can_size(F.col("x.n"), F.col("y.n"), percent))
+    by_bits = _crowds(under.where(F.col("units") > CROWDED), near, percent)
+    before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = possible(by_size.unionByName(by_bits).distinct().join(before, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        roots = components(_with(links_of(more), roots))
+    return _result(rows, roots)
+
+
+def _crowds(under: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can link of the units under crowded postings. Near copies share many of these, so units that
+    postings join are one crowd, in which each pair is tested once for a size band. The largest component in a crowd is
+    not paired with itself; crowds are cut to blocks, and a task has two of them."""
+    under = cut(under.select("w", "band", "unit", "n", "c"))
+    if under.isEmpty():
+        return under.select(F.col("unit").alias("a"), F.col("unit").alias("b"))
+    hubs = under.groupBy("w", "band").agg(F.min("unit").alias("hub"))
+    crowds = components(under.join(hubs, ["w", "band"]).select(F.col("unit").alias("a"), F.col("hub").alias("b")).where("a <> b"))
+    units = under.select("unit", "n", "c").distinct().join(crowds, F.col("unit") == F.col("node"))
+    band = F.floor(F.log(F.col("n")) / -math.log(percent / 100 - 1e-9)).cast("int")
+    units = units.select("unit", "n", "c", F.explode(F.array(band, band + 1)).alias("size"), F.col("root").alias("crowd"))
+    sizes = units.groupBy("crowd", "size", "c").agg(F.count("*").alias("k")).groupBy("crowd", "size").agg(F.max_by("c", "k").alias("most"), F.sum("k").alias("k"))
+    units = units.join(sizes, ["crowd", "size"]).withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
+    units = cut(units.select("unit", "n", "c", "size", "crowd", "blocks", "own", (F.col("c") == F.col("most")).alias("main")).join(near.select("unit", "bits"), "unit"))
+    spread = lambda rows, mine, other: rows.select("crowd", "size", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
+    x, y = spread(units.where("not main"), "i", "j").alias("x"), spread(units, "j", "i").alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("crowd", "size", "i", "j")]
+    test = (F.col("x.c") != F.col("y.c")) & (F.col("y.main") | (F.col("x.unit") < F.col("y.unit"))) & _can_link(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits"), percent)
+    return x.join(y, same[0] & same[1] & same[2] & same[3] & test).select(F.greatest("x.unit", "y.unit").alias("a"), F.least("x.unit", "y.unit").alias("b")).distinct()
+
+
+def _with(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Links together with those that stand for the components found so far."""
+    return links if roots is None else links.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def _result(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Rows whose set is another row's too, or has a link, get the smallest doc_id of the component; others their own."""
-    own = units.select("unit", F.col("doc_id").alias("least"), "rows")
+    own = rows.where("n > 0").groupBy("unit").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     if roots is None:
-        named = own.where("rows > 1").select("unit", F.col("least").alias("component"))
+        own = own.withColumn("root", F.lit(None).cast("binary"))
     else:
-        own = own.join(roots, F.col("unit") == F.col("node"), "left").where("rows > 1 or root is not null").select("unit", "least", F.coalesce("root", "unit").alias("root"))
-        named = own.join(own.groupBy("root").agg(F.min("least").alias("component")), "root").select("unit", "component")
+        own = own.join(roots, F.col("unit") == F.col("node"), "left")
+    own = own.where("rows > 1 or root is not null").select("unit", "least", F.coalesce("root", "unit").alias("root"))
+    named = own.join(own.groupBy("root").agg(F.min("least").alias("component")), "root").select("unit", "component")
     joined = rows.select("doc_id", "n", "unit").join(named, "unit", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
