@@ -113,7 +113,7 @@ def blocks_of(texts: list[str | None]):
 
 
 def lines_of(parts: list[str]) -> Lines:
-    sizes = np.array([len(p) for p in parts])
+    sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
     return Lines(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), ends - sizes, ends)
 
