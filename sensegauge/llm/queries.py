@@ -92,7 +92,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = pieces.ship(spark, pieces.Vocabulary.read())
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sent), sent)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), sent, decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")).alias("round_trip"), "ids")
 
 
@@ -131,8 +131,58 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
+
+
+OP2_SQL = f"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+every AS (SELECT doc_id, i - 1 AS i, ls[i] AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts)),
+lines AS (SELECT * FROM every WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+firsts AS (SELECT l, min((doc_id, i)) AS at, length(l) AS n FROM lines GROUP BY l),
+near AS (
+  SELECT DISTINCT a.l FROM firsts a JOIN firsts b ON b.n = a.n WHERE a.n >= {line_dedup.NEAR_CHARS} AND b.at < a.at AND a.l <> b.l
+    AND (left(a.l, CAST(a.n // 2 AS BIGINT)) = left(b.l, CAST(a.n // 2 AS BIGINT)) OR right(a.l, CAST(a.n // 2 AS BIGINT)) = right(b.l, CAST(a.n // 2 AS BIGINT))) AND levenshtein(a.l, b.l) <= 1
+  UNION SELECT CASE WHEN b.at < a.at THEN a.l ELSE b.l END FROM firsts a JOIN firsts b ON b.n = a.n + 1 WHERE a.n >= {line_dedup.NEAR_CHARS}
+    AND (left(a.l, CAST(a.n // 2 AS BIGINT)) = left(b.l, CAST(a.n // 2 AS BIGINT)) OR right(a.l, CAST(a.n // 2 AS BIGINT)) = right(b.l, CAST(a.n // 2 AS BIGINT))) AND levenshtein(a.l, b.l) <= 1),
+why AS (SELECT x.doc_id, x.i, (x.doc_id, x.i) > f.at AS again, n.l IS NOT NULL AS near FROM lines x JOIN firsts f USING (l) LEFT JOIN near n USING (l)),
+marked AS (SELECT e.*, coalesce(again, false) AS exact, coalesce(near, false) AND NOT coalesce(again, false) AS near, w.i IS NOT NULL AS has FROM every e LEFT JOIN why w USING (doc_id, i))
+SELECT doc_id, CAST(count(*) FILTER (has) AS BIGINT) AS n_lines, CAST(count(*) FILTER (exact) AS BIGINT) AS n_exact, CAST(count(*) FILTER (near) AS BIGINT) AS n_near,
+  CAST(length(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT exact AND NOT near), '')) AS BIGINT) AS n_chars_kept, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT exact AND NOT near), '')) AS text_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP3_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS hits FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * hits >= 90 * (p.n + q.n - hits)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (SELECT x, y FROM both_ways UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = other),
+least AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
 
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (SELECT rn, i, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS k FROM grams) WHERE k > 1),
+places AS (SELECT rn, count(DISTINCT i) AS n FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY rn),
+counts AS (
+  SELECT d.*, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(regexp_replace(t, '[{quality.SYMBOLS}]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(places.n, 0) AS n_repeat_words FROM d LEFT JOIN places USING (rn)),
+rules AS (
+  SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed,
+    100 * n_symbols > {quality.MAX_SYMBOLS} * n_words OR 100 * (len(ls) - len(list_distinct(ls))) > {quality.MAX_DUP_LINES} * len(ls) AS soft_failed FROM counts),
+hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed OR soft_failed) AS DOUBLE) AS k FROM rules GROUP BY source),
+sums AS (SELECT count(*) AS hosts, sum(n) AS docs, sum(k) / sum(n) AS m, sum(n * n) AS nn, sum(k * k / n) AS kk FROM hosts),
+prior AS (SELECT m, CASE WHEN hosts < 2 OR m <= 0 OR m >= 1 OR b <= 0 THEN docs ELSE least(docs, greatest(1.0, m * (1 - m) / b - 1)) END AS s FROM (SELECT *, (kk - docs * m * m - (hosts - 1) * m * (1 - m)) / (docs - nn / docs) AS b FROM sums)),
+verdicts AS (SELECT source, (k + m * s) / (n + s) AS rate FROM hosts, prior)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND NOT (rate > {quality.MAX_HOST_RATE} AND soft_failed) AS kept, round(rate, 6) AS host_rate FROM rules r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
+"""
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_ngram_join, op4_url_filters, op5_token_counts, op6_secrets, op7_decontaminate, op8_sentencepiece, op9_licenses, op10_quality_rules)}
-ORACLE_SQL = {"op4_url_filters": OP4_SQL, "op6_secrets": _op6_sql()}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op3_ngram_join": OP3_SQL, "op10_quality_rules": OP10_SQL, "op4_url_filters": OP4_SQL, "op6_secrets": _op6_sql()}

@@ -66,3 +66,10 @@ def soft_score(relative: Column, flags: Column) -> Column:
     over that of the likeliest, by place, as the language model gives it."""
     hit = F.aggregate(F.zip_with(relative, flags, lambda p, f: p * f), F.lit(0.0), lambda s, x: s + x)
     return 100 * hit / (F.aggregate(flags, F.lit(0.0), lambda s, x: s + x) + SMOOTH)
+
+
+def relative_probability(logits: Column, labels: Column) -> Column:
+    """By place the probability of the label over that of the likeliest id: exp(logit - largest logit), so that no softmax
+    over the vocabulary is needed. logits: an array by place of arrays by id; labels below 0 give 0."""
+    both = F.arrays_zip(logits.alias("row"), labels.alias("label"))
+    return F.transform(both, lambda x: F.when(x["label"] >= 0, F.exp(F.get(x["row"], x["label"]) - F.array_max(x["row"]))).otherwise(0.0))

@@ -43,3 +43,15 @@ def evaluate(predicted: DataFrame) -> DataFrame:
         tall = row.withColumn("split", F.lit(kind)).unpivot(["split"], [c for c in row.columns], "stat", "value")
         out = tall if out is None else out.unionByName(tall)
     return out
+
+
+def sweep(pairs: DataFrame, holdouts: DataFrame, seeds: Iterable[int], share: float = 0.8, names: Iterable[str] = FEATURES) -> DataFrame:
+    """run_id, split, stat, value: one run for each seed, which gives the split into training and test pairs. Runs follow
+    one another on the driver, as each is a job for the whole cluster."""
+    names, out = list(names), None
+    for seed in seeds:
+        train, test = pairs.randomSplit([share, 1 - share], seed)
+        model = fit(train, names)
+        run = evaluate(predict(model, test.unionByName(holdouts), names)).select(F.lit(f"seed-{seed}").alias("run_id"), "split", "stat", "value")
+        out = run if out is None else out.unionByName(run)
+    return out

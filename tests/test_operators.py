@@ -162,3 +162,30 @@ def test_regression_learns_a_rule(spark):
     p = spark.createDataFrame(rows, "pair_id bigint, split string, original string, simplification string, label double")
     out = {r["stat"]: r["value"] for r in train.evaluate(train.predict(train.fit(p), p)).where("split = 'test'").collect()}
     assert out["pearson_corr"] > 0.95
+
+
+def test_relative_probability(spark):
+    df = spark.createDataFrame([([[0.0, 1.0, 3.0], [2.0, 2.0, 1.0]], [1, -1])], "logits array<array<double>>, labels array<int>")
+    assert df.select(coverage.relative_probability(F.col("logits"), F.col("labels"))).first()[0] == pytest.approx([2.718281828**-2, 0.0])
+
+
+def test_sweep_over_seeds(spark, table):
+    many = table.where("pair_id < 2").crossJoin(spark.range(20)).withColumn("pair_id", F.col("pair_id") * 100 + F.col("id")).drop("id")
+    got = train.sweep(many, pairs.identical(many, "pair_id", "original"), [42, 43])
+    assert {r["run_id"] for r in got.collect()} == {"seed-42", "seed-43"} and got.where("split = 'same_sentence' and stat = 'rmse'").count() == 2
+
+
+def test_command_line(spark, tmp_path):
+    from sensegauge import __main__ as cli
+
+    rows = [(i, "meaning", "test", "the cat sat on the mat", t, 10.0 * i) for i, t in enumerate(("the cat", "a dog", "the cat sat on", "mat"))]
+    rows += [(10, "meaning_holdout_identical", "test", "a b c", "a b c", 100.0), (11, "meaning_holdout_unrelated", "test", "a b c", "x y z", 0.0)]
+    paths = [str(tmp_path / x) for x in ("pairs", "log", "runs", "out")]
+    spark.createDataFrame(rows, PAIRS).write.parquet(paths[0])
+    for seed in ("1", "2"):
+        cli.run(spark, cli.parser().parse_args(["evaluate", *paths[:3], "--run", f"r{seed}", "--seed", seed, "--data-augmentation", "no"]))
+    cli.run(spark, cli.parser().parse_args(["report", *paths[1:], "--count-equals"]))
+    text = "\n".join(r[0] for r in spark.read.text(paths[3] + "/identical").collect())
+    assert "ROUGE-1 & " in text and "ratio\\_equals" in text
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["evaluate", *paths[:3], "--run", "x", "--data-augmentation", "maybe"])
