@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from sensegauge.llm.kernels import ALNUM_LOWER, SLICE_BYTES, Words, bit_table, map_slices, member, mix, text_bytes
 
-MAX_ROWS = 2500
+MAX_ROWS = 1500
 MAX_CHARS = 100_000
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
-STEMS = (3, 4, 5, 6, 7, 8)
+STEMS = (4, 5, 6, 7)
 _PREV, _NEXT = np.uint64(0x51ED270B), np.uint64(0x3C6EF372)
 
 
