@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensegauge.llm.components import components
-from sensegauge.llm.kernels import TEXT_LOWER, Words, bit_table, map_slices, member, mix, text_bytes, windows
+from sensegauge.llm.kernels import TEXT_LOWER, Words, bit_table, map_arrow, map_slices, member, mix, text_bytes, windows
 from sensegauge.llm.shared import cut, few, restrict
 
 #: Keys that several documents have are broadcast if they are so many at most, and joined by shuffle otherwise.
@@ -190,7 +190,7 @@ def _verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
 
     left = pairs.join(codes.select(F.col("unit").alias("a"), F.col("codes").alias("codes_a")), "a")
     full = left.join(codes.select(F.col("unit").alias("b"), F.col("codes").alias("codes_b")), "b")
-    return full.select("a", "b", "codes_a", "codes_b").mapInArrow(run, "a binary, b binary, both long, either long")
+    return map_arrow(full.select("a", "b", "codes_a", "codes_b"), run, "a binary, b binary, both long, either long")
 
 
 def _can_link(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, percent: int) -> Column:
@@ -291,10 +291,36 @@ def _crowds(under: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     units = units.join(sizes, ["crowd", "size"]).withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
     units = cut(units.select("unit", "n", "c", "size", "crowd", "blocks", "own", (F.col("c") == F.col("most")).alias("main")).join(near.select("unit", "bits"), "unit"))
     spread = lambda rows, mine, other: rows.select("crowd", "size", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
-    x, y = spread(units.where("not main"), "i", "j").alias("x"), spread(units, "j", "i").alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("crowd", "size", "i", "j")]
-    test = (F.col("x.c") != F.col("y.c")) & (F.col("y.main") | (F.col("x.unit") < F.col("y.unit"))) & _can_link(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits"), percent)
-    return x.join(y, same[0] & same[1] & same[2] & same[3] & test).select(F.greatest("x.unit", "y.unit").alias("a"), F.least("x.unit", "y.unit").alias("b")).distinct()
+    keys = ["crowd", "size", "i", "j"]
+    x, y = spread(units.where("not main"), "i", "j").groupBy(keys), spread(units, "j", "i").groupBy(keys)
+    return x.cogroup(y).applyInArrow(_tester(percent), "a binary, b binary").distinct()
+
+
+def _tester(percent: int):
+    """For two blocks: pairs of their units, of different components, that can link by sizes and bitmaps."""
+
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[bytes, bytes]] = []
+        if left.num_rows and right.num_rows:
+            units = [t.column("unit").to_pylist() for t in (left, right)]
+            order = np.unique(np.array(units[0] + units[1], dtype="S16"), return_inverse=True)[1]
+            o_x, o_y = order[: left.num_rows], order[left.num_rows :]
+            (n_x, c_x, b_x), (n_y, c_y, b_y) = ((t.column("n").to_numpy(), t.column("c").to_numpy(), t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)) for t in (left, right))
+            main = np.array(right.column("main").to_pylist(), bool)
+            for at in range(0, left.num_rows, 256):
+                part = slice(at, at + 256)
+                differ = np.zeros((len(n_x[part]), len(n_y)), np.int64)
+                for w in range(BITMAP):
+                    differ += np.bitwise_count(b_x[part, None, w] ^ b_y[None, :, w])
+                n, least = n_x[part, None] + n_y[None, :], np.minimum(n_x[part, None], n_y[None, :])
+                both = np.minimum((n - differ) // 2, least)
+                ok = (c_x[part, None] != c_y[None, :]) & (main[None, :] | (o_x[part, None] < o_y[None, :])) & (least * 100 >= (n - least) * percent) & (both * 100 >= (n - both) * percent)
+                for i, j in zip(*(z.tolist() for z in np.nonzero(ok)), strict=True):
+                    p, q = units[0][at + i], units[1][j]
+                    found.append((max(p, q), min(p, q)))
+        return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary())})
+
+    return of
 
 
 def _with(links: DataFrame, roots: DataFrame | None) -> DataFrame:
