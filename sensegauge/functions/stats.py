@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sensegauge.workers import reach
+
 
 def clean(x: Column) -> Column:
     """NaN as null: NaN is above every number in Spark and would pass ``> 95``."""
@@ -94,6 +96,8 @@ def pearson_p(r: float | None, n: int | None) -> float | None:
 def pearson_pvalue(r: Column, n: Column) -> Column:
     """For aggregated rows: correlation and count of pairs."""
 
+    reach()
+
     @F.pandas_udf("double")
     def of(r: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([pearson_p(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from sensegauge.functions import overlap
 from sensegauge.functions.text import fkgl, words
 from sensegauge.functions.vectors import cosine, sigmoid
+from sensegauge.workers import reach
 
 
 class ModelUnavailable(RuntimeError):
@@ -90,6 +91,8 @@ def _lists(pairs: DataFrame, names: list[str]) -> DataFrame:
     schema = T.StructType([*pairs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     functions, kept = [LISTS[n] for n in names], list(pairs.columns)
 
+    reach()
+
     def run(batches):
         for batch in batches:
             both = list(zip(batch.column("_o").to_pylist(), batch.column("_s").to_pylist(), strict=True))
