@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensegauge.llm.kernels import map_arrow
 from sensegauge.llm.shared import cut
 
 
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if edges.count() <= FEW_EDGES:
         kind = edges.schema["a"].dataType.simpleString()
-        return cut(edges.coalesce(1).mapInArrow(_union_find, f"node {kind}, root {kind}"))
+        return cut(map_arrow(edges.coalesce(1), _union_find, f"node {kind}, root {kind}"))
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -6,6 +6,8 @@ bytes without decoding. Work is done in blocks of about ``BLOCK`` bytes, so memo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sensegauge.workers import reach
+
 SLICE_BYTES = 1 << 20
 BLOCK = 1 << 17
 _U = np.uint64
@@ -160,6 +164,31 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
             yield batch.slice(a, b - a)
 
 
+#: Rows of an Arrow batch at most; documents may be long, and a batch is in memory on both sides.
+BATCH_ROWS = 2000
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over small batches; a Python worker that has ended a task gives its free memory back."""
+    rows, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+
+    reach()
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
     """``make()`` runs once in each task and gives the function for its slices."""
 
@@ -169,7 +198,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
             for part in slices(batch, column):
                 yield each(part)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def member(codes: np.ndarray, table: np.ndarray, bits: np.ndarray) -> np.ndarray:

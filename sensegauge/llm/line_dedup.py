@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import _POWERS, bit_table, map_slices, member, mix
+from sensegauge.llm.kernels import _POWERS, bit_table, map_arrow, map_slices, member, mix
 from sensegauge.llm.shared import cut
 
 NEAR_CHARS = 20
@@ -188,7 +188,7 @@ def _near(docs: DataFrame, kind: str) -> DataFrame:
             keys, of, seg = own.keys(PARTS, np.arange(batch.num_rows))
             yield pa.RecordBatch.from_arrays([_ints(keys), batch.column("h1").take(pa.array(of)), batch.column("h2").take(pa.array(of)), pa.array(seg.astype(np.int32))], ["key", "h1", "h2", "seg"])
 
-    keys = lines.select("h1", "h2", "text").mapInArrow(keyed, "key long, h1 long, h2 long, seg int")
+    keys = map_arrow(lines.select("h1", "h2", "text"), keyed, "key long, h1 long, h2 long, seg int")
     # at most 2 * PARTS segments a line
     segs = keys.join(_shared(keys.select("key", "h1")), "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("seg").alias("segs"))
 
@@ -205,7 +205,7 @@ def _near(docs: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([_ints(np.concatenate(codes)), pa.array(np.concatenate(place).astype(np.int32)), *(batch.column(c).take(of) for c in ("h1", "h2", "doc_id", "line"))], ["v", "place", "h1", "h2", "doc_id", "line"])
 
     rows = lines.join(segs, ["h1", "h2"]).select("h1", "h2", "at.doc_id", "at.line", "text", "segs")
-    variants = cut(rows.mapInArrow(spread, f"v long, place int, h1 long, h2 long, doc_id {kind}, line int").withColumn("at", F.struct("doc_id", "line")))
+    variants = cut(map_arrow(rows, spread, f"v long, place int, h1 long, h2 long, doc_id {kind}, line int").withColumn("at", F.struct("doc_id", "line")))
     less = F.col("place") >= 0
     by_text = variants.groupBy("v").agg(F.min(F.when(less, F.col("at"))).alias("first_less"), F.min(F.when(~less, F.col("at"))).alias("first_whole"))
     by_place = variants.where(less).groupBy("v", "place").agg(F.min("at").alias("first_same"))
@@ -230,8 +230,9 @@ def gone_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the text that stays, and n_lines (lines with a word before), n_exact, n_near (lines that went)."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    """docs with the text that stays, and n_lines (lines with a word before), n_exact, n_near (lines that went), in place of
+    columns of these names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_exact", "n_near")]
     packed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("rest"))
     gone = gone_lines(docs)
     # as many numbers as the document has lines, at most
@@ -248,9 +249,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """docs, with their columns, without the lines that go; n_chars follows the text. Documents of which every line with
     a word goes are left out."""
-    done = dedup(docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near"))))
-    done = done.where((F.col("n_lines") == 0) | (F.col("n_lines") > F.col("n_exact") + F.col("n_near")))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_exact") + F.col("n_near") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    same = set(docs.columns) & {"n_lines", "n_exact", "n_near"}
-    return done.select(*docs.columns) if not same else done
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    done = dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")))
+    less = F.col("n_exact") + F.col("n_near")
+    done = done.where((F.col("n_lines") == 0) | (F.col("n_lines") > less))
+    own = {c: F.col("row")[c] for c in others}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(less > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return done.select("doc_id", "text", *(x.alias(c) for c, x in own.items())).select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import slices, with_field
+from sensegauge.llm.kernels import map_arrow, slices, with_field
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are split into pre-tokens.
@@ -163,7 +163,7 @@ def build(docs: DataFrame, sent) -> DataFrame:
             parts = [[(len(s), count(s)) for s in segments(t or "")] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _trees(parts)], [*batch.schema.names, "tree"])
 
-    return docs.mapInArrow(run, with_field(docs.schema, f"tree {TREE}"))
+    return map_arrow(docs, run, with_field(docs.schema, f"tree {TREE}"))
 
 
 def edit(docs: DataFrame, sent) -> DataFrame:
@@ -192,7 +192,7 @@ def edit(docs: DataFrame, sent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(out[5], pa.string()), _trees(out[6])], names)
 
     schema = f"doc_id {kind}, n_before long, n_tokens long, n_chars long, n_edits long, encoded long, text string, tree {TREE}"
-    return docs.select("doc_id", "text", "tree", "edits").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text", "tree", "edits"), run, schema)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sensegauge.llm import components, line_dedup, ngram_join
 
@@ -151,3 +152,5 @@ def test_clean_drops_emptied_documents_only(spark):
     df = spark.createDataFrame([(1, "one line\nanother line", 1), (2, "one line", 1), (3, "", 0), (4, "another line\nnew", 9)], "doc_id long, text string, n_chars int")
     assert sorted(tuple(r) for r in line_dedup.clean(df).collect()) == [(1, "one line\nanother line", 1), (3, "", 0), (4, "new", 3)]
     assert line_dedup.clean(df.where("false")).count() == 0
+    clash = df.withColumns({"n_lines": F.lit("own"), "row": F.lit(5), "rest": F.lit("r")})
+    assert line_dedup.clean(clash).columns == clash.columns and {r["n_lines"] for r in line_dedup.clean(clash).collect()} == {"own"}
