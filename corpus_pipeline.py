@@ -34,7 +34,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids, and whether decoding gives the text back."""
     sent = pieces.ship(spark, pieces.Vocabulary.read())
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "text"), sent), sent)
+    coded = pieces.encode(docs.select("doc_id", "text"), sent, decoded=True)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
 

@@ -10,8 +10,9 @@ encoding is not the path with the best sum. There, a piece may follow another on
 the two again; a text has just one path of such steps, and that is its BPE encoding. So the search has the same form,
 with steps that are allowed or not instead of scores, and gives the library's ids.
 
-Texts hold few different words, so the ids of a word (a run of spaces and what follows it) are remembered, up to a
-bound; no piece goes from a word to the next.
+Where a vocabulary has no piece that goes over two characters, such as a letter and the space or full stop after it, all
+paths meet. Stretches between such places are words here, and as many of them come again, their ids are remembered, up
+to a bound.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded each; other
 columns are ignored; an empty table gives no rows. A U+2581 in a text decodes as a space, as it does with the library.
@@ -20,18 +21,23 @@ columns are ignored; an empty table gives no rows. A U+2581 in a text decodes as
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sensegauge.llm.kernels import slices, with_field
+from sensegauge.llm.kernels import map_arrow, slices, with_field
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and pairs of pieces that are remembered at most.
-WORDS, PAIRS = 400_000, 1_000_000
+WORDS, PAIRS = 400_000, 500_000
+#: Longest word that is remembered, and searched without a window.
+SHORT = 64
+#: Longest stretch of several words that is remembered itself.
+BRIEF = 9
 
 
 class Vocabulary:
@@ -51,21 +57,61 @@ class Vocabulary:
         return cls(pieces, [sp.get_score(i) for i in range(n)], special, {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}, sp.unk_id(), bpe)
 
 
+class Known(dict):
+    """Ids by text: of the last WORDS new texts, and ``again`` of the WORDS before."""
+
+    before: dict[str, bytes] = {}
+
+    def again(self, text: str) -> bytes | None:
+        return self.before.get(text)
+
+    def add(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= SHORT:
+            if len(self) >= WORDS:
+                self.before = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.ids = {p: i for i, p in enumerate(v.pieces) if i not in v.special}
-        self.heads = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: For each character the id of the piece that ends there, if one does, and the next characters likewise.
+        self.trie: dict[str, list] = {}
+        for p, i in self.ids.items():
+            node = [None, self.trie]
+            for char in p:
+                node = node[1].setdefault(char, [None, {}])
+            node[0] = i
         self.longest = max(map(len, self.ids))
         self.floor = min(v.scores) - 10
-        self.words: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
-        #: No piece has a space after another character, so words end before spaces.
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.words, self.tokens = Known(), Known()
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
+        self.word, self.odd = self._words()
+        self.space = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         back = {i: bytes([b]) for b, i in v.bytes.items()}
         self.out = [back.get(i, b"" if i in v.special else p.replace(SPACE, " ").encode()) for i, p in enumerate(v.pieces)]
 
+    def _words(self) -> tuple[re.Pattern | None, re.Pattern | None]:
+        """Splits text where no piece goes on: before a space after something else, and before a sign after what is no
+        sign. Also finds the few pairs of characters that some piece has there nevertheless; texts with these are split
+        at spaces only. None for a vocabulary whose pieces have spaces inside."""
+        before: dict[str, set[str]] = {c: set() for p in self.ids for c in p}
+        for p in self.ids:
+            for x, y in zip(p, p[1:]):
+                before[y].add(x)
+        if before.get(SPACE, set()) - {SPACE}:
+            return None, None
+        signs = {c for c in before if not c.isalnum() and c != SPACE} | set("\n\r\t")
+        while more := {c for c in signs if len(before.get(c, set()) - signs - {SPACE}) > 2}:
+            signs -= more
+        odd = [re.escape(x + c) for c in sorted(signs) for x in before.get(c, set()) - signs - {SPACE}]
+        listed = "".join(map(re.escape, sorted(signs)))
+        return re.compile(f"{SPACE}*[{listed}]*[^{SPACE}{listed}]+|{SPACE}+[{listed}]*|[{listed}]+"), re.compile("|".join(odd)) if odd else None
+
     def merge(self, text: str) -> list[str]:
         """BPE from characters: the pair that makes the piece with the best score first, the leftmost of equal ones."""
         parts = list(text)
@@ -83,18 +129,45 @@ class Codec:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether piece b may stand after piece a."""
-        key = a << 20 | b
-        if (known := self.pairs.get(key)) is None:
-            p, q = self.v.pieces[a], self.v.pieces[b]
-            known = self.merge(p + q) == [p, q]
-            if len(self.pairs) >= PAIRS:
+        own = self.pairs.get(a)
+        known = own.get(b) if own is not None else None
+        if known is None:
+            if self.n_pairs >= PAIRS:
                 self.pairs.clear()
-            self.pairs[key] = known
+                self.n_pairs = 0
+            p, q = self.v.pieces[a], self.v.pieces[b]
+            known = self.pairs.setdefault(a, {})[b] = self.merge(p + q) == [p, q]
+            self.n_pairs += 1
         return known
 
+    def short(self, text: str) -> list[int]:
+        """``search`` for a BPE text of a few characters, which is one window."""
+        n, root, pairs, none = len(text), self.trie, self.pairs, {}
+        # last[j]: id of the piece that ends at j, -1 for an unknown character or the beginning
+        last, back = [-1] * (n + 1), list(range(-1, n))
+        for i in range(n):
+            a, kids, j = last[i], root, i
+            known = pairs.get(a, none)
+            for char in text[i:]:
+                node = kids.get(char)
+                if node is None:
+                    break
+                j += 1
+                piece, kids = node
+                if piece is not None:
+                    if a >= 0 and (ok := known.get(piece)) is not True and (ok is False or not self.follows(a, piece)):
+                        continue
+                    last[j], back[j] = piece, i
+        out, p = [], n
+        while p > 0:
+            out.extend((last[p],) if last[p] >= 0 else reversed(self.unknown(text[back[p] : p])))
+            p = back[p]
+        out.reverse()
+        return out
+
     def search(self, text: str) -> Iterator[int]:
         """Ids of normalised text, as they become final."""
-        ids, heads, n, bpe, scores = self.ids, self.heads, len(text), self.v.bpe, self.v.scores
+        root, n, bpe, scores = self.trie, len(text), self.v.bpe, self.v.scores
         floor = self.floor
         # place: (place before, id or None for an unknown character, score)
         back: dict[int, tuple[int, int | None, float]] = {0: (-1, -1, 0.0)}
@@ -102,9 +175,10 @@ class Codec:
         for i in range(n):
             here = back.get(i)
             if here is not None:
-                last, score, j, single = here[1], here[2], i + 1, False
-                while j <= n and (part := text[i:j]) in heads:
-                    piece = ids.get(part)
+                last, score, j, single, kids = here[1], here[2], i, False, root
+                while j < n and (node := kids.get(text[j])) is not None:
+                    j += 1
+                    piece, kids = node
                     if piece is not None:
                         single |= j == i + 1
                         if bpe:
@@ -112,7 +186,6 @@ class Codec:
                                 back[j] = (i, piece, 0.0)
                         elif (old := back.get(j)) is None or score + scores[piece] > old[2]:
                             back[j] = (i, piece, score + scores[piece])
-                    j += 1
                 if not single and (bpe or (old := back.get(i + 1)) is None or score + floor > old[2]):
                     back[i + 1] = (i, None, score + floor)
             if i + 1 - done >= 4 * self.longest or i + 1 == n:
@@ -135,25 +208,36 @@ class Codec:
     def unknown(self, char: str) -> list[int]:
         return [self.v.bytes[b] for b in char.encode()] if self.v.bytes else [self.v.unknown]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids as 32-bit integers."""
         if not text:
-            return []
-        text = SPACE + text.replace(" ", SPACE)
-        if not self.by_word:
-            return list(self.search(text))
-        words, out = self.words, []
-        for w in self.word.findall(text):
-            found = words.get(w)
-            if found is None:
-                found = list(self.search(w))
-                if len(words) >= WORDS:
-                    words.clear()
-                if len(w) <= 64:
-                    words[w] = found
-            out.append(found)
-        return list(chain.from_iterable(out))
-
-    def decode(self, ids: list[int]) -> str:
+            return b""
+        if self.word is None:
+            return array("i", self.search(SPACE + text.replace(" ", SPACE))).tobytes()
+        if text[0] == " " or "  " in text or SPACE in text:  # runs of spaces are pieces too
+            return self.of_stretch(SPACE + text.replace(" ", SPACE))
+        tokens = text.split(" ")
+        found = list(map(self.tokens.get, tokens))
+        for at in [i for i, ids in enumerate(found) if ids is None]:
+            token = tokens[at]
+            ids = self.tokens.get(token) or self.tokens.again(token)
+            found[at] = self.tokens.add(token, ids) if ids else self.of_stretch(SPACE + token)
+        return b"".join(found)
+
+    def of_stretch(self, text: str) -> bytes:
+        """Ids of the words of a text, which are remembered; those that begin with one space by what follows it."""
+        words = (self.space if self.odd is not None and self.odd.search(text) else self.word).findall(text)
+        out = []
+        for w in words:
+            known, key = (self.tokens, w[1:]) if w[0] == SPACE and len(w) > 1 and w[1] != SPACE else (self.words, w)
+            out.append(known.get(key) or known.add(key, known.again(key) or self.of_word(w)))
+        ids = b"".join(out)
+        return self.tokens.add(text[1:], ids) if len(words) > 1 and text[0] == SPACE and len(text) <= BRIEF else ids
+
+    def of_word(self, word: str) -> bytes:
+        return array("i", self.short(word) if self.v.bpe and len(word) <= SHORT else self.search(word)).tobytes()
+
+    def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -174,19 +258,21 @@ def ship(spark, vocabulary: Vocabulary):
     return spark.sparkContext.broadcast(vocabulary)
 
 
-def encode(docs: DataFrame, sent) -> DataFrame:
-    """docs with ``ids``; sent: a broadcast Vocabulary. docs: doc_id, text, and others that are kept."""
+def encode(docs: DataFrame, sent, decoded: bool = False) -> DataFrame:
+    """docs with ``ids``, and with ``decoded``, the text that these ids give, if asked for. sent: a broadcast Vocabulary.
+    docs: doc_id, text, and others that are kept."""
 
     def run(batches):
         own = codec(sent)
         for part in (p for b in batches for p in slices(b)):
-            flat, offsets = [], [0]
-            for t in part.column("text").to_pylist():
-                flat.extend(own.encode(t or ""))
-                offsets.append(len(flat))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], [*part.schema.names, "ids"])
+            coded = [own.encode(t.as_py() or "") for t in part.column("text")]
+            offsets = np.append(0, np.cumsum([len(c) // 4 for c in coded])).astype(np.int32)
+            columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))]
+            if decoded:
+                columns.append(pa.array([own.decode(memoryview(c).cast("i")) for c in coded], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "ids", *["decoded"] * decoded])
 
-    return docs.mapInArrow(run, with_field(docs.schema, "ids array<int>"))
+    return map_arrow(docs, run, with_field(docs.schema, "ids array<int>, decoded string" if decoded else "ids array<int>"))
 
 
 def decode(encoded: DataFrame, sent) -> DataFrame:
@@ -195,6 +281,7 @@ def decode(encoded: DataFrame, sent) -> DataFrame:
     def run(batches):
         own = codec(sent)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], [*batch.schema.names, "decoded"])
+            texts = [own.decode(x.values.to_numpy() if x.is_valid else []) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, with_field(encoded.schema, "decoded string"))
+    return map_arrow(encoded, run, with_field(encoded.schema, "decoded string"))
