@@ -26,16 +26,23 @@ def is_masked(word: Column, place: Column, stop: Sequence[str]) -> Column:
 def mask(text: Column, ids: Callable[[Column], Column], stop: Sequence[str]) -> Column:
     """Array by sentence of (unmasked ids, masked ids, flags, words, masked words, ratio of masked words). Sentences without
     a word are dropped."""
+
     def of(sentence: Column) -> Column:
         own = F.transform(words(sentence), lambda w, i: F.struct(w.alias("word"), ids(w).alias("ids"), is_masked(w, i, stop).alias("masked")))
-        spread = lambda f: F.flatten(F.transform(own, f))
-        return F.struct(
-            spread(lambda x: x["ids"]).alias("unmasked"),
-            spread(lambda x: F.transform(x["ids"], lambda t: F.when(x["masked"], F.lit(MASK_ID)).otherwise(t))).alias("masked"),
-            spread(lambda x: F.transform(x["ids"], lambda t: x["masked"].cast("int"))).alias("is_masked"),
-            F.transform(F.filter(own, lambda x: x["masked"]), lambda x: x["word"]).alias("masked_words"),
-            (F.size(F.filter(own, lambda x: x["masked"])) / F.size(own)).alias("ratio"),
-        )
+
+        def parts(words: Column) -> Column:
+            spread = lambda f: F.flatten(F.transform(words, f))
+            hidden = F.filter(words, lambda x: x["masked"])
+            return F.struct(
+                spread(lambda x: x["ids"]).alias("unmasked"),
+                spread(lambda x: F.transform(x["ids"], lambda t: F.when(x["masked"], F.lit(MASK_ID)).otherwise(t))).alias("masked"),
+                spread(lambda x: F.transform(x["ids"], lambda t: x["masked"].cast("int"))).alias("is_masked"),
+                F.transform(hidden, lambda x: x["word"]).alias("masked_words"),
+                (F.size(hidden) / F.size(words)).alias("ratio"),
+            )
+
+        # by way of an array of one, the words are cut once and not for each part
+        return F.transform(F.array(own), parts)[0]
 
     return F.transform(F.filter(sentences(text), lambda s: F.size(words(s)) > 0), of)
 
