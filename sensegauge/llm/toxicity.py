@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import ALNUM_LOWER, SLICE_BYTES, Words, bit_table, map_slices, member, mix, text_bytes
+from sensegauge.llm.kernels import ALNUM_LOWER, SLICE_BYTES, Words, bit_table, map_slices, member, mix, text_bytes, tidy
 
 MAX_ROWS = 1500
 MAX_CHARS = 100_000
@@ -278,7 +278,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     texts = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
     rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.first("text"), F.max("toxic")).orderBy("doc_id").collect()
     total = sum(counts.values())
-    return fit([(r[1], r[2]) for r in rows], tuple(counts.get(k, 0) / total for k in (0, 1)) if total else None)
+    model = fit([(r[1], r[2]) for r in rows], tuple(counts.get(k, 0) / total for k in (0, 1)) if total else None)
+    del rows
+    tidy()  # the driver keeps the model only
+    return model
 
 
 def scorer(sent):
