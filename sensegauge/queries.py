@@ -115,12 +115,16 @@ def constant_label(spark, sf_dir):
 # --- pairs of texts ---------------------------------------------------------------------------------------------------
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pair_id, original (a turn), simplification (the next one), with label and split; an equi-join, no window."""
+def _turns_with_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, original (a turn), simplification (the next one), with label, split and conv_id; an equi-join, no window."""
     c = table(spark, sf_dir, "conversations")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("simplification"))
     both = c.select("conv_id", "turn", F.col("text").alias("original")).join(after, ["conv_id", "turn"])
-    return both.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.lit(summary.TEST).alias("split"), "original", "simplification", F.pmod(F.col("conv_id") * 7 + F.col("turn") * 13, F.lit(101)).cast("double").alias("label"))
+    return both.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.lit(summary.TEST).alias("split"), "original", "simplification", F.pmod(F.col("conv_id") * 7 + F.col("turn") * 13, F.lit(101)).cast("double").alias("label"), "conv_id")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns_with_conv(spark, sf_dir).drop("conv_id")
 
 
 def _score(spark, sf_dir, *names: str) -> DataFrame:
@@ -242,8 +246,9 @@ def quality_correlation(spark, sf_dir):
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = turns(spark, sf_dir)
-    return own.unionByName(pairs.identical(own, "pair_id", "original")).unionByName(pairs.unrelated(own, "pair_id", "original"))
+    """Adjacent turns, each turn with itself, and each with a turn of another conversation."""
+    own = _turns_with_conv(spark, sf_dir)
+    return own.drop("conv_id").unionByName(pairs.identical(own, "pair_id", "original")).unionByName(pairs.unrelated(own, "pair_id", "original", "conv_id"))
 
 
 @query()

@@ -69,6 +69,25 @@ def test_augmentation_is_symmetric(table):
     assert pairs.augment(table).where("pair_id = 1").count() == 1
 
 
+def test_each_text_has_an_unrelated_one(spark, monkeypatch):
+    # conversations of several turns, of one turn, and of more than 1,000; one text is very common
+    rows = [(c * 1000 + t, c, f"text {c} {t}" if t else "hello") for c in range(40) for t in range(c % 4 + 1)] + [(50_000 + t, 50, f"long {t % 7}") for t in range(1200)] + [(1, 60, None)]
+    df = spark.createDataFrame(rows, "key bigint, conv int, text string")
+    conv, convs = {k: c for k, c, _ in rows}, {}
+    for _, c, t in rows:
+        convs.setdefault(t, set()).add(c)
+    for size in (1000, 3):
+        monkeypatch.setattr(pairs, "RANGE", size)
+        got = pairs.unrelated(df, "key", "text", "conv").collect()
+        assert sorted(r["pair_id"] for r in got) == sorted(k for k, _, t in rows if t is not None)
+        assert all(r["simplification"] != r["original"] and convs[r["simplification"]] - {conv[r["pair_id"]]} for r in got)
+
+
+@pytest.mark.parametrize(("rows", "paired"), [([], 0), ([(1, 1, "a")], 0), ([(1, 1, "a"), (2, 1, "b")], 0), ([(1, 1, "a"), (2, 2, "a")], 0), ([(1, 1, "a"), (2, 1, "b"), (3, 2, "a")], 2), ([(1, 1, "a"), (2, None, "b")], 2), ([(i, i // 9, f"{i % 2}") for i in range(12)], 12)])
+def test_unrelated_of_few_rows(spark, paired, rows):
+    assert pairs.unrelated(spark.createDataFrame(rows, "key bigint, conv int, text string"), "key", "text", "conv").count() == paired
+
+
 RUNS = [("a", "finished", False, 500, "holdout fixed"), ("b", "finished", False, 500, "holdout fixed"), ("c", "running", False, 500, "holdout fixed"), ("d", "finished", True, 7, "x"), ("m", "finished", False, 250, "holdout fixed")]
 LOG = [("a", 0, "test/BLEU_pearson_corr", 0.1), ("a", 1, "test/BLEU_pearson_corr", 0.5), ("b", 0, "test/BLEU_pearson_corr", 0.7), ("c", 0, "test/BLEU_pearson_corr", 9.0), ("d", 0, "test/BLEU_pearson_corr", 9.0), ("a", 0, "test/SARI_pearson_corr", 0.6),
        ("a", 2, "test/same_sentence_BLEU_ratio_95", 12.0), ("m", 0, "test/pearson_corr", 0.8), ("m", 0, "test/pearson_pvalue", 0.0001), ("m", 0, "other", 1.0)]
