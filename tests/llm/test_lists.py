@@ -142,6 +142,14 @@ def test_tiles_against_brute_force(spark):
     assert decontaminate.leaks(df, bench.where("false")).where("contaminated").count() == 0 and decontaminate.leaks(df.where("false"), bench).count() == 0
 
 
+def test_op7_has_a_row_for_each_document(spark, tmp_path):
+    leak = "one two three four five six seven eight"
+    spark.createDataFrame([(1, f"so {leak} it is"), (2, "nothing of that kind"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["leaks"]) for r in queries.op7_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 1, "7:8/8"), 2: (False, 0, ""), 3: (False, 0, "")}
+
+
 # --- on the tables ----------------------------------------------------------------------------------------------------
 
 
