@@ -157,8 +157,8 @@ def _rows(docs: DataFrame, rule: Rule, shared: DataFrame) -> DataFrame:
     return cut(map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, n long, unit binary, grp long, bits array<long>, keys array<long>"))
 
 
-def _codes(docs: DataFrame, rule: Rule, units: DataFrame) -> DataFrame:
-    """unit, codes (the sorted set as bytes) of units (unit, doc_id), once each."""
+def _codes(docs: DataFrame, rule: Rule, units: DataFrame, bare: bool) -> DataFrame:
+    """unit, codes (the sorted set as bytes) of units (unit, doc_id), once each. bare: there are units without doc_id."""
 
     def make():
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -169,8 +169,12 @@ def _codes(docs: DataFrame, rule: Rule, units: DataFrame) -> DataFrame:
 
         return of
 
-    found = cut(map_slices(restrict(docs.select("doc_id", "text"), units.select("doc_id").distinct(), "doc_id"), make, "unit binary, codes binary"))
-    # more than one row a unit only where rows share a doc_id
+    asked = restrict(docs.select("doc_id", "text"), units.select("doc_id").distinct(), "doc_id")
+    if bare:  # no doc_id leads to these, so all rows without one are read
+        asked = asked.unionByName(docs.where("doc_id is null").select("doc_id", "text"))
+    found = map_slices(asked, make, "unit binary, codes binary")
+    found = cut(found.join(units.select("unit"), "unit", "left_semi") if bare else found)
+    # more than one row a unit only where rows share a doc_id, or have none
     return found if found.count() == units.count() else found.dropDuplicates(["unit"])
 
 
@@ -225,6 +229,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = full.select("unit", "doc_id", "n", "grp", "bits").join(posted.select("grp").distinct(), "grp", "left_semi")
     near = near.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits"))
     near = cut(near.join(near.groupBy("grp").agg(F.min("unit").alias("leader")), "grp"))
+    bare = not near.where("doc_id is null").isEmpty()
 
     def possible(pairs: DataFrame) -> DataFrame:
         side = lambda c: near.select(F.col("unit").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
@@ -233,7 +238,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     def links_of(pairs: DataFrame) -> DataFrame:
         units = near.join(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct(), "unit", "left_semi")
-        return cut(_verify(pairs, _codes(docs, rule, units)).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
+        return cut(_verify(pairs, _codes(docs, rule, units, bare)).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
 
     def place(roots: DataFrame | None) -> DataFrame:
         """unit, grp, leader, n, root, and c (a hash of root, to compare by)."""

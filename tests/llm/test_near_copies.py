@@ -154,3 +154,13 @@ def test_clean_drops_emptied_documents_only(spark):
     assert line_dedup.clean(df.where("false")).count() == 0
     clash = df.withColumns({"n_lines": F.lit("own"), "row": F.lit(5), "rest": F.lit("r")})
     assert line_dedup.clean(clash).columns == clash.columns and {r["n_lines"] for r in line_dedup.clean(clash).collect()} == {"own"}
+
+
+def test_row_without_id_links_two_documents(spark):
+    words = [f"w{i}" for i in range(48)]
+    text = lambda a: " ".join(words[a : a + 40])
+    df = spark.createDataFrame([(1, text(0)), (None, text(4)), (2, text(8)), (3, "another text of its own")], "doc_id bigint, text string")
+    component = lambda rows: {r["doc_id"]: r["component_id"] for r in ngram_join.join(rows, 3, 75).collect()}
+    assert component(df.where("doc_id is not null")) == {1: 1, 2: 2, 3: 3}
+    got = component(df)
+    assert got[1] == got[2] == 1 and got[3] == 3
