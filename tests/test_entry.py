@@ -18,15 +18,22 @@ def show(folder) -> list[str]:
     return out.stdout.split()
 
 
-def test_entry_without_the_subpackage(tmp_path):
-    shutil.copytree(ROOT / "sensegauge", tmp_path / "sensegauge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    assert show(tmp_path) == ["0", "False", "True"]
-
-
-@pytest.mark.skipif(not (ROOT / "corpus_pipeline.py").exists(), reason="no pipeline")
-def test_entry_with_everything():
-    assert show(ROOT) == ["10", "True", "True"]
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_subpackage(tmp_path, pipeline):
+    """Only the two folders are gone; the pipeline's module may be there still."""
+    skipped = shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse")
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=skipped)
+    for folder in ("sensegauge/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / "repo" / folder, ignore_errors=True)
+    if not pipeline:
+        (tmp_path / "repo/corpus_pipeline.py").unlink(missing_ok=True)
+    assert show(tmp_path / "repo") == ["0", "False", "True"]
+
+
+def test_nothing_else_imports_the_subpackage():
+    for path in (ROOT / "sensegauge").rglob("*.py"):
+        if "llm" not in path.relative_to(ROOT).parts:
+            assert "sensegauge.llm" not in path.read_text(), path
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
