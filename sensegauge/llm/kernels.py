@@ -164,16 +164,8 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
             yield batch.slice(a, b - a)
 
 
-#: Rows of an Arrow batch at most; documents may be long, and a batch is in memory on both sides.
-BATCH_ROWS = 2000
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow over small batches; a Python worker that has ended a task gives its free memory back."""
-    rows, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, str(BATCH_ROWS))
-
+    """mapInArrow; a Python worker that has ended a task gives its free memory back."""
     reach()
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,240 +1,223 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Of lines that are equal, or that one edit (a substituted, missing or added character) sets apart, the earliest stays;
-the order is by doc_id, then by line. A line goes if *any* earlier line of the corpus is that near, whether or not that
-line stays itself, so the result does not depend on the order of processing. Lines without a word are left alone; lines
-of fewer than ``NEAR_CHARS`` characters only go as exact copies.
-
-Two lines are within one edit when they are equal after at most one character of each is left out, at the same place if
-of both. So every line sends out its variants with a character left out, as hashed keys with the place, and itself; of
-lines with one key the earliest is found by a minimum, without pairs; and distances are verified on the texts. To keep
-the variants few, lines go through two blockings first, which lose no pair: cut at the same places, counted from either
-end, two lines within one edit differ in one segment only. Only lines that agree with another one in all segments but
-one send out variants, and only with characters of that segment left out.
-
-Defined results: null and empty texts have no lines and stay as they are; repeated rows, and rows that share a doc_id,
-stand at the same place and lose the same line numbers if these go; rows without doc_id are not looked at and stay;
-other columns are kept; an empty table gives no rows.
+Of lines that are equal, or that one edit sets apart, the earliest stays; the order is by doc_id, then by line. The
+symbols that are edited are words: near-copy lines of a corpus differ by a word, hardly ever by a single character. An
+edit is a word that is replaced, missing or added; white space between words is no part of the comparison. A line goes
+if *any* earlier line of the corpus is that near, whether or not that line stays itself, so the result does not depend
+on the order of processing. Lines without a word are left alone; lines of fewer than ``near_words`` words only go as
+exact copies, as one word is much of a short line (1 compares all lines).
+
+Two lines are within one edit when they are equal after at most one word of each is left out, at the same place if of
+both. So every line sends out its variants with a word left out, as hashed keys with the place, and itself; of lines with
+one key the earliest is found by a minimum, without pairs; and distances are verified on the words. To keep variants few,
+distinct lines go through a blocking first, which loses no pair: cut into halves at the same place, counted from either
+end, two lines within one edit differ in one half only, so only lines that share a half with another one send variants.
+
+Defined results: null and empty texts have no lines and stay as they are; very long texts and lines are looked at whole;
+repeated rows, and rows that share a doc_id, stand at the same place and lose the same line numbers if these go; rows
+without doc_id are not looked at and stay; other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import _POWERS, bit_table, map_arrow, map_slices, member, mix
-from sensegauge.llm.shared import cut
+from sensegauge.llm.kernels import _POWERS, LINES, TEXT, ByteClass, Words, map_arrow, map_slices, mix, slices, text_bytes
+from sensegauge.llm.shared import cut, dealt_join, hot_keys, scratch
 
-NEAR_CHARS = 20
-#: Segments of the first and of the second blocking.
-HALVES, PARTS = 2, 16
-#: Shared keys that are broadcast at most; more are broadcast in blocks, with a pass for each.
-MAX_SHARED = 1 << 22
-BLOCK = 1 << 17
+#: Words of a line from which on one of them may differ: one in ten.
+NEAR_WORDS = 10
 _U = np.uint64
 #: A line of these only is without a word.
 BLANK = " \t\x0b\x0c\r"
+TEXT_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+#: Lines once more, with codes that are independent of those of LINES.
+LINES_TOO = ByteClass([0x0A])
+LINES_TOO.code = mix(LINES.code ^ _U(0x5DEECE66D))
 
 
 class Lines:
-    """Code points of some lines with hashes of any part of them."""
-
-    def __init__(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        self.starts, self.ends, self.n = starts, ends, ends - starts
-        up, self.down = _POWERS.upto(len(chars) + 1)
-        self.chars = chars
-        self.sums = self._sums(mix(chars.astype(_U) + _U(77)), up)
-        self.up = up
-
-    def _sums(self, codes: np.ndarray, up: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes) + 1, _U)
-        np.cumsum(codes * up[: len(codes)], out=out[1:])
-        return out
+    """The lines with a word of a slice of texts, and hashes of any stretch of their words."""
+
+    def __init__(self, column: pa.Array) -> None:
+        data, offsets = text_bytes(column)
+        words, lines = Words(data, offsets, TEXT), Words(data, offsets, LINES)
+        a, b = np.searchsorted(words.starts, lines.starts), np.searchsorted(words.starts, lines.ends)
+        full = b > a
+        self.data, self.starts, self.ends = data, lines.starts[full], lines.ends[full]
+        self.rows = lines.rows()[full]
+        breaks = np.append(0, np.cumsum(data == 0x0A))
+        self.numbers = breaks[self.starts] - breaks[offsets[self.rows]]
+        self.h1, self.h2 = lines.codes[full], Words(data, offsets, LINES_TOO).codes[full]
+        self.a, self.b, self.n = a[full], b[full], (b - a)[full]
+        up, self.down = _POWERS.upto(len(words.codes) + 1)
+        self.sums = np.zeros(len(words.codes) + 1, _U)
+        np.cumsum(mix(words.codes) * up[: len(words.codes)], out=self.sums[1:])
 
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * self.down[a]
 
-    def second(self) -> np.ndarray:
-        """Hashes of the lines that are independent of ``part``."""
-        other = self._sums(mix(mix(self.chars.astype(_U)) + _U(1 << 40)), self.up)
-        return mix((other[self.ends] - other[self.starts]) * self.down[self.starts] ^ self.n.astype(_U))
-
-    def first(self) -> np.ndarray:
-        return mix(self.part(self.starts, self.ends) + self.n.astype(_U))
-
-    def keys(self, m: int, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For lines of n characters: keys of all but one of m segments of a line of n, and of n - 1, as the shorter one of
-        a pair. Also the line and the segment: segment j, or m + j where n - 1 is meant."""
-        keys, own, seg = [], [], []
-        starts, ends, n = self.starts[lines], self.ends[lines], self.n[lines]
-        for short in (0, 1):
-            size = n - short
-            for j in range(m):
-                a, b = size * j // m, size * (j + 1) // m
-                head, tail = self.part(starts, starts + a), self.part(ends - (size - b), ends)
-                keys.append(mix(mix(head + a.astype(_U)) + tail * _U(3) + size.astype(_U) * _U(64) + _U(j)))
-                own.append(lines)
-                seg.append(np.full(len(lines), j + m * short))
-        return np.concatenate(keys), np.concatenate(own), np.concatenate(seg)
-
-    def variants(self, line: int, segs: list[int], m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of a line without one character of the segments, and that character's place."""
-        n, s, e = int(self.n[line]), int(self.starts[line]), int(self.ends[line])
-        at = []
-        for seg in segs:
-            short, j = divmod(seg, m)
-            size = n - short
-            at.append(np.arange(size * j // m, min(n, size * (j + 1) // m + short)))
-        at = np.unique(np.concatenate(at))
-        head = self.sums[s + at] - self.sums[s]
-        tail = self.sums[e] - self.sums[s + at + 1]
-        # what follows the place moves one character to the front
-        whole = (head + tail * self.down[1]) * self.down[s]
-        return mix(whole + _U(n - 1)), at
-
-
-def blocks_of(texts: list[str | None]):
-    """Row, number and Lines of the lines with a word, in blocks of about BLOCK characters."""
-    rows, numbers, parts, size = [], [], [], 0
-    for r, text in enumerate(texts):
-        for i, line in enumerate(text.split("\n") if text else ()):
-            if line.strip(BLANK):
-                rows.append(r)
-                numbers.append(i)
-                parts.append(line)
-                size += len(line)
-                if size >= BLOCK:
-                    yield np.array(rows), np.array(numbers), lines_of(parts)
-                    rows, numbers, parts, size = [], [], [], 0
-    if parts:
-        yield np.array(rows), np.array(numbers), lines_of(parts)
-
-
-def lines_of(parts: list[str]) -> Lines:
-    sizes = np.array([len(p) for p in parts], np.int64)
-    ends = np.cumsum(sizes)
-    return Lines(np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32), ends - sizes, ends)
-
-
-def _ints(x: np.ndarray) -> pa.Array:
+    def halves(self) -> list[np.ndarray]:
+        """For lines of n words: keys of all but one half of a line of n, and of n - 1, as the shorter one of a pair."""
+        out = []
+        for size in (self.n, self.n - 1):
+            for j in range(2):
+                a, b = size * j // 2, size * (j + 1) // 2
+                head, tail = self.part(self.a, self.a + a), self.part(self.b - (size - b), self.b)
+                out.append(mix(mix(head + a.astype(_U)) + tail * _U(3) + size.astype(_U) * _U(64) + _U(j)))
+        return out
+
+    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, line, and place of the word that is left out, of each variant; the whole line has place -1."""
+        at = np.repeat(np.arange(len(self.n)), self.n)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        begin, end, p = self.a[at], self.b[at], self.a[at] + place
+        # what follows the place moves one word to the front
+        less = ((self.sums[p] - self.sums[begin]) + (self.sums[end] - self.sums[p + 1]) * self.down[1]) * self.down[begin]
+        less = mix(less + (end - begin - 1).astype(_U))
+        whole = mix(self.part(self.a, self.b) + self.n.astype(_U))
+        lines = np.arange(len(self.n))
+        return np.concatenate([whole, less]), np.concatenate([lines, at]), np.concatenate([np.full(len(lines), -1), place])
+
+    def texts(self, lines: np.ndarray) -> pa.Array:
+        raw = self.data.tobytes()
+        return pa.array([raw[a:b] for a, b in zip(self.starts[lines].tolist(), self.ends[lines].tolist(), strict=True)], pa.binary()).cast(pa.string())
+
+
+def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _each(docs: DataFrame, one, schema: str) -> DataFrame:
-    """one(rows of the slice, their numbers, Lines, ids) gives columns for each block of lines; ids: the column doc_id."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def _all_lines(docs: DataFrame, kind: str, near_words: int) -> DataFrame:
+    """h1, h2 (hashes of the line), doc_id, line, and keys: of the halves, if the line is long enough for near copies."""
 
     def make():
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids = part.column("doc_id")
-            found = [one(rows, numbers, lines, ids) for rows, numbers, lines in blocks_of(part.column("text").to_pylist())]
-            if not found:
-                rows, numbers, lines = np.zeros(0, np.int64), np.zeros(0, np.int64), lines_of([])
-                found = [one(rows, numbers, lines, ids)]
-            return pa.Table.from_batches([pa.RecordBatch.from_arrays(f, names) for f in found]).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if any(len(f[0]) for f in found) else pa.RecordBatch.from_arrays(found[0], names)
+            lines = Lines(part.column("text"))
+            long = lines.n >= near_words
+            offsets = np.append(0, np.cumsum(4 * long)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), _longs(np.stack(lines.halves(), 1)[long].ravel()))
+            return pa.RecordBatch.from_arrays([_longs(lines.h1), _longs(lines.h2), part.column("doc_id").take(pa.array(lines.rows)), pa.array(lines.numbers.astype(np.int32)), keys], ["h1", "h2", "doc_id", "line", "keys"])
 
         return of
 
-    return map_slices(docs.select("doc_id", "text"), make, schema)
+    return map_slices(docs, make, f"h1 long, h2 long, doc_id {kind}, line int, keys array<long>")
 
 
-def _all_lines(docs: DataFrame, kind: str) -> DataFrame:
-    def one(rows, numbers, lines, ids):
-        return [_ints(lines.first()), _ints(lines.second()), ids.take(pa.array(rows)), pa.array(numbers.astype(np.int32))]
+def _variants(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """v, place, h1, h2, doc_id, line of the variants of the lines asked for: h1, h2, doc_id, line, one occurrence each.
 
-    return _each(docs, one, f"h1 long, h2 long, doc_id {kind}, line int")
+    Only documents with such a line are read. ``lines`` holds line numbers of one document, as many as it has at most."""
+    wanted = asked.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    rows = docs.join(wanted, "doc_id")
 
+    def run(batches):
+        for part in (p for b in batches for p in slices(b)):
+            lines, v, of, place = _chosen(part)
+            yield pa.RecordBatch.from_arrays(
+                [_longs(v), pa.array(place.astype(np.int32)), _longs(lines.h1[of]), _longs(lines.h2[of]), part.column("doc_id").take(pa.array(lines.rows[of])), pa.array(lines.numbers[of].astype(np.int32))],
+                ["v", "place", "h1", "h2", "doc_id", "line"],
+            )
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """Keys of more than one line (by h1)."""
-    return cut(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
+    return map_arrow(rows.select("doc_id", "text", "lines"), run, f"v long, place int, h1 long, h2 long, doc_id {kind}, line int")
 
 
-def _candidates(docs: DataFrame, kind: str) -> DataFrame:
-    """h1, h2, at (doc_id, line of the first occurrence), text of the lines that agree with another one in a half."""
+def _of_rows(part: pa.RecordBatch, lines: Lines) -> np.ndarray:
+    """Which lines are named in the row's column ``lines``."""
+    asked = part.column("lines")
+    codes = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy())) << 32 | asked.flatten().to_numpy()
+    return np.isin(lines.rows.astype(np.int64) << 32 | lines.numbers, codes)
 
-    def keyed(rows, numbers, lines, ids):
-        keys, own, _ = lines.keys(HALVES, np.flatnonzero(lines.n >= NEAR_CHARS))
-        return [_ints(keys), _ints(lines.first()[own])]
 
-    shared = _shared(_each(docs, keyed, "key long, h1 long"))
-    n = max(1, -(-shared.count() // MAX_SHARED))
-    out = None
-    for i in range(n):  # one pass, unless there are too many keys to broadcast
-        keys = shared.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i) if n > 1 else shared
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy().astype(np.int64).view(_U)))
+def _chosen(part: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray]:
+    lines = Lines(part.column("text"))
+    use = _of_rows(part, lines)
+    v, of, place = lines.variants()
+    use = use[of]
+    return lines, v[use], of[use], place[use]
 
-        def one(rows, numbers, lines, ids, sent=sent):
-            table = sent.value
-            keys, own, _ = lines.keys(HALVES, np.flatnonzero(lines.n >= NEAR_CHARS))
-            use = np.unique(own[member(keys, table, bit_table(table))])
-            texts = [lines.chars[lines.starts[j] : lines.ends[j]].tobytes().decode("utf-32-le", "replace") for j in use.tolist()]
-            return [_ints(lines.first()[use]), _ints(lines.second()[use]), ids.take(pa.array(rows[use])), pa.array(numbers[use].astype(np.int32)), pa.array(texts, pa.string())]
 
-        found = _each(docs, one, f"h1 long, h2 long, doc_id {kind}, line int, text string")
-        out = found if out is None else out.unionByName(found)
-    return cut(out.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("text").alias("text")))
+def _texts(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """doc_id, line, h1, h2, text of the lines asked for: doc_id, line."""
+    wanted = asked.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
+    def run(batches):
+        for part in (p for b in batches for p in slices(b)):
+            lines = Lines(part.column("text"))
+            use = np.flatnonzero(_of_rows(part, lines))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(lines.rows[use])), pa.array(lines.numbers[use].astype(np.int32)), _longs(lines.h1[use]), _longs(lines.h2[use]), lines.texts(use)], ["doc_id", "line", "h1", "h2", "text"])
 
-def _near(docs: DataFrame, kind: str) -> DataFrame:
-    """h1, h2 of the lines that one edit sets apart from an earlier line."""
-    lines = _candidates(docs, kind)
+    return map_arrow(docs.join(wanted, "doc_id").select("doc_id", "text", "lines"), run, f"doc_id {kind}, line int, h1 long, h2 long, text string")
 
-    def keyed(batches):
-        for batch in batches:
-            own = lines_of(batch.column("text").to_pylist())
-            keys, of, seg = own.keys(PARTS, np.arange(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([_ints(keys), batch.column("h1").take(pa.array(of)), batch.column("h2").take(pa.array(of)), pa.array(seg.astype(np.int32))], ["key", "h1", "h2", "seg"])
 
-    keys = map_arrow(lines.select("h1", "h2", "text"), keyed, "key long, h1 long, h2 long, seg int")
-    # at most 2 * PARTS segments a line
-    segs = keys.join(_shared(keys.select("key", "h1")), "key", "left_semi").groupBy("h1", "h2").agg(F.collect_set("seg").alias("segs"))
+def one_edit(a: list[str], b: list[str]) -> bool:
+    """Whether two lists are equal, or one element that is replaced, missing or added sets them apart."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
-    def spread(batches):
-        for batch in batches:
-            own = lines_of(batch.column("text").to_pylist())
-            codes, of, place = [own.first()], [np.arange(batch.num_rows)], [np.full(batch.num_rows, -1)]
-            for j, segs in enumerate(batch.column("segs").to_pylist()):
-                v, at = own.variants(j, segs, PARTS)
-                codes.append(v)
-                of.append(np.full(len(v), j))
-                place.append(at)
-            of = pa.array(np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([_ints(np.concatenate(codes)), pa.array(np.concatenate(place).astype(np.int32)), *(batch.column(c).take(of) for c in ("h1", "h2", "doc_id", "line"))], ["v", "place", "h1", "h2", "doc_id", "line"])
 
-    rows = lines.join(segs, ["h1", "h2"]).select("h1", "h2", "at.doc_id", "at.line", "text", "segs")
-    variants = cut(map_arrow(rows, spread, f"v long, place int, h1 long, h2 long, doc_id {kind}, line int").withColumn("at", F.struct("doc_id", "line")))
-    less = F.col("place") >= 0
-    by_text = variants.groupBy("v").agg(F.min(F.when(less, F.col("at"))).alias("first_less"), F.min(F.when(~less, F.col("at"))).alias("first_whole"))
-    by_place = variants.where(less).groupBy("v", "place").agg(F.min("at").alias("first_same"))
-    met = variants.join(by_text, "v").join(by_place, ["v", "place"], "left")
-    # a whole line meets lines with a character left out; those meet a whole line, and those without one at the same place
-    met = met.select("h1", "h2", "at", F.explode(F.array(F.when(less, F.col("first_whole")).otherwise(F.col("first_less")), "first_same")).alias("earlier")).where("earlier < at").distinct()
-    texts = lines.select("h1", "h2", "text", F.col("at").alias("place_at"))
-    pairs = met.join(texts.select("h1", "h2", "text"), ["h1", "h2"]).join(texts.select(F.col("place_at").alias("earlier"), F.col("text").alias("other")), "earlier")
-    return cut(pairs.where(F.levenshtein("text", "other", 1).between(0, 1)).select("h1", "h2").distinct())
+def _verified(batches):
+    split = TEXT_SPLIT.findall
+    for batch in batches:
+        ok = [one_edit(split(a), split(b)) for a, b in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+        yield batch.select(["h1", "h2"]).filter(pa.array(ok, pa.bool_()))
 
 
-def gone_lines(docs: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, distinct: DataFrame, kind: str) -> DataFrame:
+    """h1, h2 of the lines that one edit sets apart from an earlier line. distinct: h1, h2, at (the first place), keys."""
+    keys = distinct.select(F.explode("keys").alias("key"), "h1", "h2")
+    shared = cut(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key", "c"))
+    met = dealt_join(keys, shared.select("key"), ["key"], hot_keys(shared, ["key"], "c"), F.xxhash64("h1")).select("h1", "h2").distinct()
+    asked = distinct.select("h1", "h2", "at.*").join(met, ["h1", "h2"], "left_semi")
+    # of rows that share a doc_id, others may have another line at this place
+    variants = _variants(docs, asked, kind).join(asked.select("h1", "h2", F.struct("doc_id", "line").alias("at")), ["h1", "h2"]).where(F.col("at") == F.struct("doc_id", "line"))
+    variants = cut(variants.select("v", "place", "h1", "h2", "at").distinct())
+    less = F.col("place") >= 0
+    of = variants.groupBy("v").agg(F.count("*").alias("c"), F.min(F.when(less, F.col("at"))).alias("first_less"), F.min(F.when(~less, F.col("at"))).alias("first_whole"), F.min("h1").alias("x"), F.max("h1").alias("y"))
+    of = cut(of.where("x <> y").drop("x", "y"))
+    same = cut(variants.where(less).groupBy("v", "place").agg(F.count("*").alias("c"), F.min("at").alias("earlier"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").drop("x", "y"))
+    # a whole line meets lines with a word left out, and those of the same words; a line with a word left out meets whole
+    # ones, and those without one at the same place
+    by_text = dealt_join(variants, of.drop("c"), ["v"], hot_keys(of, ["v"], "c"), F.xxhash64("h1")).select("h1", "h2", "at", F.explode(F.array(F.when(~less, F.col("first_less")), F.col("first_whole"))).alias("earlier"))
+    by_place = dealt_join(variants, same.drop("c"), ["v", "place"], hot_keys(same, ["v", "place"], "c"), F.xxhash64("h1")).select("h1", "h2", "at", "earlier")
+    found = cut(by_text.unionByName(by_place).where("earlier < at").distinct())
+    asked = found.select("at.*").union(found.select("earlier.*")).distinct()
+    texts = cut(_texts(docs, asked, kind).withColumn("place", F.struct("doc_id", "line")))
+    often = cut(found.groupBy("earlier").agg(F.count("*").alias("c")))
+    other = texts.groupBy(F.col("place").alias("earlier")).agg(F.min("text").alias("other"))
+    own = texts.groupBy("h1", "h2").agg(F.min("text").alias("text"))
+    pairs = dealt_join(found, other, ["earlier"], hot_keys(often, ["earlier"], "c"), F.xxhash64("h1")).join(own, ["h1", "h2"])
+    return map_arrow(pairs.select("h1", "h2", "text", "other"), _verified, "h1 long, h2 long").distinct()
+
+
+def gone_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, line (from 0), near: the lines that go; near if for an earlier line that is not equal to it."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = _all_lines(docs, kind)
-    again = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "first")
-    why = cut(again.join(_near(docs, kind).withColumn("near", F.lit(True)), ["h1", "h2"], "full"))
-    met = lines.join(why, ["h1", "h2"])
-    later = F.coalesce(F.struct("doc_id", "line") > F.col("first"), F.lit(False))
-    return met.where(later | F.col("near")).select("doc_id", "line", (~later).alias("near")).distinct()
+    with scratch() as keep:
+        lines = cut(_all_lines(docs, kind, near_words))
+        distinct = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c"), F.max("keys").alias("keys")))
+        near = _near(docs, distinct.drop("c"), kind).withColumn("near", F.lit(True))
+        why = cut(distinct.select("h1", "h2", "at", "c").join(near, ["h1", "h2"], "left").where("c > 1 or near"))
+        met = dealt_join(lines.drop("keys"), why.drop("c"), ["h1", "h2"], hot_keys(why, ["h1", "h2"], "c"), F.xxhash64("doc_id"))
+        later = F.struct("doc_id", "line") > F.col("at")
+        return keep(cut(met.where(later | F.col("near")).select("doc_id", "line", (~later).alias("near")).distinct()))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with the text that stays, and n_lines (lines with a word before), n_exact, n_near (lines that went), in place of
     columns of these names."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_exact", "n_near")]
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_lines", "n_exact", "n_near")]
     packed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("rest"))
-    gone = gone_lines(docs)
+    gone = gone_lines(docs, near_words)
     # as many numbers as the document has lines, at most
     by_doc = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
     met = packed.join(by_doc, "doc_id", "left")
@@ -246,11 +229,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", text.alias("text"), *(F.col("rest")[c].alias(c) for c in others), n.alias("n_lines"), zero("n_exact"), zero("n_near"))
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs, with their columns, without the lines that go; n_chars follows the text. Documents of which every line with
     a word goes are left out."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    done = dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")))
+    done = dedup(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")), near_words)
     less = F.col("n_exact") + F.col("n_near")
     done = done.where((F.col("n_lines") == 0) | (F.col("n_lines") > less))
     own = {c: F.col("row")[c] for c in others}

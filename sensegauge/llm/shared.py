@@ -2,24 +2,92 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. A folder of its own only where that is unset and the master is local, as in tests:
+    on a cluster, a folder of one machine would lose work with that machine, so there it is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Checkpoints made so far, by the scratch that they were made in; the last ones of all are deleted when the driver ends.
+_MADE: list[list[tuple[SparkSession, str]]] = [[]]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df."""
+    """A reliable checkpoint of df. Its files go with the innermost ``scratch``, or else when the driver ends."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        out = df.checkpoint()
+    _MADE[-1].append((df.sparkSession, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()))
+    return out
+
+
+#: Rows of an Arrow batch at most, while an operator's own tables are written: documents may be long, and a batch is in
+#: memory on both sides.
+BATCH_ROWS = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS at most in what runs inside; the session's setting is as before afterwards."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(rows, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch():
+    """What ``cut`` makes inside is deleted at the end, but for the DataFrames given to the function that this yields."""
+    _MADE.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+        return df
+
+    try:
+        yield keep
+    finally:
+        for spark, path in _MADE.pop():
+            if path in kept:
+                _MADE[-1].append((spark, path))
+            else:
+                delete(spark, path)
+
+
+def at_end(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    _MADE[0].append((spark, path))
+
+
+@atexit.register
+def _delete_all() -> None:
+    for spark, path in _MADE[0]:
+        with contextlib.suppress(Exception):  # the session may have ended, and its JVM with it
+            delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +116,26 @@ def restrict(rows: DataFrame, keys: DataFrame, key: str, without: bool = False)
     keys = cut(keys)
     keys = F.broadcast(keys) if few(keys) else keys
     return rows.join(keys, key, "left_anti" if without else "left_semi")
+
+
+#: A key of more rows than HOT_ROWS, and of more than one in MOST_HOT of all rows, is hot; so there are fewer than MOST_HOT.
+HOT_ROWS, MOST_HOT, SALTS = 1000, 100_000, 32
+
+
+def hot_keys(counted: DataFrame, on: list[str], count: str) -> DataFrame:
+    """The hot keys of counted, which has a row and a count for each key and is written already."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return cut(counted.where(F.col(count) > max(HOT_ROWS, total // MOST_HOT)).select(*on))
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, by: Column) -> DataFrame:
+    """rows.join(table, on), where table has one row a key. Rows of hot keys are dealt to SALTS parts by a hash, and the rows
+    of these keys in table copied to each; the hot keys themselves, fewer than MOST_HOT, are what is broadcast."""
+    if hot.isEmpty():
+        return rows.join(table, on)
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS))).otherwise(0).cast("int")
+    left = rows.join(marked, on, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(marked, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*on, "_salt"]).drop("_salt")

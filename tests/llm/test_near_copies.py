@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sensegauge.llm import components, line_dedup, ngram_join
+from sensegauge.llm import components, line_dedup, ngram_join, shared
 
 
 def shingles(text, k):
@@ -94,23 +94,20 @@ def test_components(spark, monkeypatch, few):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def one_edit(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    a, b = sorted((a, b), key=len)
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+def brute_edit(a, b):
+    """Whether one of all single edits of a, or none, makes b."""
+    less = [a[:i] + a[i + 1 :] for i in range(len(a))]
+    return a == b or b in less or a in [b[:i] + b[i + 1 :] for i in range(len(b))] or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1)
 
 
-def brute_lines(rows):
+def brute_lines(rows, near_words):
     lines = [(d, i, x) for d, t in rows if d is not None for i, x in enumerate((t or "").split("\n")) if x.strip(line_dedup.BLANK)]
     first: dict = {}
     for d, i, x in lines:
         first[x] = min(first.get(x, (d, i)), (d, i))
-    long = [x for x in first if len(x) >= line_dedup.NEAR_CHARS]
-    near = {a for a in long if any(first[b] < first[a] and a != b and one_edit(a, b) for b in long)}
+    words = {x: re.findall(r"[^\x20\x09-\x0D]+", x) for x in first}
+    long = [x for x in first if len(words[x]) >= near_words]
+    near = {a for a in long if any(first[b] < first[a] and abs(len(words[a]) - len(words[b])) < 2 and brute_edit(words[a], words[b]) for b in long)}
     gone = collections.defaultdict(dict)
     for d, i, x in lines:
         if (d, i) > first[x] or x in near:
@@ -124,28 +121,30 @@ def brute_lines(rows):
 
 def line_documents(seed):
     random.seed(seed)
-    letters = "ab é漢xyz0123456789"
-    base = ["".join(random.choice(letters) for _ in range(random.choice([3, 10, 19, 20, 21, 25, 40, 90, 300]))) for _ in range(30)] + ["a" * 24, "ab" * 11, "   ", "\t"]
+    pool = ["a", "b", "é", "漢字", "xyz", "0", "A", "a\u00a0b", "long-word", "."]
+    base = [[random.choice(pool) for _ in range(random.choice([1, 2, 4, 9, 10, 11, 12, 20, 60]))] for _ in range(30)] + [["a"] * 12, ["a", "b"] * 6]
 
-    def edited(x):
+    def edited(w):
+        w = list(w)
         for _ in range(random.choice([0, 1, 1, 2])):
-            j, op = random.randrange(len(x)), random.random()
-            x = x[:j] + (random.choice(letters) + x[j + 1 :] if op < 0.4 else x[j + 1 :] if op < 0.7 else random.choice(letters) + x[j:]) or "q"
-        return x
-
-    rows = [(i, "\n".join(edited(random.choice(base)) if random.random() < 0.8 else random.choice(["", "x", f"a line of document {i} with {random.random()}"]) for _ in range(random.choice([0, 1, 3, 9])))) for i in range(110)]
-    return rows + [(500, None), (501, ""), (502, "\n\n"), (None, rows[3][1]), (3, rows[3][1]), (503, rows[3][1] + "\n"), (504, "long " * 20_000)]
-
-
-@pytest.mark.parametrize("blocks", [False, True])
-def test_line_dedup_against_brute_force(spark, monkeypatch, blocks):
-    if blocks:
-        monkeypatch.setattr(line_dedup, "MAX_SHARED", 50)
-    rows = line_documents(blocks)
-    df = spark.createDataFrame([(a, b, "x", len(b or "")) for a, b in rows], "doc_id long, text string, gone string, n_chars long")
-    found = line_dedup.dedup(df)
+            j, op = random.randrange(len(w)), random.random()
+            w[j : j + 1] = [random.choice(pool)] if op < 0.4 else [] if op < 0.7 else [random.choice(pool), w[j]]
+            w = w or ["q"]
+        return random.choice([" ", " ", " ", "  ", "\t"]).join(w) + random.choice(["", "", " ", "\r"])
+
+    rows = [(i, "\n".join(edited(random.choice(base)) if random.random() < 0.8 else random.choice(["", "x", "   ", f"a line of document {i} with {random.random()}"]) for _ in range(random.choice([0, 1, 3, 9])))) for i in range(110)]
+    return rows + [(500, None), (501, ""), (502, "\n\n"), (None, rows[3][1]), (3, rows[3][1]), (5, "another\n" + " ".join(base[5] * 3)), (503, rows[3][1] + "\n"), (504, "long " * 20_000), (505, "long " * 20_001)]
+
+
+@pytest.mark.parametrize("hot, near_words", [(False, 10), (True, 10), (False, 2), (True, 1)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, hot, near_words):
+    if hot:
+        monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    rows = line_documents(hot + near_words)
+    df = spark.createDataFrame([(a, b, "x", len(b or ""), "y") for a, b in rows], "doc_id long, text string, gone string, n_chars long, N_Exact string")
+    found = line_dedup.dedup(df, near_words)
     assert found.columns == ["doc_id", "text", "gone", "n_chars", "n_lines", "n_exact", "n_near"]
-    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_exact"], r["n_near"]) for r in found.collect()), key=str) == brute_lines(rows)
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_exact"], r["n_near"]) for r in found.collect()), key=str) == brute_lines(rows, near_words)
 
 
 def test_clean_drops_emptied_documents_only(spark):
