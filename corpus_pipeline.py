@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensegauge.llm import decontaminate, line_dedup, ngram_join, pieces, toxicity
-from sensegauge.llm.shared import shared_folder, table
+from sensegauge.llm.shared import at_end, delete, scratch, shared_folder, small_batches, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Once a stage is written, what it made on the way goes, and so do the rows of the stage before. The last stage's rows,
+    which are the result, go when the driver ends."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    at_end(spark, folder)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        with scratch(), small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            delete(spark, f"{folder}/{i - 1}")
     return docs
