@@ -139,14 +139,14 @@ OP2_SQL = f"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 every AS (SELECT doc_id, i - 1 AS i, ls[i] AS l FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM parts)),
 lines AS (SELECT * FROM every WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
-firsts AS (SELECT l, min((doc_id, i)) AS at, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS w FROM lines GROUP BY l),
-whole AS (SELECT l, at, array_to_string(w, ' ') AS k, w FROM firsts WHERE len(w) >= {line_dedup.NEAR_WORDS}),
-less AS (SELECT l, at, p, array_to_string(w[1:p-1] || w[p+1:], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM whole)),
+firsts AS (SELECT l, min((doc_id, i)) AS pos, regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+') AS w FROM lines GROUP BY l),
+whole AS (SELECT l, pos, array_to_string(w, ' ') AS k, w FROM firsts WHERE len(w) >= {line_dedup.NEAR_WORDS}),
+less AS (SELECT l, pos, p, array_to_string(w[1:p-1] || w[p+1:], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM whole)),
 near AS (
-  SELECT a.l FROM less a JOIN (SELECT k, p, min(at) AS first FROM less GROUP BY ALL) USING (k, p) WHERE first < at
-  UNION SELECT a.l FROM whole a JOIN (SELECT k, min(at) AS first FROM whole GROUP BY k UNION ALL SELECT k, min(at) FROM less GROUP BY k) USING (k) WHERE first < at
-  UNION SELECT a.l FROM less a JOIN (SELECT k, min(at) AS first FROM whole GROUP BY k) USING (k) WHERE first < at),
-why AS (SELECT x.doc_id, x.i, (x.doc_id, x.i) > f.at AS again, n.l IS NOT NULL AS near FROM lines x JOIN firsts f USING (l) LEFT JOIN near n USING (l)),
+  SELECT a.l FROM less a JOIN (SELECT k, p, min(pos) AS early FROM less GROUP BY ALL) USING (k, p) WHERE early < pos
+  UNION SELECT a.l FROM whole a JOIN (SELECT k, min(pos) AS early FROM whole GROUP BY k UNION ALL SELECT k, min(pos) FROM less GROUP BY k) USING (k) WHERE early < pos
+  UNION SELECT a.l FROM less a JOIN (SELECT k, min(pos) AS early FROM whole GROUP BY k) USING (k) WHERE early < pos),
+why AS (SELECT x.doc_id, x.i, (x.doc_id, x.i) > f.pos AS again, n.l IS NOT NULL AS near FROM lines x JOIN firsts f USING (l) LEFT JOIN near n USING (l)),
 marked AS (SELECT e.*, coalesce(again, false) AS exact, coalesce(near, false) AND NOT coalesce(again, false) AS near, w.i IS NOT NULL AS has FROM every e LEFT JOIN why w USING (doc_id, i))
 SELECT doc_id, CAST(count(*) FILTER (has) AS BIGINT) AS n_lines, CAST(count(*) FILTER (exact) AS BIGINT) AS n_exact, CAST(count(*) FILTER (near) AS BIGINT) AS n_near,
   CAST(length(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT exact AND NOT near), '')) AS BIGINT) AS n_chars_kept, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT exact AND NOT near), '')) AS text_sha256

@@ -122,16 +122,17 @@ def restrict(rows: DataFrame, keys: DataFrame, key: str, without: bool = False)
 HOT_ROWS, MOST_HOT, SALTS = 1000, 100_000, 32
 
 
-def hot_keys(counted: DataFrame, on: list[str], count: str) -> DataFrame:
-    """The hot keys of counted, which has a row and a count for each key and is written already."""
-    total = counted.agg(F.sum(count)).first()[0] or 0
-    return cut(counted.where(F.col(count) > max(HOT_ROWS, total // MOST_HOT)).select(*on))
+def hot_keys(counted: DataFrame, on: list[str], count: str) -> DataFrame | None:
+    """The hot keys of counted, which has a row and a count for each key and is written already; None if there are none."""
+    total, most = counted.agg(F.sum(count), F.max(count)).first()
+    bound = max(HOT_ROWS, (total or 0) // MOST_HOT)
+    return counted.where(F.col(count) > bound).select(*on) if (most or 0) > bound else None
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, by: Column) -> DataFrame:
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame | None, by: Column) -> DataFrame:
     """rows.join(table, on), where table has one row a key. Rows of hot keys are dealt to SALTS parts by a hash, and the rows
     of these keys in table copied to each; the hot keys themselves, fewer than MOST_HOT, are what is broadcast."""
-    if hot.isEmpty():
+    if hot is None:
         return rows.join(table, on)
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS))).otherwise(0).cast("int")
