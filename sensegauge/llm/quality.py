@@ -4,8 +4,14 @@
 shrinks each host's rate towards an empirical beta prior, whose parameters are the moments of all hosts' rates.
 ``judge`` joins the verdicts to the documents.
 
-Defined results: a null or empty text has no words and so fails ``n_words < 50``; a null host is a host of its own;
-repeated rows are judged (and counted) each; other columns of the input are ignored; an empty table gives no rows.
+A verdict decides which soft rules count for a host's documents. On a trusted host (shrunk rate up to WATCHED_RATE) a
+document that breaks a soft rule stays, as it is likely to be a table or a list; on a watched one it goes if it breaks
+one by twice its limit; on a bad one (above MAX_HOST_RATE) if it breaks one at all. Documents that break no rule stay
+whatever their host is.
+
+Defined results: a null or empty text has no words and so fails ``n_words < 50``; very long texts are counted whole; a
+null host is a host of its own; hosts of equal rates get equal verdicts; repeated rows are judged (and counted) each;
+other columns of the input are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +26,10 @@ from sensegauge.llm.shared import cut
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Percentages; more than these fail. The last two only count on hosts that the verdict goes against.
+#: Percentages; more than these fail. The last two are the soft rules.
 MAX_REPEATED, MAX_SYMBOLS, MAX_DUP_LINES = 50, 25, 30
-#: A host is bad when the shrunk rate of base failures, or of failures of any rule, is above.
-MAX_HOST_RATE = 0.5
+#: A host is watched, or bad, when its shrunk rate of documents that fail a rule is above.
+WATCHED_RATE, MAX_HOST_RATE = 0.1, 0.5
 #: Rows of host verdicts that are broadcast at most; beyond, the join is a shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -78,14 +84,17 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def failures(measured: DataFrame) -> DataFrame:
+    def soft(times: int):
+        return (100 * F.col("n_symbols") > times * MAX_SYMBOLS * F.col("n_words")) | (100 * F.col("n_dup_lines") > times * MAX_DUP_LINES * F.col("n_lines"))
+
     return measured.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
-        "soft_failed": (100 * F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")) | (100 * F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines")),
+        "soft_failed": soft(1), "gross_failed": soft(2),
     })
 
 
 def host_verdicts(failed: DataFrame) -> DataFrame:
-    """host, n, rate (shrunk share of failures), bad.
+    """host, n, rate (shrunk share of failures), verdict (0 trusted, 1 watched, 2 bad).
 
     Rates of hosts are taken as beta(a, b) and counts as binomial; a and b follow from the mean and variance over hosts
     (weighted by documents). With one host, or hosts that differ no more than chance, the prior is as strong as all
@@ -95,7 +104,7 @@ def host_verdicts(failed: DataFrame) -> DataFrame:
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     mean, strength = beta_prior(*hosts.agg(F.count("*"), F.sum(n), F.sum(k), F.sum(n * n), F.sum(k * k / n)).first())
     rate = (k + mean * strength) / (n + strength)
-    return hosts.select("host", "n", rate.alias("rate"), (rate > MAX_HOST_RATE).alias("bad"))
+    return hosts.select("host", "n", rate.alias("rate"), ((rate > WATCHED_RATE).cast("int") + (rate > MAX_HOST_RATE).cast("int")).alias("verdict"))
 
 
 def beta_prior(hosts: int, docs: float | None, fails: float | None, squares: float | None, k2_n: float | None) -> tuple[float, float]:
@@ -110,17 +119,17 @@ def beta_prior(hosts: int, docs: float | None, fails: float | None, squares: flo
 
 
 def judge(docs: DataFrame, host: str = "source", salts: int = 32) -> DataFrame:
-    """doc_id, host, counts, base_failed, soft_failed, host_rate, host_bad, kept.
+    """doc_id, host, counts, base_failed, soft_failed, gross_failed, host_rate, host_verdict, kept.
 
     The counts are written once (checkpoint) and read twice: for the verdicts and for the join. Verdicts of few hosts
     are broadcast; a longer table is joined by host and salt, so that a host with a third of all rows is spread.
     """
     failed = cut(failures(measure(docs, host)))
-    verdicts = cut(host_verdicts(failed).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), F.col("bad").alias("host_bad")))
+    verdicts = cut(host_verdicts(failed).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"), F.col("verdict").alias("host_verdict")))
     if verdicts.count() <= BROADCAST_HOSTS:
         joined = failed.join(F.broadcast(verdicts), F.col("host").eqNullSafe(F.col("h")), "left")
     else:
         spread = verdicts.withColumn("salt_h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salted = failed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(salts)).cast("int"))
         joined = salted.join(spread, F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("salt_h")), "left").drop("salt", "salt_h")
-    return joined.drop("h").withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed")))
+    return joined.drop("h").withColumn("kept", ~F.col("base_failed") & ~F.when(F.col("host_verdict") == 2, F.col("soft_failed")).when(F.col("host_verdict") == 1, F.col("gross_failed")).otherwise(False))

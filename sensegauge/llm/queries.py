@@ -177,13 +177,14 @@ counts AS (
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(places.n, 0) AS n_repeat_words FROM d LEFT JOIN places USING (rn)),
 rules AS (
   SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed,
-    100 * n_symbols > {quality.MAX_SYMBOLS} * n_words OR 100 * (len(ls) - len(list_distinct(ls))) > {quality.MAX_DUP_LINES} * len(ls) AS soft_failed FROM counts),
+    100 * n_symbols > {quality.MAX_SYMBOLS} * n_words OR 100 * (len(ls) - len(list_distinct(ls))) > {quality.MAX_DUP_LINES} * len(ls) AS soft_failed,
+    100 * n_symbols > {2 * quality.MAX_SYMBOLS} * n_words OR 100 * (len(ls) - len(list_distinct(ls))) > {2 * quality.MAX_DUP_LINES} * len(ls) AS gross_failed FROM counts),
 hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed OR soft_failed) AS DOUBLE) AS k FROM rules GROUP BY source),
 sums AS (SELECT count(*) AS hosts, sum(n) AS docs, sum(k) / sum(n) AS m, sum(n * n) AS nn, sum(k * k / n) AS kk FROM hosts),
 prior AS (SELECT m, CASE WHEN hosts < 2 OR m <= 0 OR m >= 1 OR b <= 0 THEN docs ELSE least(docs, greatest(1.0, m * (1 - m) / b - 1)) END AS s FROM (SELECT *, (kk - docs * m * m - (hosts - 1) * m * (1 - m)) / (docs - nn / docs) AS b FROM sums)),
 verdicts AS (SELECT source, (k + m * s) / (n + s) AS rate FROM hosts, prior)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-  base_failed, NOT base_failed AND NOT (rate > {quality.MAX_HOST_RATE} AND soft_failed) AS kept, round(rate, 6) AS host_rate FROM rules r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
+  base_failed, NOT base_failed AND NOT (rate > {quality.MAX_HOST_RATE} AND soft_failed) AND NOT (rate > {quality.WATCHED_RATE} AND gross_failed) AS kept, round(rate, 6) AS host_rate FROM rules r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
 """
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_ngram_join, op4_url_filters, op5_token_counts, op6_secrets, op7_decontaminate, op8_sentencepiece, op9_licenses, op10_quality_rules)}

@@ -1,6 +1,7 @@
 """op1, op5, op8, op9, op10 on texts: against brute force, exact round trips and held-out accuracy; and odd inputs."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -241,15 +242,26 @@ def test_quality_counts_against_brute_force(spark, odd):
 
 
 def test_host_verdicts(spark, monkeypatch):
+    """The same three texts on a trusted, a watched and a bad host: what stays is up to the host."""
     good = " ".join(f"word{i}" for i in range(60))
-    marked = " ".join(f"word{i}#" for i in range(60))
-    rows = [(i, good, "good") for i in range(60)] + [(100 + i, "short", "bad") for i in range(50)] + [(200, good, "bad"), (201, marked, "bad"), (202, marked, "good"), (203, good, None), (204, good, "new")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    listed = " ".join(f"word{i}" + ("|" if i % 3 == 0 else "") for i in range(60))
+    junk = " ".join(f"word{i}###" for i in range(60))
+    rows = [(10_000 * h + i, "short" if i < bad else good, host) for h, (host, bad) in enumerate((("trusted", 1), ("watched", 30), ("bad", 85), (None, 1))) for i in range(100)]
+    rows += [(100_000 * (j + 1) + h, t, host) for j, t in enumerate((good, listed, junk)) for h, host in enumerate(("trusted", "watched", "bad", None))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"host": F.lit("own"), "kept": F.lit(1), "n": F.lit(2)})
     for few in (quality.BROADCAST_HOSTS, 0):
         monkeypatch.setattr(quality, "BROADCAST_HOSTS", few)
         got = {r["doc_id"]: r for r in quality.judge(df).collect()}
-        assert len(got) == len(rows) and got[200]["kept"] and not got[201]["kept"] and got[202]["kept"] and got[203]["kept"] and got[204]["kept"] and not got[100]["kept"]
-        assert 0 < got[204]["host_rate"] < 0.5 < got[200]["host_rate"] < 51 / 52
+        assert len(got) == len(rows) and not got[0]["kept"]
+        assert [[got[100_000 * (j + 1) + h]["kept"] for h in range(4)] for j in range(3)] == [[True] * 4, [True, True, False, True], [True, False, False, True]]
+        assert got[0]["host_rate"] < quality.WATCHED_RATE < got[10_000]["host_rate"] < quality.MAX_HOST_RATE < got[20_000]["host_rate"] < 86 / 102
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_host_verdicts_decide_on_the_tables(spark):
+    """Documents that only go by their host's verdict, on tables where all hosts are watched."""
+    got = queries.op10_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed and not kept").collect()
+    assert got and all(2 * r["n_symbols"] > r["n_words"] and quality.WATCHED_RATE < r["host_rate"] < quality.MAX_HOST_RATE for r in got)
 
 
 def test_beta_prior():
