@@ -3,7 +3,8 @@
 The search goes over the pieces that begin at each place of the text and keeps, for each place, the best path to it as a
 backpointer. Only places within the longest piece of the current one can still be left by a piece, so the window is that
 long; whenever the backpointer paths of all these places meet in one boundary, the ids before it are final and are
-committed. Memory does not follow the length of a text.
+committed. The search's memory is that window, whatever the length of a text (where paths never meet, which no text of
+the tests does, the window grows). A text and its ids are a row of the table, so these are in memory whole.
 
 For a unigram model the best path is that with the highest sum of scores. The vocabulary at hand is a BPE model, whose
 encoding is not the path with the best sum. There, a piece may follow another one only if merging their text alone gives
@@ -11,11 +12,13 @@ the two again; a text has just one path of such steps, and that is its BPE encod
 with steps that are allowed or not instead of scores, and gives the library's ids.
 
 Where a vocabulary has no piece that goes over two characters, such as a letter and the space or full stop after it, all
-paths meet. Stretches between such places are words here, and as many of them come again, their ids are remembered, up
-to a bound.
+paths meet. Stretches between such places are words here. Every new word goes through the search; as many words come
+again, the ids that it gave are remembered beside it, up to a bound.
 
-Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded each; other
-columns are ignored; an empty table gives no rows. A U+2581 in a text decodes as a space, as it does with the library.
+Defined results: null and empty texts have no ids and decode to the empty text; very long texts and words are encoded
+whole; repeated rows are encoded each; other columns are kept, but columns named ids or decoded are replaced; an empty
+table gives no rows. Of unigram paths with equal scores the one whose last piece is longest stays. A U+2581 in a text
+decodes as a space, as it does with the library.
 """
 
 from __future__ import annotations
@@ -34,10 +37,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and pairs of pieces that are remembered at most.
 WORDS, PAIRS = 400_000, 500_000
-#: Longest word that is remembered, and searched without a window.
+#: Longest word that is remembered.
 SHORT = 64
-#: Longest stretch of several words that is remembered itself.
-BRIEF = 9
+#: The search looks for a common boundary after so many times the longest piece.
+STEP = 4
+#: Characters of a part of a text that is split into words at once, about.
+CHUNK = 1 << 16
 
 
 class Vocabulary:
@@ -86,6 +91,7 @@ class Codec:
                 node = node[1].setdefault(char, [None, {}])
             node[0] = i
         self.longest = max(map(len, self.ids))
+        self.window = 0  # places that the search has held at once, at most
         self.floor = min(v.scores) - 10
         self.words, self.tokens = Known(), Known()
         self.pairs: dict[int, dict[int, bool]] = {}
@@ -140,102 +146,105 @@ class Codec:
             self.n_pairs += 1
         return known
 
-    def short(self, text: str) -> list[int]:
-        """``search`` for a BPE text of a few characters, which is one window."""
-        n, root, pairs, none = len(text), self.trie, self.pairs, {}
-        # last[j]: id of the piece that ends at j, -1 for an unknown character or the beginning
-        last, back = [-1] * (n + 1), list(range(-1, n))
-        for i in range(n):
-            a, kids, j = last[i], root, i
-            known = pairs.get(a, none)
-            for char in text[i:]:
-                node = kids.get(char)
-                if node is None:
-                    break
-                j += 1
-                piece, kids = node
-                if piece is not None:
-                    if a >= 0 and (ok := known.get(piece)) is not True and (ok is False or not self.follows(a, piece)):
-                        continue
-                    last[j], back[j] = piece, i
-        out, p = [], n
-        while p > 0:
-            out.extend((last[p],) if last[p] >= 0 else reversed(self.unknown(text[back[p] : p])))
-            p = back[p]
-        out.reverse()
-        return out
-
-    def search(self, text: str) -> Iterator[int]:
-        """Ids of normalised text, as they become final."""
-        root, n, bpe, scores = self.trie, len(text), self.v.bpe, self.v.scores
-        floor = self.floor
-        # place: (place before, id or None for an unknown character, score)
-        back: dict[int, tuple[int, int | None, float]] = {0: (-1, -1, 0.0)}
-        done, end = 0, 0
-        for i in range(n):
-            here = back.get(i)
-            if here is not None:
-                last, score, j, single, kids = here[1], here[2], i, False, root
-                while j < n and (node := kids.get(text[j])) is not None:
+    def search(self, text: str, start: int = 0, stop: int | None = None) -> Iterator[list[int]]:
+        """Ids of a part of normalised text, in lists, as they become final.
+
+        The window begins at ``base``, the last place that is known to be on the best path. After each ``STEP`` times the
+        longest piece, the places that later pieces can begin at are followed back until they meet; what is before is
+        final, and the window moves there."""
+        stop = len(text) if stop is None else stop
+        root, pairs, none, longest = self.trie, self.pairs, {}, self.longest
+        bpe, scores, floor, worst = self.v.bpe, self.v.scores, self.floor, float("-inf")
+        # for place base + k: id of the piece that ends there (-1: unknown character, or the beginning), where that piece
+        # begins, and for unigram models the score of the path
+        base, at, last, back, best = start, start, [-1], [start - 1], [0.0]
+        while at < stop:
+            end = min(stop, at + STEP * longest)
+            size, need = len(last), min(stop, end + longest) - base + 1
+            last.extend([-1] * (need - size))
+            back.extend(range(base + size - 1, base + need - 1))
+            if not bpe:
+                best.extend([worst] * (need - size))
+            for i in range(at, end):
+                k = i - base
+                a, kids, j = last[k], root, k
+                known = pairs.get(a, none)
+                for char in text[i : min(i + longest, stop)]:
+                    node = kids.get(char)
+                    if node is None:
+                        break
                     j += 1
                     piece, kids = node
-                    if piece is not None:
-                        single |= j == i + 1
-                        if bpe:
-                            if last is None or last == -1 or self.follows(last, piece):
-                                back[j] = (i, piece, 0.0)
-                        elif (old := back.get(j)) is None or score + scores[piece] > old[2]:
-                            back[j] = (i, piece, score + scores[piece])
-                if not single and (bpe or (old := back.get(i + 1)) is None or score + floor > old[2]):
-                    back[i + 1] = (i, None, score + floor)
-            if i + 1 - done >= 4 * self.longest or i + 1 == n:
-                live = [p for p in range(max(done, i + 2 - self.longest), i + 1 + self.longest) if p in back] if i + 1 < n else [n]
-                while len(live) > 1:
-                    top = max(live)
-                    live = sorted({*(p for p in live if p != top), back[top][0]}) if back[top][0] >= done else [done]
-                end = max(done, live[0])
-                path, p = [], end
-                while p > done:
-                    path.append((back[p][0], p, back[p][1]))
-                    p = back[p][0]
-                for a, b, piece in reversed(path):
-                    yield from self.unknown(text[a:b]) if piece is None else (piece,)
-                if end > done:
-                    for p in range(done, end):
-                        back.pop(p, None)
-                    done = end
+                    if piece is None:
+                        continue
+                    if bpe:
+                        if a >= 0 and (ok := known.get(piece)) is not True and (ok is False or not self.follows(a, piece)):
+                            continue
+                        last[j], back[j] = piece, i
+                    elif best[k] + scores[piece] > best[j]:
+                        last[j], back[j], best[j] = piece, i, best[k] + scores[piece]
+                if not bpe and best[k] + floor > best[k + 1] and ((node := root.get(text[i])) is None or node[0] is None):
+                    last[k + 1], back[k + 1], best[k + 1] = -1, i, best[k] + floor
+            self.window = max(self.window, len(last))
+            # places from ``end`` on that a piece from before ends at; all later paths go through one of them
+            live = {p for p in range(end, base + len(last)) if p == end or back[p - base] < end} if end < stop else {stop}
+            while len(live) > 1:
+                top = max(live)
+                live.remove(top)
+                live.add(back[top - base])
+            (meet,) = live
+            ids, p = [], meet
+            while p > base:
+                piece, before = last[p - base], back[p - base]
+                ids.extend((piece,) if piece >= 0 else reversed(self.unknown(text[before:p])))
+                p = before
+            ids.reverse()
+            if ids:
+                yield ids
+            del last[: meet - base], back[: meet - base], best[: meet - base]
+            base, at = meet, end
 
     def unknown(self, char: str) -> list[int]:
         return [self.v.bytes[b] for b in char.encode()] if self.v.bytes else [self.v.unknown]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as 32-bit integers."""
-        if not text:
-            return b""
+    def coded(self, text: str) -> Iterator[bytes]:
+        """Ids of a text as 32-bit integers, by parts of the text of about CHUNK characters. Beside the text and its ids, no
+        more than a part and the search's window is in memory."""
         if self.word is None:
-            return array("i", self.search(SPACE + text.replace(" ", SPACE))).tobytes()
-        if text[0] == " " or "  " in text or SPACE in text:  # runs of spaces are pieces too
-            return self.of_stretch(SPACE + text.replace(" ", SPACE))
-        tokens = text.split(" ")
-        found = list(map(self.tokens.get, tokens))
-        for at in [i for i, ids in enumerate(found) if ids is None]:
-            token = tokens[at]
-            ids = self.tokens.get(token) or self.tokens.again(token)
-            found[at] = self.tokens.add(token, ids) if ids else self.of_stretch(SPACE + token)
-        return b"".join(found)
-
-    def of_stretch(self, text: str) -> bytes:
-        """Ids of the words of a text, which are remembered; those that begin with one space by what follows it."""
-        words = (self.space if self.odd is not None and self.odd.search(text) else self.word).findall(text)
-        out = []
-        for w in words:
-            known, key = (self.tokens, w[1:]) if w[0] == SPACE and len(w) > 1 and w[1] != SPACE else (self.words, w)
-            out.append(known.get(key) or known.add(key, known.again(key) or self.of_word(w)))
-        ids = b"".join(out)
-        return self.tokens.add(text[1:], ids) if len(words) > 1 and text[0] == SPACE and len(text) <= BRIEF else ids
+            yield from (array("i", ids).tobytes() for ids in self.search(SPACE + text.replace(" ", SPACE)))
+            return
+        at = 0
+        while at < len(text):
+            cut = text.find(" ", at + CHUNK)
+            while cut != -1 and (text[cut - 1] in (" ", SPACE)):
+                cut = text.find(" ", cut + 1)
+            cut = len(text) if cut == -1 else cut
+            part = text[at:cut] if at == 0 else text[at + 1 : cut]  # all parts but the first begin with a space
+            if part.startswith(" ") or "  " in part or SPACE in part:  # runs of spaces are pieces too
+                yield from self.of_stretch(SPACE + part.replace(" ", SPACE))
+            else:
+                tokens = part.split(" ")
+                found = list(map(self.tokens.get, tokens))
+                for i in [i for i, ids in enumerate(found) if ids is None]:
+                    token = tokens[i]
+                    ids = self.tokens.get(token) or self.tokens.again(token) or b"".join(self.of_stretch(SPACE + token))
+                    found[i] = self.tokens.add(token, ids)
+                yield b"".join(found)
+            at = cut
 
-    def of_word(self, word: str) -> bytes:
-        return array("i", self.short(word) if self.v.bpe and len(word) <= SHORT else self.search(word)).tobytes()
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.coded(text))
+
+    def of_stretch(self, text: str) -> Iterator[bytes]:
+        """Ids of the words of normalised text: what is remembered, or else found by the search."""
+        for m in (self.space if self.odd is not None and self.odd.search(text) else self.word).finditer(text):
+            if m.end() - m.start() > SHORT:
+                yield from (array("i", ids).tobytes() for ids in self.search(text, m.start(), m.end()))
+                continue
+            w = m.group()
+            known, key = (self.tokens, w[1:]) if w[0] == SPACE and len(w) > 1 and w[1] != SPACE else (self.words, w)
+            ids = known.get(key) or known.again(key) or array("i", [i for ids in self.search(w) for i in ids]).tobytes()
+            yield known.add(key, ids)
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
@@ -262,6 +271,8 @@ def encode(docs: DataFrame, sent, decoded: bool = False) -> DataFrame:
     """docs with ``ids``, and with ``decoded``, the text that these ids give, if asked for. sent: a broadcast Vocabulary.
     docs: doc_id, text, and others that are kept."""
 
+    docs = docs.drop("ids", *["decoded"] * decoded)
+
     def run(batches):
         own = codec(sent)
         for part in (p for b in batches for p in slices(b)):
@@ -277,6 +288,7 @@ def encode(docs: DataFrame, sent, decoded: bool = False) -> DataFrame:
 
 def decode(encoded: DataFrame, sent) -> DataFrame:
     """encoded (with ids) with ``decoded``."""
+    encoded = encoded.drop("decoded")
 
     def run(batches):
         own = codec(sent)

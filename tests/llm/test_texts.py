@@ -154,10 +154,33 @@ def test_ids_are_the_librarys(library, monkeypatch):
             monkeypatch.setattr(pieces, "WORDS", 20)
             monkeypatch.setattr(pieces, "PAIRS", 20)
         if x:
-            assert list(codec.search("▁" + x.replace(" ", "▁"))) == ids
+            assert [i for part in codec.search("▁" + x.replace(" ", "▁")) for i in part] == ids
         assert codec.decode(ids) == x.replace("▁", " ")
 
 
+def test_the_window_does_not_follow_the_length_of_a_word(library):
+    codec = pieces.Codec(pieces.Vocabulary.read())
+    random.seed(5)
+    word = "".join(random.choice(["ing", "un", "th", "e", "r", "é", "漢"]) for _ in range(1000))
+    ids = library.encode(word * 20)
+    assert list(memoryview(codec.encode(word * 20)).cast("i")) == ids
+    long = word * (10_000_000 // len(word))
+    n, longest = 0, 0
+    for part in codec.search(long):
+        n, longest = n + len(part), max(longest, len(part))
+    assert len(ids) / len(word * 20) == pytest.approx(n / len(long), rel=1e-3)
+    assert codec.window <= (2 * pieces.STEP + 2) * codec.longest and longest <= codec.window * 4
+
+
+def test_parts_of_a_text_are_cut_where_paths_meet(library, monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 7)
+    codec = pieces.Codec(pieces.Vocabulary.read())
+    random.seed(6)
+    for _ in range(200):
+        x = "".join(random.choice([" ", "  ", "ab", "the", "▁", ".", "é", "\n", "of "]) for _ in range(40))
+        assert list(memoryview(codec.encode(x)).cast("i")) == library.encode(x)
+
+
 def test_unigram_search_finds_the_best_path():
     random.seed(2)
     pool = ["".join(random.choice("ab") for _ in range(random.randint(2, 4))) for _ in range(12)]
@@ -169,7 +192,7 @@ def test_unigram_search_finds_the_best_path():
         best = [0.0] + [-1e9] * n
         for j in range(1, n + 1):
             best[j] = max(best[j - len(p)] + s for p, s in zip(names[1:], scores[1:], strict=True) if text[:j].endswith(p))
-        ids = list(codec.search(text))
+        ids = [i for part in codec.search(text) for i in part]
         assert "".join(names[i] for i in ids) == text and sum(scores[i] for i in ids) == pytest.approx(best[n])
 
 
@@ -179,6 +202,9 @@ def test_round_trip(spark, odd):
     for found in (one, two):
         assert all(r["decoded"] == (r["text"] or "") for r in found.collect())
     assert pieces.encode(odd.where("false"), sent).count() == 0
+    clash = odd.withColumns({"ids": F.lit("own"), "Decoded": F.lit(1)})
+    assert pieces.encode(clash, sent, decoded=True).where("decoded <> coalesce(text, '')").count() == 0
+    assert pieces.decode(pieces.encode(clash, sent), sent).where("decoded <> coalesce(text, '')").count() == 0
 
 
 # --- op9, op10 --------------------------------------------------------------------------------------------------------
