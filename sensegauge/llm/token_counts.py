@@ -1,7 +1,8 @@
 """Edit-aware token counts from segment trees.
 
 A text is cut into segments of about ``SEGMENT`` characters where pre-tokens are bound to end: before a single space
-between two characters that are not white space. That needs three characters only, so cuts outside an edit stay valid.
+between two characters that are not white space, and between letters, digits and signs. That needs three characters only,
+so cuts outside an edit stay valid. A stretch of one kind, such as 10,000 letters, is one pre-token and one segment.
 A tree over the segments holds sums of characters and tokens. An edit re-encodes the segments that it touches, together
 with the segment beside it where the cut between them is no longer one, and updates the sums above them; everything
 else keeps its count. Counts equal those of encoding the whole text anew.
@@ -9,9 +10,11 @@ else keeps its count. Counts equal those of encoding the whole text anew.
 The tree is kept with the document: ``tree`` holds the segments' characters and tokens. ``build`` makes trees,
 ``edit`` applies edits to documents with trees and returns new texts, trees and counts.
 
-Defined results: null and empty texts have no segments and no tokens, and may be edited; a null list of edits is empty;
-start and stop of an edit are put in order and into the text (code points of the text as it is then); a null
-replacement is empty; repeated rows are counted each; other columns are ignored; an empty table gives no rows.
+Defined results: null and empty texts have no segments and no tokens, and may be edited; very long texts are counted and
+edited whole; a null list of edits is empty; edits of equal ``seq`` follow in the order of start, stop and replacement;
+start and stop of an edit are put in order and into the text (code points of the text as it is then); a null replacement
+is empty; repeated rows are counted each; other columns are kept by ``build``, but a column named tree is replaced; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import base64
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +39,21 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+#: Where a pre-token is bound to end, whatever stands around: before a single space; between letter, digit and sign, but
+#: after an apostrophe, which may begin a pre-token such as 's. Characters of other kinds are left alone.
+CUT = regex.compile(r"(?<=\S) (?=\S)|(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])|(?<=[\p{P}\p{S}])(?=\p{N})|(?<=[\p{P}\p{S}--'])(?=\p{L})", regex.V1)
+
+
 def is_cut(before: str, text: str) -> bool:
     """Whether a pre-token is bound to end before text, where the character before it is given."""
-    return len(text) > 1 and text[0] == " " and not before.isspace() and not text[1].isspace()
+    return CUT.match(before + text[:2], 1) is not None
 
 
 def segments(text: str, size: int = SEGMENT) -> list[str]:
     out, at, n = [], 0, len(text)
     while at < n:
-        cut = text.find(" ", at + size)
-        while cut != -1 and not is_cut(text[cut - 1], text[cut : cut + 2]):
-            cut = text.find(" ", cut + 1)
-        cut = n if cut == -1 else cut
+        found = CUT.search(text, at + size) if at + size < n else None
+        cut = found.start() if found else n
         out.append(text[at:cut])
         at = cut
     return out
@@ -156,6 +163,7 @@ def _trees(parts: list[list[tuple[int, int]]]) -> pa.Array:
 
 def build(docs: DataFrame, sent) -> DataFrame:
     """docs with ``tree``; docs: doc_id, text, and others that are kept."""
+    docs = docs.drop("tree")
 
     def run(batches):
         count = counter(sent)

@@ -104,8 +104,8 @@ def test_edits_count_as_encoding_anew(spark):
 
     count = token_counts.counter(Sent)
     random.seed(3)
-    letters = ["a", " ", "  ", "\n", "'s", "1", "é", "don't", " x", "\t", "!", " ", "漢"]
-    for k in range(300):
+    letters = ["a", " ", "  ", "\n", "'s", "1", "é", "don't", " x", "\t", "!", "\u00a0", "漢字", "。", "'", "\u0301", "²", "一", "\x1c", "€", "का", "🙂", "\u200b", "\u3000"]
+    for k in range(400):
         text = "".join(random.choice(letters) for _ in range(random.choice([0, 3, 40, 3000])))
         own = token_counts.segments(text)
         tree = token_counts.Tree(own, [count(s) for s in own], count)
@@ -119,6 +119,15 @@ def test_edits_count_as_encoding_anew(spark):
             assert "".join(t for t, _ in tree.leaves()) == text and tree.tokens[1] == count(text)
 
 
+def test_text_without_spaces_is_cut(spark):
+    sent = token_counts.ship(spark, token_counts.read_ranks())
+    text = "漢字，字漢字。" * 2500
+    assert max(map(len, token_counts.segments(text))) < token_counts.SEGMENT + 10
+    docs = spark.createDataFrame([(1, text, "own", [(9000, 9001, "x")])], "doc_id long, text string, Tree string, edits array<struct<start: int, stop: int, replacement: string>>")
+    got = token_counts.edit(token_counts.build(docs, sent), sent).first()
+    assert got["n_tokens"] == token_counts.counter(sent)(text[:9000] + "x" + text[9001:]) and 0 < got["encoded"] < 500
+
+
 def test_only_what_edits_touch_is_encoded(spark):
     sent = token_counts.ship(spark, token_counts.read_ranks())
     docs = spark.createDataFrame([(1, "some words here " * 2000), (2, None)], "doc_id long, text string")
