@@ -1,122 +1,30 @@
 """License scans: ordered signature rules over a text's words.
 
-A rule is a regular expression over the words joined by single spaces, the keywords without which it cannot match, a
-label, a priority and a confidence. Keywords are looked up first, for all words of a slice at once; a rule's expression
-runs only on texts that hold all its keywords. Of overlapping detections those go whose words lie within the words of
-one accepted before; acceptance is by priority, then length, then position.
-
-The rules, some hundreds, are the product of hand-written license names and hand-written phrases.
-
-Defined results: null and empty texts have no words, no places, empty labels and score 0; repeated rows are scanned
-each; other columns of the input are ignored; an empty table gives no rows.
+A rule is a regular expression over the words joined by single spaces, a gate of words without which it cannot match, a
+label, a priority and a confidence; the rules are hand-written, see ``license_rules``. Gates are looked up first, for all
+words of a slice at once; a rule's expression runs only on texts that hold the words of its gate. Of overlapping
+detections those go whose words lie within the words of one accepted before; acceptance is by priority, then length,
+then position.
+
+Defined results: null and empty texts have no words, no places, empty labels and score 0; very long texts are scanned
+whole; repeated rows are scanned each; other columns of the input are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sensegauge.llm.kernels import ALNUM_LOWER, Words, bit_table, map_slices, member, text_bytes
+from sensegauge.llm.license_rules import Rule, rules
 
 #: Phrase and label of the base detections.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-LICENSES = (
-    # label, expression over words, keywords
-    ("apache-2.0", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache"),
-    ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)? 1 1", "apache"),
-    ("apache", r"apache(?: software)?(?: public)?", "apache"),
-    ("mit-0", r"mit (?:0|no attribution)", "mit"),
-    ("mit", r"(?:mit|expat)", "mit"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd"),
-    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", "bsd"),
-    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd"),
-    ("bsd", r"bsd(?: style)?", "bsd"),
-    ("gpl-2.0", r"(?:gnu )?(?:gpl|general public license)(?: license)?(?: version)? v?2(?: 0)?", ""),
-    ("gpl-3.0", r"(?:gnu )?(?:gpl|general public license)(?: license)?(?: version)? v?3(?: 0)?", ""),
-    ("gpl", r"(?:gnu )?(?:gpl|general public license)", ""),
-    ("lgpl-2.1", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version)? v?2 1", ""),
-    ("lgpl-3.0", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version)? v?3(?: 0)?", ""),
-    ("lgpl", r"(?:gnu )?(?:lgpl|lesser general public license|library general public license)", ""),
-    ("agpl-3.0", r"(?:gnu )?(?:agpl|affero general public license)(?: version)? v?3(?: 0)?", ""),
-    ("agpl", r"(?:gnu )?(?:agpl|affero general public license)", ""),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version)? 1 1", ""),
-    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version)? 2(?: 0)?", ""),
-    ("epl-1.0", r"(?:eclipse public license|epl)(?: version)? 1(?: 0)?", ""),
-    ("epl-2.0", r"(?:eclipse public license|epl)(?: version)? 2(?: 0)?", ""),
-    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version)?(?: 1(?: 0)?)?", ""),
-    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version)?(?: v?1 2)?", ""),
-    ("artistic-2.0", r"(?:perl )?artistic(?: license)?(?: 2(?: 0)?)?", "artistic"),
-    ("isc", r"isc", "isc"),
-    ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("bsl-1.0", r"boost software(?: license)?(?: version)?(?: 1(?: 0)?)?", "boost"),
-    ("python-2.0", r"(?:python software foundation|psf)(?: license)?(?: version)?(?: 2(?: 0)?)?", ""),
-    ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", ""),
-    ("cc0-1.0", r"(?:cc0|cc zero|creative commons zero)(?: 1(?: 0)?)?", ""),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))(?: [1-4] 0)?", ""),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?", ""),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?", ""),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))(?: [1-4] 0)?", ""),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?", ""),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: [1-4] 0)?", ""),
-    ("ofl-1.1", r"(?:sil )?open font(?: license)?(?: version)?(?: 1 1)?", "font"),
-    ("odbl-1.0", r"(?:open database license|odbl)(?: 1(?: 0)?)?", ""),
-    ("public-domain", r"public domain", "domain"),
-)
-
-PHRASES = (
-    # expression around the name, keyword, confidence
-    (r"licen[cs]ed(?: to you)?(?: only)? under (?:the )?(?:terms of )?(?:the )?{0}", "licensed", 0.95),
-    (r"released (?:under|into) (?:the )?(?:terms of the )?{0}", "released", 0.95),
-    (r"distributed under (?:the )?(?:terms of the )?{0}", "distributed", 0.95),
-    (r"available under (?:the )?(?:terms of the )?{0}", "available", 0.9),
-    (r"under the terms of (?:the )?{0}", "terms", 0.9),
-    (r"covered by (?:the )?{0}", "covered", 0.85),
-    (r"spdx licen[cs]e identifier {0}", "spdx", 1.0),
-    (r"{0} licen[cs]e", "license", 0.8),
-)
-
-OTHERS = (
-    # label, expression, keyword, priority, confidence
-    ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 20, 0.6),
-    ("copyright", r"(?:c )?copyright by", "copyright", 20, 0.5),
-    ("reserved", r"all rights reserved(?: worldwide)?", "reserved", 20, 0.6),
-    ("proprietary", r"(?:proprietary and confidential|confidential and proprietary|unlicensed proprietary)", "proprietary", 60, 0.9),
-    ("permission-notice", r"permission is hereby granted free of charge to any person obtaining a copy", "permission", 70, 0.9),
-    ("warranty-disclaimer", r"provided as is without warranty of any kind", "warranty", 40, 0.7),
-    ("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 70, 0.9),
-    ("gpl", r"this program is free software you can redistribute it and or modify", "redistribute", 70, 0.9),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 70, 0.95),
-)
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    pattern: str
-    keywords: tuple[str, ...]
-    priority: int
-    confidence: float
-
-
-def rules() -> list[Rule]:
-    """In order: a more specific name (earlier in LICENSES) goes before a less specific one, a phrase before a bare name."""
-    out = [Rule(label, f" {rx} ", (word,), priority, confidence) for label, rx, word, priority, confidence in OTHERS]
-    for i, (label, name, word) in enumerate(LICENSES):
-        for j, (phrase, keyword, confidence) in enumerate(PHRASES):
-            out.append(Rule(label, f" {phrase.format(f'(?:{name})')} ", tuple(w for w in (keyword, word) if w), 200 - i - j, confidence))
-    return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern))
-
-
-#: A keyword's other spellings open the same gate.
-SPELLINGS = {"license": ("license", "licence"), "licensed": ("licensed", "licenced"), "mit": ("mit", "expat"), "bsd": ("bsd", "freebsd")}
-
-
 def _codes(words: list[str]) -> np.ndarray:
     data, offsets = text_bytes(pa.array([" ".join(words)]))
     return Words(data, offsets, ALNUM_LOWER).codes
@@ -126,7 +34,7 @@ def scan_words(text: str, found: set[str], ordered: list[tuple[Rule, re.Pattern]
     """Detections (first word, word after the last, rule) that stand. text: words between single spaces, one at each end."""
     spans = []
     for rule, rx in ordered:
-        if found.issuperset(rule.keywords):
+        if not any(found.isdisjoint(one) for one in rule.gate):
             at = 0
             while m := rx.search(text, at):
                 spans.append((m.start(), m.end() - 1, rule))
@@ -142,10 +50,9 @@ def scan_words(text: str, found: set[str], ordered: list[tuple[Rule, re.Pattern]
 
 def scanner():
     ordered = [(r, re.compile(r.pattern)) for r in rules()]
-    keywords = sorted({w for r, _ in ordered for w in r.keywords})
-    spelled = [(w, s) for w in keywords for s in SPELLINGS.get(w, (w,))]
-    codes = _codes([s for _, s in spelled])
-    by_code = dict(zip(codes.tolist(), (w for w, _ in spelled), strict=True))
+    keywords = sorted({w for r, _ in ordered for one in r.gate for w in one})
+    codes = _codes(keywords)
+    by_code = dict(zip(codes.tolist(), keywords, strict=True))
     table = np.sort(codes)
     bits = bit_table(table)
     base = [(_codes(phrase.split()), label) for phrase, label in BASE]

@@ -239,19 +239,61 @@ def test_base_license_places_against_brute_force(spark):
 @pytest.mark.parametrize("text, labels", [
     ("Released under the MIT License.", "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"), ("nothing here", ""), ("mit dem Hund", ""),
     ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("GPL-3.0", "gpl-3.0"), ("CC BY-SA 4.0", "cc-by,cc-by-sa"),
+    ("SPDX-License-Identifier: MIT", "mit"), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"), ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
 ])
 def test_license_labels(spark, text, labels):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels
 
 
-def test_license_gates_lose_nothing(spark):
-    """With all gates open the same rules stand."""
-    ordered = [(r, re.compile(r.pattern)) for r in licenses.rules()]
-    every = {w for r, _ in ordered for w in r.keywords}
-    rows = [f"a b {phrase.split('{')[0].replace('licen[cs]ed', 'licensed')} text" for phrase, _, _ in licenses.PHRASES] + ["Licenced under the Expat licence", "available under the FreeBSD license", "Copyright (c) 2020 by us. All rights reserved worldwide"]
-    for r, text in zip(licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect(), rows, strict=True):
-        joined = " " + " ".join(w.decode() for w in words_of(text)) + " "
-        assert r["spans"] == ",".join(f"{rule.label}:{a}:{b}" for a, b, rule in licenses.scan_words(joined, every, ordered))
+def test_license_rules_are_many_and_their_gates_lose_nothing():
+    """Whatever an expression matches holds a word of each set of its gate."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from sensegauge.llm import license_rules
+
+    written = [x for t in (license_rules.NOTICES, license_rules.RESERVATIONS, license_rules.NAMES) for x in license_rules._lines(t)]
+    assert len(written) >= 200 and len({rx for *_, rx in written}) == len(written)
+    every = licenses.rules()
+    assert len({r.priority for r in every}) == len(every)
+
+    @settings(max_examples=4, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.data())
+    def holds(data):
+        for rule in every:
+            words = set(data.draw(st.from_regex(re.compile(rule.pattern, re.A), fullmatch=True)).split())
+            assert all(words & one for one in rule.gate), rule
+
+    holds()
+
+
+def brute_licenses(text, every):
+    """All rules without gates; then a detection stands unless one that goes before it, and stands, covers it."""
+    joined = " " + " ".join(w.decode() for w in words_of(text)) + " "
+    found = []
+    for r in every:
+        at = 0
+        while m := re.compile(r.pattern).search(joined, at):
+            found.append((joined[: m.start()].count(" "), joined[: m.end() - 1].count(" "), r))
+            at = m.end() - 1
+    found.sort(key=lambda s: (-s[2].priority, len(joined), s[0]))
+    stands = []
+    for a, b, r in found:
+        if not any(c <= a and b <= d for c, d, _ in stands):
+            stands.append((a, b, r))
+    return sorted((a, b, r.label) for a, b, r in stands)
+
+
+def test_licenses_against_brute_force(spark):
+    random.seed(11)
+    every = licenses.rules()
+    bits = ["Licensed under the", "distributed under the terms of the", "SPDX-License-Identifier:", "GPL", "gnu general public license", "version 3", "v2.0", "MIT", "License", "apache", "2.0", "cc by", "nc", "sa", "4.0 international", "all rights reserved", "worldwide", "Copyright (c) 2020", "by", "public domain", "in the", "x", "é", "permission is hereby granted free of charge to any person obtaining", "a copy of this software", "mozilla public license", "lesser", "affero", "as is"]
+    rows = [(i, " ".join(random.choice(bits) for _ in range(random.choice([1, 5, 20, 60])))) for i in range(150)] + [(900, None), (None, "MIT License"), (901, ""), (902, "MIT License " * 3000), (902, "MIT License")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"labels": F.lit("own"), "Score": F.lit(1), "spans": F.lit(2)})
+    got = sorted(((r["doc_id"], r["spans"]) for r in licenses.scan(df).collect()), key=str)
+    assert got == sorted([(d, ",".join(f"{label}:{a}:{b}" for a, b, label in brute_licenses(t, every))) for d, t in rows if t is None or len(t) < 10_000] + [(902, ",".join(f"mit:{2 * i}:{2 * i + 2}" for i in range(3000)))], key=str)
+    assert licenses.scan(df.where("false")).count() == 0
 
 
 def brute_quality(text):
