@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import _POWERS, LINES, TEXT, ByteClass, Words, map_arrow, map_slices, mix, slices, text_bytes
-from sensegauge.llm.shared import cut, dealt_join, hot_keys, scratch
+from sensegauge.llm.kernels import _POWERS, LINES, TEXT, ByteClass, Words, bit_table, map_arrow, map_slices, member, mix, slices, text_bytes
+from sensegauge.llm.shared import cut, dealt_join, few, hot_keys, scratch
 
 #: Words of a line from which on one of them may differ: one in ten.
 NEAR_WORDS = 10
+#: Places of lines that are broadcast at most, eight bytes each; more go by shuffle.
+MAX_SENT = 1 << 21
 _U = np.uint64
 #: A line of these only is without a word.
 BLANK = " \t\x0b\x0c\r"
@@ -109,50 +111,50 @@ def _all_lines(docs: DataFrame, kind: str, near_words: int) -> DataFrame:
     return map_slices(docs, make, f"h1 long, h2 long, doc_id {kind}, line int, keys array<long>")
 
 
-def _variants(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
-    """v, place, h1, h2, doc_id, line of the variants of the lines asked for: h1, h2, doc_id, line, one occurrence each.
-
-    Only documents with such a line are read. ``lines`` holds line numbers of one document, as many as it has at most."""
-    wanted = asked.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    rows = docs.join(wanted, "doc_id")
+def _with_lines(docs: DataFrame, asked: DataFrame, columns, names: list[str], schema: str) -> DataFrame:
+    """columns(row batch, Lines, which lines are asked for) of the documents that hold lines asked for: doc_id, line, written
+    already. Places that are few are broadcast as hashes; more meet the documents by shuffle, as numbers by document, which
+    are as many as it has lines at most."""
+    if few(asked, MAX_SENT):
+        places = asked.select(F.xxhash64("doc_id").alias("d"), F.col("line").cast("long").alias("line")).toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast(np.unique(_place(places.column("d").to_numpy(), places.column("line").to_numpy())))
+        rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("d"))
+    else:
+        sent, rows = None, docs.join(asked.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "doc_id").select("doc_id", "text", "lines")
 
     def run(batches):
+        table = sent.value if sent else None
+        bits = bit_table(table) if sent else None
         for part in (p for b in batches for p in slices(b)):
-            lines, v, of, place = _chosen(part)
-            yield pa.RecordBatch.from_arrays(
-                [_longs(v), pa.array(place.astype(np.int32)), _longs(lines.h1[of]), _longs(lines.h2[of]), part.column("doc_id").take(pa.array(lines.rows[of])), pa.array(lines.numbers[of].astype(np.int32))],
-                ["v", "place", "h1", "h2", "doc_id", "line"],
-            )
-
-    return map_arrow(rows.select("doc_id", "text", "lines"), run, f"v long, place int, h1 long, h2 long, doc_id {kind}, line int")
-
+            lines = Lines(part.column("text"))
+            if sent:
+                use = np.zeros(len(lines.n), bool)
+                use[member(_place(part.column("d").to_numpy()[lines.rows], lines.numbers), table, bits)] = True
+            else:
+                own = part.column("lines")
+                use = np.isin(lines.rows.astype(np.int64) << 32 | lines.numbers, np.repeat(np.arange(part.num_rows), np.diff(own.offsets.to_numpy())) << 32 | own.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays(columns(part, lines, use), names)
 
-def _of_rows(part: pa.RecordBatch, lines: Lines) -> np.ndarray:
-    """Which lines are named in the row's column ``lines``."""
-    asked = part.column("lines")
-    codes = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy())) << 32 | asked.flatten().to_numpy()
-    return np.isin(lines.rows.astype(np.int64) << 32 | lines.numbers, codes)
+    return map_arrow(rows, run, schema)
 
 
-def _chosen(part: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray]:
-    lines = Lines(part.column("text"))
-    use = _of_rows(part, lines)
-    v, of, place = lines.variants()
-    use = use[of]
-    return lines, v[use], of[use], place[use]
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.int64).view(_U) + mix(line.astype(_U) + _U(1)))
 
 
-def _texts(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
-    """doc_id, line, h1, h2, text of the lines asked for: doc_id, line."""
-    wanted = asked.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+def _variants(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """v, place, h1, h2, at (doc_id, line) of the variants of the lines at the places asked for; the whole line has its text."""
 
-    def run(batches):
-        for part in (p for b in batches for p in slices(b)):
-            lines = Lines(part.column("text"))
-            use = np.flatnonzero(_of_rows(part, lines))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(lines.rows[use])), pa.array(lines.numbers[use].astype(np.int32)), _longs(lines.h1[use]), _longs(lines.h2[use]), lines.texts(use)], ["doc_id", "line", "h1", "h2", "text"])
+    def columns(part, lines, use):
+        v, of, place = lines.variants()
+        use = use[of]
+        v, of, place = v[use], of[use], place[use]
+        whole = int((place < 0).sum())  # these come first
+        text = pa.concat_arrays([lines.texts(of[:whole]), pa.nulls(len(of) - whole, pa.string())])
+        return [_longs(v), pa.array(place.astype(np.int32)), _longs(lines.h1[of]), _longs(lines.h2[of]), part.column("doc_id").take(pa.array(lines.rows[of])), pa.array(lines.numbers[of].astype(np.int32)), text]
 
-    return map_arrow(docs.join(wanted, "doc_id").select("doc_id", "text", "lines"), run, f"doc_id {kind}, line int, h1 long, h2 long, text string")
+    found = _with_lines(docs, asked, columns, ["v", "place", "h1", "h2", "doc_id", "line", "text"], f"v long, place int, h1 long, h2 long, doc_id {kind}, line int, text string")
+    return found.select("v", "place", "h1", "h2", F.struct("doc_id", "line").alias("at"), "text")
 
 
 def one_edit(a: list[str], b: list[str]) -> bool:
@@ -176,25 +178,23 @@ def _near(docs: DataFrame, distinct: DataFrame, kind: str) -> DataFrame:
     keys = distinct.select(F.explode("keys").alias("key"), "h1", "h2")
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key", "c"))
     met = dealt_join(keys, shared.select("key"), ["key"], hot_keys(shared, ["key"], "c"), F.xxhash64("h1")).select("h1", "h2").distinct()
-    asked = distinct.select("h1", "h2", "at.*").join(met, ["h1", "h2"], "left_semi")
-    # of rows that share a doc_id, others may have another line at this place
-    variants = _variants(docs, asked, kind).join(asked.select("h1", "h2", F.struct("doc_id", "line").alias("at")), ["h1", "h2"]).where(F.col("at") == F.struct("doc_id", "line"))
-    variants = cut(variants.select("v", "place", "h1", "h2", "at").distinct())
-    less = F.col("place") >= 0
-    of = variants.groupBy("v").agg(F.count("*").alias("c"), F.min(F.when(less, F.col("at"))).alias("first_less"), F.min(F.when(~less, F.col("at"))).alias("first_whole"), F.min("h1").alias("x"), F.max("h1").alias("y"))
+    with_text = cut(_variants(docs, cut(distinct.join(met, ["h1", "h2"], "left_semi").select("at.*")), kind))
+    variants = with_text.drop("text")
+    # rows that share a doc_id may have another line at a place asked for, so a line may be there at several places; the
+    # first one and its hash are kept, as a line is no near copy of itself
+    less, first = F.col("place") >= 0, F.struct("at", "h1", "h2")
+    of = variants.groupBy("v").agg(F.count("*").alias("c"), F.min(F.when(less, first)).alias("first_less"), F.min(F.when(~less, first)).alias("first_whole"), F.min("h1").alias("x"), F.max("h1").alias("y"))
     of = cut(of.where("x <> y").drop("x", "y"))
-    same = cut(variants.where(less).groupBy("v", "place").agg(F.count("*").alias("c"), F.min("at").alias("earlier"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").drop("x", "y"))
+    same = cut(variants.where(less).groupBy("v", "place").agg(F.count("*").alias("c"), F.min(first).alias("earlier"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").drop("x", "y"))
     # a whole line meets lines with a word left out, and those of the same words; a line with a word left out meets whole
     # ones, and those without one at the same place
     by_text = dealt_join(variants, of.drop("c"), ["v"], hot_keys(of, ["v"], "c"), F.xxhash64("h1")).select("h1", "h2", "at", F.explode(F.array(F.when(~less, F.col("first_less")), F.col("first_whole"))).alias("earlier"))
     by_place = dealt_join(variants, same.drop("c"), ["v", "place"], hot_keys(same, ["v", "place"], "c"), F.xxhash64("h1")).select("h1", "h2", "at", "earlier")
-    found = cut(by_text.unionByName(by_place).where("earlier < at").distinct())
-    asked = found.select("at.*").union(found.select("earlier.*")).distinct()
-    texts = cut(_texts(docs, asked, kind).withColumn("place", F.struct("doc_id", "line")))
-    often = cut(found.groupBy("earlier").agg(F.count("*").alias("c")))
-    other = texts.groupBy(F.col("place").alias("earlier")).agg(F.min("text").alias("other"))
-    own = texts.groupBy("h1", "h2").agg(F.min("text").alias("text"))
-    pairs = dealt_join(found, other, ["earlier"], hot_keys(often, ["earlier"], "c"), F.xxhash64("h1")).join(own, ["h1", "h2"])
+    found = by_text.unionByName(by_place).where("earlier.at < at and (earlier.h1 <> h1 or earlier.h2 <> h2)")
+    found = cut(found.select("h1", "h2", F.col("earlier.h1").alias("o1"), F.col("earlier.h2").alias("o2")).distinct())
+    texts = with_text.where("place < 0").groupBy("h1", "h2").agg(F.min("text").alias("text"))
+    often = cut(found.groupBy("o1", "o2").agg(F.count("*").alias("c")))
+    pairs = dealt_join(found, texts.toDF("o1", "o2", "other"), ["o1", "o2"], hot_keys(often, ["o1", "o2"], "c"), F.xxhash64("h1")).join(texts, ["h1", "h2"])
     return map_arrow(pairs.select("h1", "h2", "text", "other"), _verified, "h1 long, h2 long").distinct()
 
 
