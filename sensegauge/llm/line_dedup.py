@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import _POWERS, LINES, TEXT, ByteClass, Words, bit_table, map_arrow, map_slices, member, mix, slices, text_bytes
+from sensegauge.llm.kernels import _POWERS, LINES, TEXT, Words, bit_table, map_arrow, map_slices, member, mix, slices, text_bytes
 from sensegauge.llm.shared import cut, dealt_join, few, hot_keys, scratch
 
 #: Words of a line from which on one of them may differ: one in ten.
@@ -38,11 +38,6 @@ _U = np.uint64
 #: A line of these only is without a word.
 BLANK = " \t\x0b\x0c\r"
 TEXT_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
-#: Lines once more, with codes that are independent of those of LINES.
-LINES_TOO = ByteClass([0x0A])
-LINES_TOO.code = mix(LINES.code ^ _U(0x5DEECE66D))
-
-
 class Lines:
     """The lines with a word of a slice of texts, and hashes of any stretch of their words."""
 
@@ -55,11 +50,12 @@ class Lines:
         self.rows = lines.rows()[full]
         breaks = np.append(0, np.cumsum(data == 0x0A))
         self.numbers = breaks[self.starts] - breaks[offsets[self.rows]]
-        self.h1, self.h2 = lines.codes[full], Words(data, offsets, LINES_TOO).codes[full]
         self.a, self.b, self.n = a[full], b[full], (b - a)[full]
         up, self.down = _POWERS.upto(len(words.codes) + 1)
         self.sums = np.zeros(len(words.codes) + 1, _U)
         np.cumsum(mix(words.codes) * up[: len(words.codes)], out=self.sums[1:])
+        #: A hash of the line's bytes, and one of its words.
+        self.h1, self.h2 = lines.codes[full], mix(self.part(self.a, self.b) ^ _U(0x5DEECE66D) + self.n.astype(_U))
 
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * self.down[a]
@@ -74,16 +70,16 @@ class Lines:
                 out.append(mix(mix(head + a.astype(_U)) + tail * _U(3) + size.astype(_U) * _U(64) + _U(j)))
         return out
 
-    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, line, and place of the word that is left out, of each variant; the whole line has place -1."""
-        at = np.repeat(np.arange(len(self.n)), self.n)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+    def variants(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, line, and place of the word that is left out, of each variant; whole lines come first and have place -1."""
+        n = self.n[lines]
+        at = np.repeat(lines, n)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         begin, end, p = self.a[at], self.b[at], self.a[at] + place
         # what follows the place moves one word to the front
         less = ((self.sums[p] - self.sums[begin]) + (self.sums[end] - self.sums[p + 1]) * self.down[1]) * self.down[begin]
         less = mix(less + (end - begin - 1).astype(_U))
-        whole = mix(self.part(self.a, self.b) + self.n.astype(_U))
-        lines = np.arange(len(self.n))
+        whole = mix(self.part(self.a[lines], self.b[lines]) + n.astype(_U))
         return np.concatenate([whole, less]), np.concatenate([lines, at]), np.concatenate([np.full(len(lines), -1), place])
 
     def texts(self, lines: np.ndarray) -> pa.Array:
@@ -95,30 +91,32 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+KEYS = ("k0", "k1", "k2", "k3")
+
+
 def _all_lines(docs: DataFrame, kind: str, near_words: int) -> DataFrame:
-    """h1, h2 (hashes of the line), doc_id, line, and keys: of the halves, if the line is long enough for near copies."""
+    """h1, h2 (hashes of the line), doc_id, line, and KEYS: of the halves, if the line is long enough for near copies."""
 
     def make():
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
             lines = Lines(part.column("text"))
-            long = lines.n >= near_words
-            offsets = np.append(0, np.cumsum(4 * long)).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), _longs(np.stack(lines.halves(), 1)[long].ravel()))
-            return pa.RecordBatch.from_arrays([_longs(lines.h1), _longs(lines.h2), part.column("doc_id").take(pa.array(lines.rows)), pa.array(lines.numbers.astype(np.int32)), keys], ["h1", "h2", "doc_id", "line", "keys"])
+            short = lines.n < near_words
+            keys = [pa.array(k.view(np.int64), mask=short) for k in lines.halves()]
+            return pa.RecordBatch.from_arrays([_longs(lines.h1), _longs(lines.h2), part.column("doc_id").take(pa.array(lines.rows)), pa.array(lines.numbers.astype(np.int32)), *keys], ["h1", "h2", "doc_id", "line", *KEYS])
 
         return of
 
-    return map_slices(docs, make, f"h1 long, h2 long, doc_id {kind}, line int, keys array<long>")
+    return map_slices(docs, make, f"h1 long, h2 long, doc_id {kind}, line int, k0 long, k1 long, k2 long, k3 long")
 
 
 def _with_lines(docs: DataFrame, asked: DataFrame, columns, names: list[str], schema: str) -> DataFrame:
-    """columns(row batch, Lines, which lines are asked for) of the documents that hold lines asked for: doc_id, line, written
+    """columns(row batch, Lines, the lines asked for) of the documents that hold lines asked for: doc_id, line, written
     already. Places that are few are broadcast as hashes; more meet the documents by shuffle, as numbers by document, which
     are as many as it has lines at most."""
     if few(asked, MAX_SENT):
         places = asked.select(F.xxhash64("doc_id").alias("d"), F.col("line").cast("long").alias("line")).toArrow()
         sent = docs.sparkSession.sparkContext.broadcast(np.unique(_place(places.column("d").to_numpy(), places.column("line").to_numpy())))
-        rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("d"))
+        rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("d")).join(F.broadcast(asked.select("doc_id").distinct()), "doc_id", "left_semi")
     else:
         sent, rows = None, docs.join(asked.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "doc_id").select("doc_id", "text", "lines")
 
@@ -128,11 +126,10 @@ def _with_lines(docs: DataFrame, asked: DataFrame, columns, names: list[str], sc
         for part in (p for b in batches for p in slices(b)):
             lines = Lines(part.column("text"))
             if sent:
-                use = np.zeros(len(lines.n), bool)
-                use[member(_place(part.column("d").to_numpy()[lines.rows], lines.numbers), table, bits)] = True
+                use = member(_place(part.column("d").to_numpy()[lines.rows], lines.numbers), table, bits)
             else:
                 own = part.column("lines")
-                use = np.isin(lines.rows.astype(np.int64) << 32 | lines.numbers, np.repeat(np.arange(part.num_rows), np.diff(own.offsets.to_numpy())) << 32 | own.flatten().to_numpy())
+                use = np.flatnonzero(np.isin(lines.rows.astype(np.int64) << 32 | lines.numbers, np.repeat(np.arange(part.num_rows), np.diff(own.offsets.to_numpy())) << 32 | own.flatten().to_numpy()))
             yield pa.RecordBatch.from_arrays(columns(part, lines, use), names)
 
     return map_arrow(rows, run, schema)
@@ -146,11 +143,8 @@ def _variants(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
     """v, place, h1, h2, at (doc_id, line) of the variants of the lines at the places asked for; the whole line has its text."""
 
     def columns(part, lines, use):
-        v, of, place = lines.variants()
-        use = use[of]
-        v, of, place = v[use], of[use], place[use]
-        whole = int((place < 0).sum())  # these come first
-        text = pa.concat_arrays([lines.texts(of[:whole]), pa.nulls(len(of) - whole, pa.string())])
+        v, of, place = lines.variants(use)
+        text = pa.concat_arrays([lines.texts(use), pa.nulls(len(of) - len(use), pa.string())])
         return [_longs(v), pa.array(place.astype(np.int32)), _longs(lines.h1[of]), _longs(lines.h2[of]), part.column("doc_id").take(pa.array(lines.rows[of])), pa.array(lines.numbers[of].astype(np.int32)), text]
 
     found = _with_lines(docs, asked, columns, ["v", "place", "h1", "h2", "doc_id", "line", "text"], f"v long, place int, h1 long, h2 long, doc_id {kind}, line int, text string")
@@ -173,12 +167,16 @@ def _verified(batches):
         yield batch.select(["h1", "h2"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _near(docs: DataFrame, distinct: DataFrame, kind: str) -> DataFrame:
-    """h1, h2 of the lines that one edit sets apart from an earlier line. distinct: h1, h2, at (the first place), keys."""
-    keys = distinct.select(F.explode("keys").alias("key"), "h1", "h2")
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key", "c"))
-    met = dealt_join(keys, shared.select("key"), ["key"], hot_keys(shared, ["key"], "c"), F.xxhash64("h1")).select("h1", "h2").distinct()
-    with_text = cut(_variants(docs, cut(distinct.join(met, ["h1", "h2"], "left_semi").select("at.*")), kind))
+def _met(rows: DataFrame, table: DataFrame, on: list[str], count: str, by) -> DataFrame:
+    """rows with the one row that table (written already) has for their key: by broadcast while table is small by its rows'
+    number, else by shuffle, with hot keys dealt out."""
+    own = table.drop(count)
+    return rows.join(F.broadcast(own), on) if few(table) else dealt_join(rows, own, on, hot_keys(table, on, count), by)
+
+
+def _near(docs: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
+    """h1, h2 of the candidates that one edit sets apart from an earlier one. candidates: h1, h2, at (the first place)."""
+    with_text = cut(_variants(docs, cut(candidates.select("at.*")), kind))
     variants = with_text.drop("text")
     # rows that share a doc_id may have another line at a place asked for, so a line may be there at several places; the
     # first one and its hash are kept, as a line is no near copy of itself
@@ -188,8 +186,8 @@ def _near(docs: DataFrame, distinct: DataFrame, kind: str) -> DataFrame:
     same = cut(variants.where(less).groupBy("v", "place").agg(F.count("*").alias("c"), F.min(first).alias("earlier"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").drop("x", "y"))
     # a whole line meets lines with a word left out, and those of the same words; a line with a word left out meets whole
     # ones, and those without one at the same place
-    by_text = dealt_join(variants, of.drop("c"), ["v"], hot_keys(of, ["v"], "c"), F.xxhash64("h1")).select("h1", "h2", "at", F.explode(F.array(F.when(~less, F.col("first_less")), F.col("first_whole"))).alias("earlier"))
-    by_place = dealt_join(variants, same.drop("c"), ["v", "place"], hot_keys(same, ["v", "place"], "c"), F.xxhash64("h1")).select("h1", "h2", "at", "earlier")
+    by_text = _met(variants, of, ["v"], "c", F.xxhash64("h1")).select("h1", "h2", "at", F.explode(F.array(F.when(~less, F.col("first_less")), F.col("first_whole"))).alias("earlier"))
+    by_place = _met(variants, same, ["v", "place"], "c", F.xxhash64("h1")).select("h1", "h2", "at", "earlier")
     found = by_text.unionByName(by_place).where("earlier.at < at and (earlier.h1 <> h1 or earlier.h2 <> h2)")
     found = cut(found.select("h1", "h2", F.col("earlier.h1").alias("o1"), F.col("earlier.h2").alias("o2")).distinct())
     texts = with_text.where("place < 0").groupBy("h1", "h2").agg(F.min("text").alias("text"))
@@ -204,10 +202,17 @@ def gone_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     with scratch() as keep:
         lines = cut(_all_lines(docs, kind, near_words))
-        distinct = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c"), F.max("keys").alias("keys")))
-        near = _near(docs, distinct.drop("c"), kind).withColumn("near", F.lit(True))
-        why = cut(distinct.select("h1", "h2", "at", "c").join(near, ["h1", "h2"], "left").where("c > 1 or near"))
-        met = dealt_join(lines.drop("keys"), why.drop("c"), ["h1", "h2"], hot_keys(why, ["h1", "h2"], "c"), F.xxhash64("doc_id"))
+        keys = lines.select("h1", "h2", F.explode(F.array_compact(F.array(*KEYS))).alias("key"))
+        shared = cut(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key", "c"))
+        near = _met(keys, shared, ["key"], "c", F.xxhash64("h1", "key")).select("h1", "h2").distinct().withColumn("candidate", F.lit(True))
+        counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"))
+        wanted = cut(counts.join(near, ["h1", "h2"], "left").where("c > 1 or candidate"))
+        by = F.xxhash64("doc_id", "line")
+        firsts = _met(lines.drop(*KEYS), wanted, ["h1", "h2"], "c", by).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("c"), F.max("candidate").alias("candidate"))
+        firsts = cut(firsts)
+        found = _near(docs, firsts.where("candidate").select("h1", "h2", "at"), kind).withColumn("near", F.lit(True))
+        why = cut(firsts.select("h1", "h2", "at", "c").join(found, ["h1", "h2"], "left").where("c > 1 or near"))
+        met = _met(lines.drop(*KEYS), why, ["h1", "h2"], "c", by)
         later = F.struct("doc_id", "line") > F.col("at")
         return keep(cut(met.where(later | F.col("near")).select("doc_id", "line", (~later).alias("near")).distinct()))
 
@@ -220,7 +225,7 @@ def dedup(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     gone = gone_lines(docs, near_words)
     # as many numbers as the document has lines, at most
     by_doc = gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"), F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"))
-    met = packed.join(by_doc, "doc_id", "left")
+    met = packed.join(by_doc.hint("shuffle_hash"), "doc_id", "left")  # texts need not be sorted
     split = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))

@@ -141,6 +141,7 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, hot, near_words):
     if hot:
         monkeypatch.setattr(shared, "HOT_ROWS", 3)
         monkeypatch.setattr(line_dedup, "MAX_SENT", 10)
+        monkeypatch.setattr(line_dedup, "few", lambda df, most=0: False)
     rows = line_documents(hot + near_words)
     df = spark.createDataFrame([(a, b, "x", len(b or ""), "y") for a, b in rows], "doc_id long, text string, gone string, n_chars long, N_Exact string")
     found = line_dedup.dedup(df, near_words)
