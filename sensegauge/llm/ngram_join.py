@@ -14,13 +14,16 @@ when 100 * intersection >= percent * union. Exact, by these steps:
    their leaders. That is linear in the groups, and makes one component of most of a large group of near copies. A few
    rounds with other hubs follow for what is in different components still.
 4. Of postings with several components left, pairs of units of different ones are expanded and verified, by size and
-   bitmap first. Pairs under postings of many groups are made and tested by the bitmaps in one step, not kept.
+   bitmap first. Units under crowded postings, such as pages of one template, get new keys before that: the argument of
+   step 1 holds for any order, so their windows are ordered anew, those that many of them have last. Then only units that
+   are alike beyond the template meet. Postings that are crowded even so are tested in blocks, each pair in one task.
 
 So every link between different components is found, and links within a component are not spelled out.
 
 Defined results: null and empty texts and texts without words have empty sets and link with nothing; repeated rows
 have equal sets and link; a row without doc_id takes part, but no component is named by it; rows that share a doc_id
-are judged by their own texts; other columns are ignored; an empty table gives no rows.
+are judged by their own texts; very long texts are compared whole; equal sets are ordered by nothing but their hash, which
+decides no link; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ from pyspark.sql import functions as F
 
 from sensegauge.llm.components import components
 from sensegauge.llm.kernels import TEXT_LOWER, Words, bit_table, map_arrow, map_slices, member, mix, text_bytes, windows
-from sensegauge.llm.shared import cut, few, restrict
+from sensegauge.llm.shared import cut, dealt_join, few, hot_keys, restrict, scratch
 
-#: Keys that several documents have are broadcast if they are so many at most, and joined by shuffle otherwise.
-MAX_SHARED = 1 << 22
+#: Keys that several documents have are broadcast if they are so many at most, eight bytes each; more go by shuffle.
+MAX_SHARED = 1 << 20
+#: Windows that many units of crowds have, and that come last in these units' order, at most; which ones changes no link.
+MAX_OFTEN = 1 << 20
 #: Rounds of hubs, and the share of keys (one in so many, by hash) that hubs are taken from.
 ROUNDS, HUB_KEYS = 2, 8
 #: Groups under one key from which on these are dealt to size bands, and units from which on pairs carry bitmaps.
@@ -113,7 +118,12 @@ class Sets:
         use = rank < rule.prefix(self.n)[self.rows]
         codes, rows = self.codes[use], self.rows[use]
         pair = rows[1:] == rows[:-1]
-        return codes, rows, mix(codes[:-1] * np.uint64(0x9FB21C651E98DF25) + codes[1:])[pair], rows[1:][pair]
+        return codes, rows, _keys(codes)[pair], rows[1:][pair]
+
+
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """The key of each pair of neighbours."""
+    return mix(codes[:-1] * np.uint64(0x9FB21C651E98DF25) + codes[1:])
 
 
 def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
@@ -210,25 +220,31 @@ def _can_size(n_a: Column, n_b: Column, percent: int) -> Column:
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for each row of docs."""
-    rule = Rule(k, percent)
+    with scratch() as keep:
+        return keep(cut(_joined(docs, Rule(k, percent))))
+
+
+def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
+    percent = rule.percent
     shared = _shared(docs, rule)
     rows = _rows(docs, rule, shared)
     full = rows.where("n > 0")
 
     # postings (w, band, grp); members of a group have the same keys; groups of several units are postings of their own
     groups = full.where(F.size("keys") > 0).select("grp", "n", "keys").dropDuplicates(["grp"])
-    posted = groups.select(F.explode("keys").alias("w"), "grp", "n")
-    if not few(shared, MAX_SHARED):
-        posted = posted.join(shared, "w", "left_semi")
-    posted = cut(posted.distinct())
-    band = F.floor(F.log(F.col("n")) / -math.log(percent / 100 - 1e-9)).cast("int")
-    posted = posted.join(posted.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"), "w")
-    posted = posted.select("w", "grp", F.explode(F.when(F.col("c") >= BANDED, F.array(band, band + 1)).otherwise(F.array(F.lit(-2)))).alias("band"))
-    several = full.groupBy("grp").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u <> v").select(F.col("grp").alias("w"), "grp", F.lit(-1).alias("band"))
+    posted = cut(groups.select(F.explode("keys").alias("w"), "grp", "n").distinct())
+    counts = cut(posted.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"))
+    posted = dealt_join(posted, counts, ["w"], hot_keys(counts, ["w"], "c"), F.xxhash64("grp"))
+    posted = posted.select("w", "grp", F.explode(_bands(F.col("n"), F.col("c"), percent)).alias("band"))
+    units = cut(full.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")))
+    several = units.groupBy("grp").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u <> v").select(F.col("grp").alias("w"), "grp", F.lit(-1).alias("band"))
     posted = cut(posted.unionByName(several))
-    near = full.select("unit", "doc_id", "n", "grp", "bits").join(posted.select("grp").distinct(), "grp", "left_semi")
-    near = near.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits"))
-    near = cut(near.join(near.groupBy("grp").agg(F.min("unit").alias("leader")), "grp"))
+    sizes = cut(posted.groupBy("w", "band").agg(F.count("*").alias("c")))
+    hot = hot_keys(sizes, ["w", "band"], "c")
+    by_posting = lambda rows, table, by: dealt_join(rows, table, ["w", "band"], hot, F.xxhash64(by))
+    leaders = units.groupBy("grp").agg(F.min("unit").alias("leader"), F.count("*").alias("c"))
+    leaders = cut(leaders.join(posted.select("grp").distinct(), "grp", "left_semi"))
+    near = cut(dealt_join(units, leaders.drop("c"), ["grp"], hot_keys(leaders, ["grp"], "c"), F.xxhash64("unit")))
     bare = not near.where("doc_id is null").isEmpty()
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -247,11 +263,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return own.withColumn("c", F.xxhash64("root"))
 
     placed, roots, tried = place(None), None, None
-    some = posted.where(F.pmod("w", F.lit(HUB_KEYS)) == 0).join(near.groupBy("grp").agg(F.first("leader").alias("leader")), "grp")
+    some = posted.where(F.pmod("w", F.lit(HUB_KEYS)) == 0).join(leaders.select("grp", "leader"), "grp")
     for turn in range(ROUNDS):
         at = some.join(placed.where("unit = leader").select("grp", "c"), "grp").withColumn("o", F.xxhash64("grp", F.lit(turn)))
         hubs = at.groupBy("w", "band").agg(F.min(F.struct("o", "leader", "c")).alias("hub"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("w", "band", "hub")
-        stars = at.join(hubs, ["w", "band"]).where("c <> hub.c").groupBy("leader").agg(F.min("hub").alias("hub")).select(F.col("leader").alias("a"), F.col("hub.leader").alias("b"))
+        stars = by_posting(at, hubs, "grp").where("c <> hub.c").groupBy("leader").agg(F.min("hub").alias("hub")).select(F.col("leader").alias("a"), F.col("hub.leader").alias("b"))
         pairs = stars.unionByName(near.where("unit <> leader").select(F.col("unit").alias("a"), F.col("leader").alias("b"))) if turn == 0 else stars
         pairs = possible(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -261,43 +277,90 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         roots = cut(components(_with(links, roots)))
         placed = cut(place(roots))
 
-    # postings with several components, and all pairs of these under them
-    under = posted.join(placed.select("grp", "unit", "n", "c"), "grp")
-    mixed = under.groupBy("w", "band").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("units"), F.min_by("c", "unit").alias("hub")).where("x <> y")
-    under = cut(under.join(mixed.select("w", "band", "units", "hub"), ["w", "band"]).select("w", "band", "unit", "n", "c", "units", (F.col("c") == F.col("hub")).alias("main")))
-
-    def pairs_of(rows: DataFrame, test) -> DataFrame:
-        x, y = rows.where("not main").alias("x"), rows.alias("y")
-        same = (F.col("x.w") == F.col("y.w")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.main") | (F.col("x.unit") < F.col("y.unit")))
-        return x.join(y, same & test).select(F.greatest("x.unit", "y.unit").alias("a"), F.least("x.unit", "y.unit").alias("b")).distinct()
-
-    by_size = pairs_of(under.where(F.col("units") <= CROWDED), _can_size(F.col("x.n"), F.col("y.n"), percent))
-    by_bits = _crowds(under.where(F.col("units") > CROWDED), near, percent)
+    # postings with several components, and pairs of these under them; a group counts once for a component
+    parts = cut(placed.groupBy("grp", "c").agg(F.min("unit").alias("unit"), F.count("*").alias("k")))
+    mixed = posted.join(parts, "grp").groupBy("w", "band").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.sum("k").alias("units"), F.min_by("c", "unit").alias("hub")).where("x <> y").drop("x", "y")
+    mixed = cut(by_posting(posted, mixed, "grp"))
+    own = placed.select("grp", "unit", "n", "c")
+    under = cut((own.join(F.broadcast(mixed), "grp") if few(mixed) else own.join(mixed, "grp")).select("w", "band", "unit", "n", "c", "units", (F.col("c") == F.col("hub")).alias("main")))
+    small, crowded = under.where(F.col("units") <= CROWDED), under.where(F.col("units") > CROWDED)
+    pairs = _pairs(small, percent)
+    crowd = cut(crowded.select("unit", "n", "c").distinct())
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(_crowds(docs, rule, crowd, near, bare))
     before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = possible(by_size.unionByName(by_bits).distinct().join(before, ["a", "b"], "left_anti"))
+    more = possible(pairs.distinct().join(before, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         roots = components(_with(links_of(more), roots))
     return _result(rows, roots)
 
 
-def _crowds(under: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that can link of the units under crowded postings. Near copies share many of these, so units that
-    postings join are one crowd, in which each pair is tested once for a size band. The largest component in a crowd is
-    not paired with itself; crowds are cut to blocks, and a task has two of them."""
-    under = cut(under.select("w", "band", "unit", "n", "c"))
-    if under.isEmpty():
-        return under.select(F.col("unit").alias("a"), F.col("unit").alias("b"))
-    hubs = under.groupBy("w", "band").agg(F.min("unit").alias("hub"))
-    crowds = components(under.join(hubs, ["w", "band"]).select(F.col("unit").alias("a"), F.col("hub").alias("b")).where("a <> b"))
-    units = under.select("unit", "n", "c").distinct().join(crowds, F.col("unit") == F.col("node"))
-    band = F.floor(F.log(F.col("n")) / -math.log(percent / 100 - 1e-9)).cast("int")
-    units = units.select("unit", "n", "c", F.explode(F.array(band, band + 1)).alias("size"), F.col("root").alias("crowd"))
-    sizes = units.groupBy("crowd", "size", "c").agg(F.count("*").alias("k")).groupBy("crowd", "size").agg(F.max_by("c", "k").alias("most"), F.sum("k").alias("k"))
-    units = units.join(sizes, ["crowd", "size"]).withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
-    units = cut(units.select("unit", "n", "c", "size", "crowd", "blocks", "own", (F.col("c") == F.col("most")).alias("main")).join(near.select("unit", "bits"), "unit"))
-    spread = lambda rows, mine, other: rows.select("crowd", "size", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
-    keys = ["crowd", "size", "i", "j"]
-    x, y = spread(units.where("not main"), "i", "j").groupBy(keys), spread(units, "j", "i").groupBy(keys)
+def _bands(n: Column, c: Column, percent: int) -> Column:
+    """The size bands of a set of n under a key of c groups: two sets that link have one in common."""
+    band = F.floor(F.log(n) / -math.log(percent / 100 - 1e-9)).cast("int")
+    return F.when(c >= BANDED, F.array(band, band + 1)).otherwise(F.array(F.lit(-2)))
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can link by size of units of different components under one posting (w, band, unit, n, c, main);
+    the posting's main component is not paired with itself."""
+    x, y = rows.where("not main").alias("x"), rows.alias("y")
+    same = (F.col("x.w") == F.col("y.w")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & (F.col("y.main") | (F.col("x.unit") < F.col("y.unit")))
+    met = x.join(y, same & _can_size(F.col("x.n"), F.col("y.n"), percent))
+    return met.select(F.greatest("x.unit", "y.unit").alias("a"), F.least("x.unit", "y.unit").alias("b")).distinct()
+
+
+def _crowds(docs: DataFrame, rule: Rule, crowd: DataFrame, near: DataFrame, bare: bool) -> DataFrame:
+    """Pairs (a, b) that can link of the units of a crowd (unit, n, c), under keys of an order in which windows that many
+    of these units have come last."""
+    codes = _codes(docs, rule, near.join(crowd.select("unit"), "unit", "left_semi"), bare)
+    sent = docs.sparkSession.sparkContext.broadcast(_often(codes))
+
+    def run(batches):
+        often = sent.value
+        for batch in batches:
+            found = []
+            for raw in batch.column("codes"):
+                p = np.frombuffer(raw.as_buffer(), np.uint64)
+                p = p[np.lexsort((p, np.isin(p, often)))][: int(rule.prefix(np.int64(len(p))))]
+                found.append(np.unique(_keys(p)))
+            yield pa.RecordBatch.from_arrays([batch.column("unit").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))), pa.array(np.concatenate(found).view(np.int64))], ["unit", "w"])
+
+    posted = cut(map_arrow(codes, run, "unit binary, w long").join(crowd, "unit"))
+    counts = cut(posted.groupBy("w").agg(F.count("*").alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").drop("x", "y"))
+    posted = dealt_join(posted, counts, ["w"], hot_keys(counts, ["w"], "k"), F.xxhash64("unit"))
+    posted = cut(posted.select("w", "unit", "n", "c", F.explode(_bands(F.col("n"), F.col("k"), rule.percent)).alias("band")))
+    mixed = cut(posted.groupBy("w", "band").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("units"), F.min("c").alias("hub")).where("x <> y").drop("x", "y"))
+    posted = dealt_join(posted, mixed, ["w", "band"], hot_keys(mixed, ["w", "band"], "units"), F.xxhash64("unit")).withColumn("main", F.col("c") == F.col("hub"))
+    posted = cut(posted)
+    large = posted.where(F.col("units") > CROWDED).join(near.select("unit", "bits"), "unit")
+    return _pairs(posted.where(F.col("units") <= CROWDED), rule.percent).unionByName(_blocks(large, rule.percent))
+
+
+def _often(codes: DataFrame) -> np.ndarray:
+    """Sorted windows that CROWDED units or more have; if there are over MAX_OFTEN, only the most frequent of them."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column("codes"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.as_buffer(), np.int64))], ["code"])
+
+    counts = cut(map_arrow(codes.select("codes"), run, "code long").groupBy("code").agg(F.count("*").alias("k")).where(F.col("k") >= CROWDED))
+    scale = sorted(((r["s"], r["n"]) for r in counts.groupBy(F.floor(F.log2("k")).alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, 64
+    for s, n in scale:
+        if (total := total + n) > MAX_OFTEN:
+            break
+        least = s
+    return np.sort(counts.where(F.floor(F.log2("k")) >= least).select("code").toArrow().column("code").to_numpy().view(np.uint64))
+
+
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can link under postings of many units, which are dealt to blocks; a task has two of them."""
+    rows = cut(rows.withColumn("blocks", F.ceil(F.col("units") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks"))))
+    spread = lambda rows, mine, other: rows.select("w", "band", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
+    keys = ["w", "band", "i", "j"]
+    x, y = spread(rows.where("not main"), "i", "j").groupBy(keys), spread(rows, "j", "i").groupBy(keys)
     return x.cogroup(y).applyInArrow(_tester(percent), "a binary, b binary").distinct()
 
 
@@ -340,10 +403,15 @@ def _result(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
         own = own.withColumn("root", F.lit(None).cast("binary"))
     else:
         own = own.join(roots, F.col("unit") == F.col("node"), "left")
-    own = own.where("rows > 1 or root is not null").select("unit", "least", F.coalesce("root", "unit").alias("root"))
-    named = own.join(own.groupBy("root").agg(F.min("least").alias("component")), "root").select("unit", "component")
-    joined = rows.select("doc_id", "n", "unit").join(named, "unit", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = cut(own.where("rows > 1 or root is not null").select("unit", "least", "rows", F.coalesce("root", "unit").alias("root")))
+    components = cut(own.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("c")))
+    named = cut(dealt_join(own, components.drop("c"), ["root"], hot_keys(components, ["root"], "c"), F.xxhash64("unit")).select("unit", "component", "rows"))
+    # rows without a name keep their own; of equal sets there may be very many rows
+    some = rows.select("doc_id", "n", "unit")
+    alone = some.join(named.select("unit"), "unit", "left_anti") if not few(named) else some.join(F.broadcast(named.select("unit")), "unit", "left_anti")
+    met = some.join(F.broadcast(named.drop("rows")), "unit") if few(named) else dealt_join(some, named.drop("rows"), ["unit"], hot_keys(named, ["unit"], "rows"), F.xxhash64("doc_id"))
+    out = met.select("doc_id", "n", "component").unionByName(alone.select("doc_id", "n", F.lit(None).alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

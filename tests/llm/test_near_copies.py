@@ -55,6 +55,7 @@ def test_join_against_brute_force(spark, monkeypatch, forced, k, percent):
         for name, value in {"BANDED": 3, "ROUNDS": 1, "MAX_SHARED": 10, "CROWDED": 4, "BLOCK": 7, "HUB_KEYS": 1}.items():
             monkeypatch.setattr(ngram_join, name, value)
         monkeypatch.setattr(components, "FEW_EDGES", 3)
+        monkeypatch.setattr(shared, "HOT_ROWS", 3)
     rows = documents(k + forced)
     df = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "doc_id long, text string, unit string, n int")
     assert sorted((tuple(r) for r in ngram_join.join(df, k, percent).collect()), key=str) == brute_join(rows, k, percent)
@@ -69,6 +70,40 @@ def test_join_of_repeated_rows_and_no_rows(spark):
     assert kept == sorted([(5, "a b c d e"), (None, "a b c d e"), (7, "a b c d e")], key=str)
 
 
+def template_documents(n):
+    """Pages of one template, of which few are near copies of each other; and copies of passages of it in any mixture."""
+    random.seed(n)
+    words = [f"w{i}" for i in range(3000)]
+    template = [random.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(n):
+        own = [random.choice(words) for _ in range(random.choice([20, 30]))]
+        rows.append((2 * i, " ".join(template[:30] + own + template[30:])))
+        if i % 5 == 0:
+            own[random.randrange(len(own))] = "changed"
+            rows.append((2 * i + 1, " ".join(template[:30] + own + template[30:])))
+    return rows
+
+
+def test_join_of_pages_of_one_template(spark, monkeypatch):
+    """Crowded postings get new keys, under which next to no pairs are left to be tested."""
+    for name, value in {"CROWDED": 8, "BLOCK": 20, "HUB_KEYS": 1}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    seen, own = [], ngram_join._crowds
+    monkeypatch.setattr(ngram_join, "_crowds", lambda *a: seen.append(own(*a)) or seen[0])
+    rows = template_documents(150)
+    got = sorted((tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=str)
+    assert got == brute_join(rows, 3, 90)
+    assert seen and seen[0].count() <= 60  # of 16,000 pairs
+
+
+def test_join_of_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, long.replace("w5 ", "x ", 1)), (4, "a " * 100_000), (5, "a " * 50_000)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"unit": F.lit(1), "Keys": F.lit("k"), "n": F.lit(2)}), 5, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 def test_percent_that_keys_cannot_serve(spark):
     with pytest.raises(ValueError):
         ngram_join.join(spark.createDataFrame([], "doc_id long, text string"), 3, 50)
