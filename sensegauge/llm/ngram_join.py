@@ -37,11 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensegauge.llm.components import components
-from sensegauge.llm.kernels import TEXT_LOWER, Words, bit_table, map_arrow, map_slices, member, mix, text_bytes, windows
+from sensegauge.llm.kernels import TEXT_LOWER, Words, map_arrow, map_slices, mix, text_bytes, windows
 from sensegauge.llm.shared import cut, dealt_join, few, hot_keys, restrict, scratch
 
-#: Keys that several documents have are broadcast if they are so many at most, eight bytes each; more go by shuffle.
-MAX_SHARED = 1 << 20
 #: Windows that many units of crowds have, and that come last in these units' order, at most; which ones changes no link.
 MAX_OFTEN = 1 << 20
 #: Rounds of hubs, and the share of keys (one in so many, by hash) that hubs are taken from.
@@ -131,35 +129,16 @@ def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _shared(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Keys of more than one row."""
+def _rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n, unit, grp, bits and the keys of each document."""
 
     def make():
-        def of(part: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(Sets(part.column("text"), rule.k).prefixes(rule)[2].view(np.int64))], ["w"])
-
-        return of
-
-    return cut(map_slices(docs.select("text"), make, "w long").groupBy("w").count().where("count > 1").select("w"))
-
-
-def _rows(docs: DataFrame, rule: Rule, shared: DataFrame) -> DataFrame:
-    """doc_id, n, unit, grp, bits, and keys that are shared. Shared keys are broadcast only if few; else all keys are
-    returned, and postings are joined with the shared ones."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("w").to_numpy().astype(np.int64).view(np.uint64))) if few(shared, MAX_SHARED) else None
-
-    def make():
-        table = sent.value if sent else None
-        bits = bit_table(table) if sent else None
-
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
             sets, n = Sets(part.column("text"), rule.k), part.num_rows
             codes, rows, keys, key_rows = sets.prefixes(rule)
             group = mix(sets.sums(mix(codes), rows) + mix(sets.n.astype(np.uint64)))
-            at = member(keys, table, bits) if sent else np.arange(len(keys))
             bitmaps = _lists(sets.bitmaps(), np.repeat(np.arange(n), BITMAP), n)
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n), sets.fingerprints(), pa.array(group.view(np.int64)), bitmaps, _lists(keys[at], key_rows[at], n)], ["doc_id", "n", "unit", "grp", "bits", "keys"])
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n), sets.fingerprints(), pa.array(group.view(np.int64)), bitmaps, _lists(keys, key_rows, n)], ["doc_id", "n", "unit", "grp", "bits", "keys"])
 
         return of
 
@@ -226,14 +205,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     percent = rule.percent
-    shared = _shared(docs, rule)
-    rows = _rows(docs, rule, shared)
+    rows = _rows(docs, rule)
     full = rows.where("n > 0")
 
     # postings (w, band, grp); members of a group have the same keys; groups of several units are postings of their own
-    groups = full.where(F.size("keys") > 0).select("grp", "n", "keys").dropDuplicates(["grp"])
-    posted = cut(groups.select(F.explode("keys").alias("w"), "grp", "n").distinct())
-    counts = cut(posted.groupBy("w").agg(F.count("*").alias("c")).where("c > 1"))
+    each = full.select(F.explode("keys").alias("w"), "grp", "n")
+    met = cut(each.groupBy("w").agg(F.count("*").alias("c"), F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("w", "c"))
+    posted = cut(dealt_join(each, met.select("w"), ["w"], hot_keys(met, ["w"], "c"), F.xxhash64("grp")).distinct())
+    counts = cut(posted.groupBy("w").agg(F.count("*").alias("c")))
     posted = dealt_join(posted, counts, ["w"], hot_keys(counts, ["w"], "c"), F.xxhash64("grp"))
     posted = posted.select("w", "grp", F.explode(_bands(F.col("n"), F.col("c"), percent)).alias("band"))
     units = cut(full.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")))
