@@ -35,11 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from sensegauge.llm import shared
 from sensegauge.llm.components import components
 from sensegauge.llm.kernels import TEXT_LOWER, Words, map_arrow, map_slices, mix, text_bytes, windows
-from sensegauge.llm.shared import cut, dealt_join, few, hot_keys, restrict, scratch
+from sensegauge.llm.shared import cut, dealt_join, hot_keys, restrict, scratch
 
+#: Keys that are counted at once, in a search for hot ones.
+STRETCH = 1 << 21
 #: Windows that many units of crowds have, and that come last in these units' order, at most; which ones changes no link.
 MAX_OFTEN = 1 << 20
 #: Rounds of hubs, and the share of keys (one in so many, by hash) that hubs are taken from.
@@ -209,11 +213,7 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     full = rows.where("n > 0")
 
     # postings (w, band, grp); members of a group have the same keys; groups of several units are postings of their own
-    each = full.select(F.explode("keys").alias("w"), "grp", "n")
-    met = cut(each.groupBy("w").agg(F.count("*").alias("c"), F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("w", "c"))
-    posted = cut(dealt_join(each, met.select("w"), ["w"], hot_keys(met, ["w"], "c"), F.xxhash64("grp")).distinct())
-    counts = cut(posted.groupBy("w").agg(F.count("*").alias("c")))
-    posted = dealt_join(posted, counts, ["w"], hot_keys(counts, ["w"], "c"), F.xxhash64("grp"))
+    posted = _posted(full)
     posted = posted.select("w", "grp", F.explode(_bands(F.col("n"), F.col("c"), percent)).alias("band"))
     units = cut(full.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")))
     several = units.groupBy("grp").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u <> v").select(F.col("grp").alias("w"), "grp", F.lit(-1).alias("band"))
@@ -261,7 +261,7 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     mixed = posted.join(parts, "grp").groupBy("w", "band").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.sum("k").alias("units"), F.min_by("c", "unit").alias("hub")).where("x <> y").drop("x", "y")
     mixed = cut(by_posting(posted, mixed, "grp"))
     own = placed.select("grp", "unit", "n", "c")
-    under = cut((own.join(F.broadcast(mixed), "grp") if few(mixed) else own.join(mixed, "grp")).select("w", "band", "unit", "n", "c", "units", (F.col("c") == F.col("hub")).alias("main")))
+    under = cut(dealt_join(own, mixed, ["grp"], hot_keys(leaders, ["grp"], "c"), F.xxhash64("unit")).select("w", "band", "unit", "n", "c", "units", (F.col("c") == F.col("hub")).alias("main")))
     small, crowded = under.where(F.col("units") <= CROWDED), under.where(F.col("units") > CROWDED)
     pairs = _pairs(small, percent)
     crowd = cut(crowded.select("unit", "n", "c").distinct())
@@ -274,6 +274,47 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     return _result(rows, roots)
 
 
+def _posted(rows: DataFrame) -> DataFrame:
+    """w, grp, n, c: the keys that several groups have, and about how many. One shuffle of the keys, from which the rows of
+    hot keys are held back."""
+    each = rows.select(F.explode("keys").alias("w"), "grp", "n")
+    hot = _hot(rows)
+    cold = each if hot is None else each.join(F.broadcast(hot), "w", "left_anti")
+    by = W.Window.partitionBy("w")  # no more than the bound of hot keys
+    posted = cold.repartition("w").distinct().withColumn("c", F.count("*").over(by)).where("c > 1")
+    return posted if hot is None else posted.unionByName(each.join(F.broadcast(hot), "w").distinct().withColumn("c", F.lit(shared.HOT_ROWS).cast("long")))
+
+
+def _hot(rows: DataFrame) -> DataFrame | None:
+    """w: all keys of more rows than HOT_ROWS and than a MOST_HOT-th of all rows, found without a shuffle of all keys. A key
+    with such a share of all rows has that share in some stretch of them. Stretches give the keys that have half of it, by
+    which no more than half of a hot key's rows go uncounted; so there are fewer than 2 * MOST_HOT keys here."""
+    total = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bound = max(shared.HOT_ROWS, total // shared.MOST_HOT)
+    if total <= bound:
+        return None
+
+    def run(batches):
+        held, n = [], 0
+
+        def found():
+            keys, count = np.unique(np.concatenate(held), return_counts=True)
+            some = count * 2 * total >= n * bound
+            return pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(count[some])], ["w", "c"])
+
+        for batch in batches:
+            held.append(batch.column("keys").flatten().to_numpy())
+            n += len(held[-1])
+            if n >= STRETCH:
+                yield found()
+                held, n = [], 0
+        if n:
+            yield found()
+
+    hot = cut(map_arrow(rows.select("keys"), run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).where(F.col("c") * 2 >= bound).select("w"))
+    return None if hot.isEmpty() else hot
+
+
 def _bands(n: Column, c: Column, percent: int) -> Column:
     """The size bands of a set of n under a key of c groups: two sets that link have one in common."""
     band = F.floor(F.log(n) / -math.log(percent / 100 - 1e-9)).cast("int")
@@ -297,7 +338,7 @@ def _crowds(docs: DataFrame, rule: Rule, crowd: DataFrame, near: DataFrame, bare
 
     def run(batches):
         often = sent.value
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             found = []
             for raw in batch.column("codes"):
                 p = np.frombuffer(raw.as_buffer(), np.uint64)
@@ -385,11 +426,7 @@ def _result(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     own = cut(own.where("rows > 1 or root is not null").select("unit", "least", "rows", F.coalesce("root", "unit").alias("root")))
     components = cut(own.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("c")))
     named = cut(dealt_join(own, components.drop("c"), ["root"], hot_keys(components, ["root"], "c"), F.xxhash64("unit")).select("unit", "component", "rows"))
-    # rows without a name keep their own; of equal sets there may be very many rows
-    some = rows.select("doc_id", "n", "unit")
-    alone = some.join(named.select("unit"), "unit", "left_anti") if not few(named) else some.join(F.broadcast(named.select("unit")), "unit", "left_anti")
-    met = some.join(F.broadcast(named.drop("rows")), "unit") if few(named) else dealt_join(some, named.drop("rows"), ["unit"], hot_keys(named, ["unit"], "rows"), F.xxhash64("doc_id"))
-    out = met.select("doc_id", "n", "component").unionByName(alone.select("doc_id", "n", F.lit(None).alias("component")))
+    out = dealt_join(rows.select("doc_id", "n", "unit"), named.drop("rows"), ["unit"], hot_keys(named, ["unit"], "rows"), F.xxhash64("doc_id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

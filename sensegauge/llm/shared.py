@@ -129,14 +129,14 @@ def hot_keys(counted: DataFrame, on: list[str], count: str) -> DataFrame | None:
     return counted.where(F.col(count) > bound).select(*on) if (most or 0) > bound else None
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame | None, by: Column) -> DataFrame:
-    """rows.join(table, on), where table has one row a key. Rows of hot keys are dealt to SALTS parts by a hash, and the rows
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame | None, by: Column, how: str = "inner") -> DataFrame:
+    """rows.join(table, on, how), inner or left, where table has few rows a key. Rows of hot keys are dealt to SALTS parts by a hash, and the rows
     of these keys in table copied to each; the hot keys themselves, fewer than MOST_HOT, are what is broadcast."""
     if hot is None:
-        return rows.join(table, on)
+        return rows.join(table, on, how)
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS))).otherwise(0).cast("int")
     left = rows.join(marked, on, "left").withColumn("_salt", salt).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.join(marked, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [*on, "_salt"]).drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
