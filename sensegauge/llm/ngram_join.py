@@ -213,17 +213,16 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     full = rows.where("n > 0")
 
     # postings (w, band, grp); members of a group have the same keys; groups of several units are postings of their own
-    posted = _posted(full)
-    posted = posted.select("w", "grp", F.explode(_bands(F.col("n"), F.col("c"), percent)).alias("band"))
     units = cut(full.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")))
-    several = units.groupBy("grp").agg(F.min("unit").alias("u"), F.max("unit").alias("v")).where("u <> v").select(F.col("grp").alias("w"), "grp", F.lit(-1).alias("band"))
+    leaders = cut(units.groupBy("grp").agg(F.min("unit").alias("leader"), F.first("n").alias("n"), F.count("*").alias("c")))
+    posted = _posted(full).join(leaders.select("grp", "n"), "grp").select("w", "grp", F.explode(_bands(F.col("n"), F.col("c"), percent)).alias("band"))
+    several = leaders.where("c > 1").select(F.col("grp").alias("w"), "grp", F.lit(-1).alias("band"))
     posted = cut(posted.unionByName(several))
     sizes = cut(posted.groupBy("w", "band").agg(F.count("*").alias("c")))
     hot = hot_keys(sizes, ["w", "band"], "c")
     by_posting = lambda rows, table, by: dealt_join(rows, table, ["w", "band"], hot, F.xxhash64(by))
-    leaders = units.groupBy("grp").agg(F.min("unit").alias("leader"), F.count("*").alias("c"))
     leaders = cut(leaders.join(posted.select("grp").distinct(), "grp", "left_semi"))
-    near = cut(dealt_join(units, leaders.drop("c"), ["grp"], hot_keys(leaders, ["grp"], "c"), F.xxhash64("unit")))
+    near = cut(dealt_join(units, leaders.select("grp", "leader"), ["grp"], hot_keys(leaders, ["grp"], "c"), F.xxhash64("unit")))
     bare = not near.where("doc_id is null").isEmpty()
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -233,7 +232,8 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def links_of(pairs: DataFrame) -> DataFrame:
         units = near.join(pairs.select(F.col("a").alias("unit")).union(pairs.select("b")).distinct(), "unit", "left_semi")
-        return cut(_verify(pairs, _codes(docs, rule, units, bare)).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b"))
+        with scratch() as keep:  # the sets are large
+            return keep(cut(_verify(pairs, _codes(docs, rule, units, bare)).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")))
 
     def place(roots: DataFrame | None) -> DataFrame:
         """unit, grp, leader, n, root, and c (a hash of root, to compare by)."""
@@ -266,7 +266,8 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     pairs = _pairs(small, percent)
     crowd = cut(crowded.select("unit", "n", "c").distinct())
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(_crowds(docs, rule, crowd, near, bare))
+        with scratch() as keep:
+            pairs = pairs.unionByName(keep(cut(_crowds(docs, rule, crowd, near, bare))))
     before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = possible(pairs.distinct().join(before, ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -275,9 +276,9 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _posted(rows: DataFrame) -> DataFrame:
-    """w, grp, n, c: the keys that several groups have, and about how many. One shuffle of the keys, from which the rows of
+    """w, grp, c: the keys that several groups have, and about how many. One shuffle of the keys, from which the rows of
     hot keys are held back."""
-    each = rows.select(F.explode("keys").alias("w"), "grp", "n")
+    each = rows.select(F.explode("keys").alias("w"), "grp")
     hot = _hot(rows)
     cold = each if hot is None else each.join(F.broadcast(hot), "w", "left_anti")
     by = W.Window.partitionBy("w")  # no more than the bound of hot keys
@@ -353,8 +354,7 @@ def _crowds(docs: DataFrame, rule: Rule, crowd: DataFrame, near: DataFrame, bare
     mixed = cut(posted.groupBy("w", "band").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("units"), F.min("c").alias("hub")).where("x <> y").drop("x", "y"))
     posted = dealt_join(posted, mixed, ["w", "band"], hot_keys(mixed, ["w", "band"], "units"), F.xxhash64("unit")).withColumn("main", F.col("c") == F.col("hub"))
     posted = cut(posted)
-    large = posted.where(F.col("units") > CROWDED).join(near.select("unit", "bits"), "unit")
-    return _pairs(posted.where(F.col("units") <= CROWDED), rule.percent).unionByName(_blocks(large, rule.percent))
+    return _pairs(posted.where(F.col("units") <= CROWDED), rule.percent).unionByName(_blocks(posted.where(F.col("units") > CROWDED), near, rule.percent))
 
 
 def _often(codes: DataFrame) -> np.ndarray:
@@ -375,12 +375,27 @@ def _often(codes: DataFrame) -> np.ndarray:
     return np.sort(counts.where(F.floor(F.log2("k")) >= least).select("code").toArrow().column("code").to_numpy().view(np.uint64))
 
 
-def _blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that can link under postings of many units, which are dealt to blocks; a task has two of them."""
-    rows = cut(rows.withColumn("blocks", F.ceil(F.col("units") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks"))))
-    spread = lambda rows, mine, other: rows.select("w", "band", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
-    keys = ["w", "band", "i", "j"]
-    x, y = spread(rows.where("not main"), "i", "j").groupBy(keys), spread(rows, "j", "i").groupBy(keys)
+def _blocks(under: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can link of the units under crowded postings (w, band, unit, n, c). Near copies share many of these,
+    so units that postings join are one crowd, in which each pair is tested once for a size band. The largest component in
+    a crowd is not paired with itself; crowds are cut to blocks, and a task has two of them."""
+    under = cut(under.select("w", "band", "unit", "n", "c"))
+    if under.isEmpty():
+        return under.select(F.col("unit").alias("a"), F.col("unit").alias("b"))
+    hubs = cut(under.groupBy("w", "band").agg(F.min("unit").alias("hub"), F.count("*").alias("k")))
+    met = dealt_join(under, hubs.drop("k"), ["w", "band"], hot_keys(hubs, ["w", "band"], "k"), F.xxhash64("unit"))
+    crowds = components(met.select(F.col("unit").alias("a"), F.col("hub").alias("b")).where("a <> b"))
+    units = under.select("unit", "n", "c").distinct().join(crowds, F.col("unit") == F.col("node"))
+    band = F.floor(F.log(F.col("n")) / -math.log(percent / 100 - 1e-9)).cast("int")
+    units = cut(units.select("unit", "n", "c", F.explode(F.array(band, band + 1)).alias("size"), F.col("root").alias("crowd")))
+    sizes = units.groupBy("crowd", "size", "c").agg(F.count("*").alias("k")).groupBy("crowd", "size").agg(F.max_by("c", "k").alias("most"), F.sum("k").alias("k"))
+    sizes = cut(sizes)
+    units = dealt_join(units, sizes, ["crowd", "size"], hot_keys(sizes, ["crowd", "size"], "k"), F.xxhash64("unit"))
+    units = units.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
+    units = cut(units.select("unit", "n", "c", "size", "crowd", "blocks", "own", (F.col("c") == F.col("most")).alias("main")).join(near.select("unit", "bits"), "unit"))
+    spread = lambda rows, mine, other: rows.select("crowd", "size", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
+    keys = ["crowd", "size", "i", "j"]
+    x, y = spread(units.where("not main"), "i", "j").groupBy(keys), spread(units, "j", "i").groupBy(keys)
     return x.cogroup(y).applyInArrow(_tester(percent), "a binary, b binary").distinct()
 
 
