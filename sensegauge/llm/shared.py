@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     with small_batches(df.sparkSession):
         out = df.checkpoint()
     _MADE[-1].append((df.sparkSession, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()))
+    if next(_CUTS) % COLLECT_EACH == 0:
+        collect_garbage(df.sparkSession)
     return out
 
 
+#: Spark deletes the files of a shuffle once the JVM has collected what refers to it, so operators of many steps ask for
+#: that after so many checkpoints.
+COLLECT_EACH = 8
+_CUTS = itertools.count(1)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    gc.collect()  # Python's own references to the JVM's objects first
+    spark._jvm.System.gc()
+
+
 #: Rows of an Arrow batch at most, while an operator's own tables are written: documents may be long, and a batch is in
 #: memory on both sides.
 BATCH_ROWS = 2000
