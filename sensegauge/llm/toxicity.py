@@ -1,7 +1,9 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Fitting, on the driver, on a bounded sample of labelled rows (``MAX_ROWS`` of each label, by hash of the id; texts over
-``MAX_CHARS`` are left out of the sample only):
+Fitting, on the driver, on a bounded sample of labelled rows. All bounds are parameters of ``learn``: ``max_rows`` of each
+label, those with the lowest hash of the id (of equal hashes, the lower id); texts over ``max_chars`` are left out of the
+sample; the field is fitted on ``max_sentences`` of each of three kinds of sentences of the sample (with toxic words, with
+words that are like those, and any), by hash of their place. Sentences of more than ``RUN_WORDS`` words are fitted in runs.
 
 1. Labels are of documents, so tokens are labelled from them: word forms and stems (first bytes of a word) that cover
    the most toxic documents not covered yet, while being rare in clean ones, are picked one by one; words of toxic
@@ -13,8 +15,10 @@ Fitting, on the driver, on a bounded sample of labelled rows (``MAX_ROWS`` of ea
 Scoring sees every word of every text. Only ``text`` is an input of a score; ids choose the sample, labels the targets.
 
 Defined results: null and empty texts have no tokens and get the calibrated score of none; repeated rows are scored
-each; a row without doc_id is scored (it counts as not held out); without labelled rows of both kinds every score is
-the share of toxic rows (0 where there is none); other columns are ignored.
+each; very long texts are scored whole; a row without doc_id is scored (it counts as not held out); without labelled rows
+of both kinds, or where no form is toxic often enough to be picked, every score is the share of toxic rows (0 where there
+is none), and ``reject`` keeps all documents, as such a model tells none apart; of forms that cover as many documents the
+one with the lowest code is picked; other columns are ignored by ``score`` and kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ MAX_ROWS = 1500
 MAX_CHARS = 100_000
 THRESHOLD = 0.3
 SPAN_MARGINAL = 0.5
+MAX_SENTENCES = 15_000
+#: Words of a sentence that are fitted as one run, at most.
+RUN_WORDS = 400
 STEMS = (4, 5, 6, 7)
 _PREV, _NEXT = np.uint64(0x51ED270B), np.uint64(0x3C6EF372)
 
@@ -177,7 +184,14 @@ def picked_forms(docs: np.ndarray, codes: np.ndarray, toxic: np.ndarray) -> np.n
     return forms[out]
 
 
-def fit(rows: list[tuple[str, int]], shares: tuple[float, float] | None = None, steps: int = 120) -> Model:
+def runs(begins: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and sizes of sentences, with those of more than ``most`` words cut to runs."""
+    n = -(-sizes // most)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(begins, n) + k * most, np.minimum(np.repeat(sizes, n) - k * most, most)
+
+
+def fit(rows: list[tuple[str, int]], shares: tuple[float, float] | None = None, steps: int = 120, max_sentences: int = MAX_SENTENCES) -> Model:
     """rows: (text, label). shares: of labels 0 and 1 among all labelled rows, if the sample has other ones."""
     none = np.zeros(0)
     texts, toxic = [r[0] or "" for r in rows], np.array([r[1] == 1 for r in rows], bool)
@@ -215,17 +229,16 @@ def fit(rows: list[tuple[str, int]], shares: tuple[float, float] | None = None,
         return got[(count >= least) & (got != 0)]
 
     features = np.unique(np.concatenate([forms, often(tokens.own()[:1], 2), often(tokens.beside(), 5)]))
-    sentence = np.repeat(np.arange(len(tokens.begins)), tokens.sizes)
+    begins, run_sizes = runs(tokens.begins, tokens.sizes, RUN_WORDS)
+    sentence = np.repeat(np.arange(len(begins)), run_sizes)
     has_own = np.zeros(tokens.n, bool)
     for c in tokens.own():
         has_own |= np.isin(c, features)
     toxic_s, near_s = np.unique(sentence[tagged]), np.unique(sentence[has_own & ~tagged])
     some_of = lambda x, m: x[np.argsort(mix(x.astype(np.uint64)), kind="stable")[:m]]
-    other = np.arange(len(tokens.begins))
-    use = np.unique(np.concatenate([some_of(toxic_s, 15_000), some_of(near_s, 15_000), some_of(other, 15_000)]))
-    use = use[tokens.sizes[use] <= 400]
-    sizes = tokens.sizes[use]
-    at = np.repeat(tokens.begins[use] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    use = np.unique(np.concatenate([some_of(x, max_sentences) for x in (toxic_s, near_s, np.arange(len(begins)))]))
+    sizes = run_sizes[use]
+    at = np.repeat(begins[use] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     y = tagged[at].astype(float)
     where, which = [], []
     for c in (*tokens.own(), *tokens.beside()):
@@ -266,7 +279,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_sentences: int = MAX_SENTENCES) -> Model:
     """Fits on labelled rows that are not held out: max_rows of each label at most, whichever have the lowest hash.
 
     The ids of the sample are bounded, so they are what is broadcast; texts of the sample only come to the driver.
@@ -278,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     texts = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
     rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).groupBy("doc_id").agg(F.first("text"), F.max("toxic")).orderBy("doc_id").collect()
     total = sum(counts.values())
-    model = fit([(r[1], r[2]) for r in rows], tuple(counts.get(k, 0) / total for k in (0, 1)) if total else None)
+    model = fit([(r[1], r[2]) for r in rows], tuple(counts.get(k, 0) / total for k in (0, 1)) if total else None, max_sentences=max_sentences)
     del rows
     tidy()  # the driver keeps the model only
     return model
@@ -332,7 +345,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
+    model = learn(docs, labels)
+    if not len(model.codes):
+        return docs
     kept = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select(F.struct("doc_id", *kept).alias("doc_id"), "text")
-    scored = score(packed, learn(docs, labels)).where(F.col("score") < threshold)
+    scored = score(packed, model).where(F.col("score") < threshold)
     return scored.select("doc_id.doc_id", "text", *(F.col("doc_id")[c].alias(c) for c in kept)).select(*docs.columns)

@@ -95,6 +95,22 @@ def test_toxicity_of_odd_input(spark, odd):
     assert toxicity.score(odd.where("false"), model).count() == 0
 
 
+def test_a_model_that_tells_nothing_apart_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(9)], "doc_id long, toxic int")
+    assert toxicity.reject(docs, labels).count() == 9
+
+
+def test_long_sentences_are_fitted_in_runs():
+    import numpy as np
+
+    begins, sizes = toxicity.runs(np.array([0, 5, 1005]), np.array([5, 1000, 400]), 400)
+    assert begins.tolist() == [0, 5, 405, 805, 1005] and sizes.tolist() == [5, 400, 400, 200, 400]
+    rows = [(t.replace(".", ""), y) for _, t, y in toxic_rows(400, 6)]
+    model = toxicity.fit([(" ".join([t] * 40), y) for t, y in rows])
+    assert len(model.codes)
+
+
 # --- op5 --------------------------------------------------------------------------------------------------------------
 
 
