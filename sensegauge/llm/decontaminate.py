@@ -9,25 +9,28 @@ of its words. Items of fewer than ``min_tile`` words have one seed, all their wo
 The benchmark is a query set: its seeds are broadcast in blocks of at most ``block_chars`` characters, and every
 document goes by every block, in one pass over the texts.
 
-Defined results: null and empty texts and items match nothing; repeated documents are judged each; repeated items have
-the same matches each; a null item_id is an item; other columns are ignored; an empty benchmark leaks nowhere.
+Defined results: null and empty texts and items match nothing; very long texts are matched whole, and a word repeated
+thousands of times costs no more than others; repeated documents are judged each; repeated items have the same matches
+each; a null item_id is an item; of items of equal shares the one with the greatest item_id is the best; other columns are
+ignored by ``leaks`` and kept by ``remove``; an empty benchmark leaks nowhere.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import ALNUM_LOWER, Words, bit_table, map_slices, member, mix, text_bytes, windows
+from sensegauge.llm.kernels import _POWERS, ALNUM_LOWER, Words, bit_table, map_slices, member, mix, text_bytes, windows
 from sensegauge.llm.shared import blocks
 
 MIN_TILE = 5
 COVERAGE = 0.5
 BLOCK_CHARS = 8_000_000
+#: Places of seeds in items that are looked at at once, about; those of one document stay together, which are no more than
+#: a block has words.
+MAX_HITS = 1 << 21
 
 
 class Seeds:
@@ -53,46 +56,89 @@ class Seeds:
         self.first = np.append(self.first, len(codes))
         self.bits = bit_table(self.table)
 
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, item, place in the row, place in the item of each seed in common."""
-        out = []
-        rows = words.rows()
+    def met(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Row and number of the seeds in common, once for each row however often they stand in it."""
+        rows, out = words.rows(), [np.zeros(0, np.int64)]
         for k in [*self.short, self.k]:
             codes, whole = windows(words, k)
             codes = mix(codes + np.uint64(k))
             at = member(codes, self.table, self.bits)
             at = at[whole[at]]
-            if len(at):
-                seed = np.searchsorted(self.table, codes[at])
-                n = self.first[seed + 1] - self.first[seed]
-                posting = np.repeat(self.first[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                place = np.repeat(at, n)
-                out.append((rows[place], self.items[posting], place - words.ptr[rows[place]], self.at[posting]))
-        return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4))
-
-
-def tile(places: np.ndarray, item_places: np.ndarray, k: int) -> int:
-    """Words of the item under tiles. Seeds of one pair in; those on one diagonal without a gap are one match."""
-    order = np.lexsort((places, places - item_places))
-    p, q = places[order], item_places[order]
-    cuts = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
-    a, b = np.append(0, cuts), np.append(cuts, len(p))
-    heap = [(-(e - s + k - 1), int(p[s]), int(q[s])) for s, e in zip(a.tolist(), b.tolist(), strict=True)]
-    heapq.heapify(heap)
-    marked, item_marked = set(), set()
-    while heap:
-        n, x, y = heapq.heappop(heap)
-        n, run = -n, 0
-        free = [x + j not in marked and y + j not in item_marked for j in range(n)]
-        if all(free):
-            marked.update(range(x, x + n))
-            item_marked.update(range(y, y + n))
-            continue
-        for j, ok in enumerate([*free, False]):
-            if not ok and run >= k:
-                heapq.heappush(heap, (-run, x + j - run, y + j - run))
-            run = run + 1 if ok else 0
-    return len(item_marked)
+            out.append(np.unique(rows[at] << 32 | np.searchsorted(self.table, codes[at])))
+        both = np.unique(np.concatenate(out))
+        return both >> 32, both & 0xFFFFFFFF
+
+    def pairs(self, row: np.ndarray, seed: np.ndarray, coverage: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and items of which the seeds in common cover enough of the item's words."""
+        n = self.first[seed + 1] - self.first[seed]
+        posting = np.repeat(self.first[seed] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row, item, at = np.repeat(row, n), self.items[posting], self.at[posting]
+        order = np.lexsort((at, item, row))
+        row, item, at = row[order], item[order], at[order]
+        size = np.diff(self.ptr)[item]
+        k = np.minimum(self.k, size)
+        new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]))[: len(row)]
+        # words from one seed's place to the next one's, as far as the seed goes
+        words = np.where(np.append(new[1:], True)[: len(row)], k, np.minimum(k, np.append(at[1:] - at[:-1], 0)[: len(row)]))
+        begins = np.flatnonzero(new)
+        covered = np.add.reduceat(words, begins) if len(begins) else words
+        enough = covered >= coverage * size[begins]
+        return row[begins][enough], item[begins][enough]
+
+
+class _Part:
+    """Hashes of any window of some words, and which words are marked."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes, self.marked = codes, np.zeros(len(codes), bool)
+        up, self.down = _POWERS.upto(len(codes) + 1)
+        self.sums = np.append(np.uint64(0), np.cumsum(mix(codes) * up[: len(codes)]))
+
+    def free(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of n words without a marked one."""
+        taken = np.append(0, np.cumsum(self.marked))
+        at = np.flatnonzero(taken[n:] == taken[:-n]) if n <= len(self.codes) else np.zeros(0, np.int64)
+        return at, (self.sums[at + n] - self.sums[at]) * self.down[at]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, k: int) -> int:
+    """Words of the item under tiles of k words or more: the longest unmarked match first, the leftmost in the document of
+    equal ones. Only windows of one length are looked at at a time, so memory follows the words and not their matches."""
+    a, b = _Part(doc), _Part(item)
+    top = min(len(doc), len(item))
+    while top >= k:
+        low = k - 1
+        while low < top:  # the longest length of a match that is left
+            n = (low + top + 1) // 2
+            if np.isin(b.free(n)[1], a.free(n)[1]).any():
+                low = n
+            else:
+                top = n - 1
+        if top < k:
+            break
+        _mark(a, b, top)
+        top -= 1
+    return int(b.marked.sum())
+
+
+def _mark(a: _Part, b: _Part, n: int) -> None:
+    """Marks the matches of n words, from the left."""
+    at, codes = b.free(n)
+    places: dict[int, list[int]] = {}
+    for i, code in zip(at[::-1].tolist(), codes[::-1].tolist(), strict=True):
+        places.setdefault(code, []).append(i)
+    at, codes = a.free(n)
+    some = np.isin(codes, np.fromiter(places, np.uint64, len(places)))
+    end = 0
+    for i, code in zip(at[some].tolist(), codes[some].tolist(), strict=True):
+        own = places[code]
+        while i >= end and own:
+            j = own[-1]
+            if b.marked[j : j + n].any() or not np.array_equal(a.codes[i : i + n], b.codes[j : j + n]):
+                own.pop()  # marked words stay marked
+                continue
+            a.marked[i : i + n] = b.marked[j : j + n] = True
+            end = i + n
 
 
 def matcher(spark, rows: list, min_tile: int, coverage: float):
@@ -104,18 +150,16 @@ def matcher(spark, rows: list, min_tile: int, coverage: float):
 
         def of(part: pa.RecordBatch) -> pa.RecordBatch:
             data, offsets = text_bytes(part.column("text"))
-            row, item, place, item_place = seeds.hits(Words(data, offsets, ALNUM_LOWER))
+            words = Words(data, offsets, ALNUM_LOWER)
+            row, seed = seeds.met(words)
             found: list[list] = part.column("leaks").to_pylist()
-            order = np.lexsort((item, row))
-            row, item, place, item_place = row[order], item[order], place[order], item_place[order]
-            cuts = [0, *(np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1).tolist(), len(row)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    i = int(item[a])
-                    k = min(min_tile, int(sizes[i]))
-                    # no more words than seeds * k can be covered
-                    if (b - a) * k >= coverage * sizes[i] and (n := tile(place[a:b], item_place[a:b], k)) >= coverage * sizes[i]:
-                        found[int(row[a])].append({"item_id": seeds.ids[i], "covered": n, "item_words": int(sizes[i])})
+            stretch = np.cumsum(seeds.first[seed + 1] - seeds.first[seed]) // MAX_HITS  # a row's seeds may be in two of them
+            cuts = np.append(np.flatnonzero(np.append(True, (np.diff(stretch) > 0) & (np.diff(row) > 0)))[: len(row)], len(row)) if len(row) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                for r, i in zip(*(z.tolist() for z in seeds.pairs(row[x:y], seed[x:y], coverage)), strict=True):
+                    n = tile(words.codes[words.ptr[r] : words.ptr[r + 1]], seeds.codes[seeds.ptr[i] : seeds.ptr[i + 1]], min(min_tile, int(sizes[i])))
+                    if n >= coverage * sizes[i]:
+                        found[r].append({"item_id": seeds.ids[i], "covered": n, "item_words": int(sizes[i])})
             return part.set_column(part.schema.get_field_index("leaks"), "leaks", pa.array(found, part.schema.field("leaks").type))
 
         return of

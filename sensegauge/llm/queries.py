@@ -123,7 +123,7 @@ FROM docs LEFT JOIN sums USING (rn)
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for each document."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumn("leaks", F.expr("array_join(transform(array_sort(leaks), s -> concat(s.item_id, ':', s.covered, '/', s.item_words)), ',')"))
+    return found.withColumn("leaks", F.expr("array_join(transform(array_sort(leaks), s -> concat(coalesce(cast(s.item_id as string), 'null'), ':', s.covered, '/', s.item_words)), ',')"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

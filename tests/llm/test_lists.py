@@ -142,12 +142,29 @@ def test_tiles_against_brute_force(spark):
     assert decontaminate.leaks(df, bench.where("false")).where("contaminated").count() == 0 and decontaminate.leaks(df.where("false"), bench).count() == 0
 
 
+def test_tiles_of_one_word_that_is_repeated(spark):
+    import numpy as np
+
+    la = np.full(40_000, 7, np.uint64)
+    assert decontaminate.tile(la, la[:800], 5) == 800 and decontaminate.tile(la[:300], la[:800], 5) == 300
+    random.seed(12)
+    for _ in range(200):
+        doc, item = ([random.choice("ab") for _ in range(random.choice([0, 4, 12, 40]))] for _ in range(2))
+        codes = [np.array([ord(x) for x in w], np.uint64) for w in (doc, item)]
+        assert decontaminate.tile(*codes, 3) == brute_tile(doc, item, 3)
+    df = spark.createDataFrame([(1, "la " * 40_000), (1, "la " * 40_000), (2, "no")], "doc_id long, text string").withColumns({"contaminated": F.lit("own"), "n_items": F.lit(1)})
+    bench = spark.createDataFrame([(1, "la " * 800), (1, "la " * 800), (2, "x " * 800)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_items"], [x["covered"] for x in r["leaks"]]) for r in decontaminate.leaks(df, bench).collect())
+    assert got == [(1, 2, [800, 800]), (1, 2, [800, 800]), (2, 0, [])]
+    assert decontaminate.remove(df, bench).columns == df.columns
+
+
 def test_op7_has_a_row_for_each_document(spark, tmp_path):
     leak = "one two three four five six seven eight"
     spark.createDataFrame([(1, f"so {leak} it is"), (2, "nothing of that kind"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(7, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, leak), (None, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["leaks"]) for r in queries.op7_decontaminate(spark, str(tmp_path)).collect()}
-    assert got == {1: (True, 1, "7:8/8"), 2: (False, 0, ""), 3: (False, 0, "")}
+    assert got == {1: (True, 2, "null:8/8,7:8/8"), 2: (False, 0, ""), 3: (False, 0, "")}
 
 
 # --- on the tables ----------------------------------------------------------------------------------------------------
