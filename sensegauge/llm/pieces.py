@@ -36,7 +36,7 @@ from sensegauge.llm.kernels import map_arrow, slices, with_field
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words and pairs of pieces that are remembered at most.
-WORDS, PAIRS = 400_000, 500_000
+WORDS, PAIRS = 200_000, 500_000
 #: Longest word that is remembered.
 SHORT = 64
 #: The search looks for a common boundary after so many times the longest piece.
