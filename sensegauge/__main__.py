@@ -8,15 +8,16 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from sensegauge.functions.text import FALSE, TRUE
 from sensegauge.operators import summary
 from sensegauge.plans import evaluate, reports
 from sensegauge.sources import sinks, tables
 
 
 def boolean(text: str) -> bool:
-    if text.lower() not in ("true", "false", "yes", "no", "1", "0"):
+    if (x := text.strip().lower()) not in (*TRUE, *FALSE):
         raise argparse.ArgumentTypeError(f"not a boolean: {text}")
-    return text.lower() in ("true", "yes", "1")
+    return x in TRUE
 
 
 def parser() -> argparse.ArgumentParser:

@@ -148,36 +148,43 @@ def _distance(a: Words, b: Words) -> int:
 SHIFT_WORDS, SHIFT_FAR, SHIFTS_TRIED = 10, 50, 1000
 
 
-def ter(reference: Words, prediction: Words) -> float:
+def ter(reference: Words, prediction: Words, shift_words: int | None = SHIFT_WORDS, shift_far: int | None = SHIFT_FAR, shifts_tried: int | None = SHIFTS_TRIED) -> float:
     """TER (Snover et al. 2006): edits and phrase shifts for a word of the reference, in percent. Shifts are greedy: the
-    one that saves most edits, while one saves any. Without reference words it is 0 for no prediction and 100 else."""
+    one that saves most edits, while one saves any. Without reference words it is 0 for no prediction and 100 else. The
+    published tool's three limits are the defaults; None is no limit.
+
+    A shift of n words saves 2 n edits at most, and none leaves fewer edits than the words that have no partner at all;
+    shifts that cannot be better than the best one so far are not measured."""
     if not reference:
         return 100.0 if prediction else 0.0
+    far, longest, most = (math.inf if x is None else x for x in (shift_far, shift_words, shifts_tried))
     hyp, shifts = list(prediction), 0
     best = _distance(hyp, reference)
+    least = max(len(hyp), len(reference)) - (Counter(hyp) & Counter(reference)).total()
     places: dict[str, list[int]] = {}
     for i, w in enumerate(reference):
         places.setdefault(w, []).append(i)
-    while best:
+    while best > least:
         found, tried = None, 0
         for i in range(len(hyp)):
             for j in places.get(hyp[i], ()):
-                if i == j or abs(i - j) > SHIFT_FAR or (j < len(hyp) and hyp[j] == reference[j]):
+                if i == j or abs(i - j) > far or (j < len(hyp) and hyp[j] == reference[j]):
                     continue
                 n = 0
-                while n < SHIFT_WORDS and i + n < len(hyp) and j + n < len(reference) and hyp[i + n] == reference[j + n]:
+                while n < longest and i + n < len(hyp) and j + n < len(reference) and hyp[i + n] == reference[j + n]:
                     n += 1
-                rest = hyp[:i] + hyp[i + n :]
-                moved = rest[:j] + hyp[i : i + n] + rest[j:]
-                saved = best - _distance(moved, reference)
                 tried += 1
-                if found is None or (saved, n, -i) > found[0]:
-                    found = ((saved, n, -i), moved)
-                if tried >= SHIFTS_TRIED:
+                if (min(2 * n, best - least), n, -i) > (found[0] if found else (0, math.inf)):
+                    rest = hyp[:i] + hyp[i + n :]
+                    moved = rest[:j] + hyp[i : i + n] + rest[j:]
+                    saved = best - _distance(moved, reference)
+                    if saved > 0 and (found is None or (saved, n, -i) > found[0]):
+                        found = ((saved, n, -i), moved)
+                if tried >= most:
                     break
-            if tried >= SHIFTS_TRIED:
+            if tried >= most:
                 break
-        if found is None or found[0][0] <= 0:
+        if found is None:
             break
         hyp, shifts, best = found[1], shifts + 1, best - found[0][0]
     return 100 * (best + shifts) / len(reference)

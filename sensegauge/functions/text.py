@@ -37,7 +37,11 @@ def fkgl(text: Column) -> Column:
     return F.when(n > 0, 0.39 * n / s + 11.8 * syllables(w) / n - 15.59)
 
 
+#: What counts as a boolean, in any case, with white space around.
+TRUE, FALSE = ("true", "yes", "t", "y", "1"), ("false", "no", "f", "n", "0")
+
+
 def parse_bool(text: Column) -> Column:
-    """true or false in any case; other values are an error."""
+    """Other values than those of TRUE and FALSE are an error; null is null."""
     x = F.lower(F.trim(text))
-    return F.when(x.isin("true", "yes", "t", "y", "1"), True).when(x.isin("false", "no", "f", "n", "0"), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), text)).cast("boolean"))
+    return F.when(x.isin(*TRUE), True).when(x.isin(*FALSE), False).when(text.isNotNull(), F.raise_error(F.concat(F.lit("not a boolean: "), text)).cast("boolean"))

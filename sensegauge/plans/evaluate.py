@@ -11,8 +11,10 @@ from sensegauge.operators import metrics, summary
 from sensegauge.operators.runs import finished, last_values, route
 
 
+#: Names of the holdouts in keys, as the trainer and as the reports write them.
+HOLDOUTS = {"same_sentence": summary.IDENTICAL, "identical_sentences": summary.IDENTICAL, "irrelevant_sentence": summary.UNRELATED, "unrelated_sentences": summary.UNRELATED}
 #: Split, metric and statistic in the key of an event; the model's own keys name no metric.
-KEY = r"^(?:train/)?test/(?:(same_sentence|irrelevant_sentence)_)?(?:(.*)_)?(pearson_corr|pearson_pvalue|R2|rmse|mean_score|st_dev_score|mean|st_dev|ratio_equals|ratio_95|ratio_99|ratio_5|ratio_1)$"
+KEY = rf"^(?:train/)?test/(?:({'|'.join(HOLDOUTS)})_)?(?:(.*)_)?(pearson_corr|pearson_pvalue|R2|rmse|mean_score|st_dev_score|mean|st_dev|ratio_equals|ratio_95|ratio_99|ratio_5|ratio_1)$"
 
 
 def benchmark_metrics(pairs: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
@@ -29,5 +31,6 @@ def run_values(log: DataFrame, runs: DataFrame) -> DataFrame:
     """
     part = lambda i: F.regexp_extract("key", KEY, i)
     values = last_values(log).where(part(0) != "")
-    values = values.select("run_id", F.when(part(1) == "", "test").otherwise(part(1)).alias("split"), F.when(part(2) == "", "Trained model").otherwise(part(2)).alias("metric"), part(3).alias("stat"), "value")
+    split = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in HOLDOUTS.items() for x in kv)), F.nullif(part(1), F.lit(""))), F.lit(summary.TEST))
+    values = values.select("run_id", split.alias("split"), F.when(part(2) == "", "Trained model").otherwise(part(2)).alias("metric"), part(3).alias("stat"), "value")
     return values.join(route(finished(runs)).select("run_id", "cohort"), "run_id")

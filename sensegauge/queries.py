@@ -74,6 +74,13 @@ def cosine_holdouts(spark, sf_dir):
     return of(summary.IDENTICAL, v.where("gap = 0"), 100).unionByName(of(summary.UNRELATED, v.where("gap > 0 and not same"), 0))
 
 
+def _pvalue(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation in SQL: the finite series of Student's t with n - 2 degrees of freedom."""
+    even = f"abs({r}) * list_sum(list_transform(range(0, ({n} - 2) // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0) + j * ln(1 - {r} * {r}))))"
+    odd = f"(asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * list_sum(list_transform(range(0, ({n} - 3) // 2), lambda j: exp(lgamma(j + 1.0) + lgamma(1.5) - lgamma(j + 1.5) + j * ln(1 - {r} * {r}))))) * 2 / pi()"
+    return f"(1 - CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
 _LABELLED = ", p AS (SELECT score AS p, CASE WHEN same THEN 100.0 ELSE 0.0 END AS y FROM v WHERE gap > 0)"
 
 
@@ -87,11 +94,15 @@ def cosine_vs_label(spark, sf_dir):
     return v.agg(a["n"].alias("n"), *short(**{k: a[k] for k in ("pearson_corr", "R2", "rmse", "mean", "st_dev")}))
 
 
-@query()
+@query(_COSINE + _LABELLED + f"""
+SELECT round(r, 6) AS pearson_corr, round({_pvalue("r", "n")}, 6) AS pearson_pvalue, round(r2, 6) AS "R2", round(rmse, 6) AS rmse, round(mean, 6) AS mean, round(sd, 6) AS st_dev
+FROM (SELECT count(*) AS n, corr(p, y) AS r, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((p - y) ** 2)) AS rmse, avg(p) AS mean, stddev_pop(p) AS sd FROM p)
+""")
 def correlation_pvalue(spark, sf_dir):
-    """The same with the two-sided p-value, which SQL has not."""
+    """The bundle of a model's predictions, with the two-sided p-value and the deviation of the population."""
     v = _vector_pairs(spark, sf_dir).where("gap > 0").withColumn("label", F.when(F.col("same"), 100.0).otherwise(0.0))
-    return summary.predictions(v.select(F.col("score").alias("prediction"), "label"), summary.TEST)
+    out = summary.predictions(v.select(F.col("score").alias("prediction"), "label"), summary.TEST)
+    return out.select(*short(**{c: F.col(c) for c in ("pearson_corr", "pearson_pvalue", "R2", "rmse", "mean", "st_dev")}))
 
 
 @query(_COSINE + """
@@ -257,24 +268,48 @@ def benchmark_metrics(spark, sf_dir):
     return evaluate.benchmark_metrics(all_pairs(spark, sf_dir))
 
 
-@query(_TURNS + """
-, long AS (SELECT pair_id, 'ROUGE-1' AS metric, max(CASE WHEN n = 1 THEN f END) AS score FROM (
-    SELECT pair_id, n, CASE WHEN lo = 0 OR ls = 0 THEN NULL WHEN hits = 0 THEN 0.0 ELSE 100 * 2 * hits / ((lo - n + 1) + (ls - n + 1)) END AS f FROM counts) GROUP BY pair_id
-  UNION ALL SELECT pair_id, 'BLEU', bleu FROM bleu UNION ALL SELECT pair_id, 'SARI', sari FROM sari),
-y AS (SELECT metric, score AS p, CAST(((pair_id // 1000) * 7 + (pair_id % 1000) * 13) % 101 AS DOUBLE) AS y FROM long WHERE score IS NOT NULL)
-SELECT 'test' AS split, metric, round(corr(p, y), 6) AS pearson_corr, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS "R2", round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS st_dev FROM y GROUP BY metric
+NGRAM = ("ROUGE-1", "ROUGE-2", "BLEU", "IBLEU", "SARI", "BLEU-SARI (AM)", "BLEU-SARI (GM)", "FKGL", "FKBLEU")
+_LONG = _TURNS + f"""
+, rouge AS (SELECT pair_id, n, CASE WHEN lo = 0 OR ls = 0 THEN NULL WHEN hits = 0 THEN 0.0 ELSE 100 * 2 * hits / ((lo - n + 1) + (ls - n + 1)) END AS f FROM counts WHERE n <= 2),
+grade AS (SELECT pair_id, CASE WHEN ls > 0 THEN {_fkgl_sql("simplification", "s")} END AS s, CASE WHEN lo > 0 THEN {_fkgl_sql("original", "o")} END AS o FROM sized),
+long AS (
+  SELECT pair_id, 'ROUGE-' || n AS metric, f AS score FROM rouge UNION ALL SELECT pair_id, 'BLEU', bleu FROM bleu UNION ALL SELECT pair_id, 'IBLEU', 0.8 * bleu FROM bleu UNION ALL SELECT pair_id, 'SARI', sari FROM sari
+  UNION ALL SELECT pair_id, 'BLEU-SARI (AM)', (sari + bleu) / 2 FROM sari JOIN bleu USING (pair_id)
+  UNION ALL SELECT pair_id, 'BLEU-SARI (GM)', CASE WHEN sari > 0 AND bleu > 0 THEN sqrt(sari * bleu) WHEN sari IS NOT NULL AND bleu IS NOT NULL THEN 0.0 END FROM sari JOIN bleu USING (pair_id)
+  UNION ALL SELECT pair_id, 'FKGL', s FROM grade UNION ALL SELECT pair_id, 'FKBLEU', 0.8 * bleu / (1 + exp(o - s)) FROM grade JOIN bleu USING (pair_id)),
+y AS (SELECT metric, score AS p, CAST(((pair_id // 1000) * 7 + (pair_id % 1000) * 13) % 101 AS DOUBLE) AS y FROM long WHERE score IS NOT NULL),
+stats AS (SELECT metric, count(*) AS n, corr(p, y) AS r, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((p - y) ** 2)) AS rmse, avg(p) AS mean, stddev_samp(p) AS sd FROM y GROUP BY metric)
+"""
+
+
+@query(_LONG + f"""
+SELECT 'test' AS split, metric, round(r, 6) AS pearson_corr, round({_pvalue("r", "n")}, 6) AS pearson_pvalue, round(r2, 6) AS "R2", round(rmse, 6) AS rmse, round(mean, 6) AS mean, round(sd, 6) AS st_dev FROM stats
 """)
 def test_summary(spark, sf_dir):
-    """Unpivoted scores of three metrics, summarised by metric."""
-    names = ["ROUGE-1", "BLEU", "SARI"]
-    out = summary.metrics(metrics.long(metrics.score(turns(spark, sf_dir), names), names), summary.TEST)
-    return out.select("split", "metric", *short(**{k: F.col(k) for k in ("pearson_corr", "R2", "rmse", "mean", "st_dev")}))
+    """Unpivoted scores of nine metrics, summarised by metric."""
+    out = summary.metrics(metrics.long(metrics.score(turns(spark, sf_dir), NGRAM), NGRAM), summary.TEST)
+    return out.select("split", "metric", *short(**{k: F.col(k) for k in ("pearson_corr", "pearson_pvalue", "R2", "rmse", "mean", "st_dev")}))
 
 
-@query()
+@query(rf"""
+WITH t AS (SELECT a.conv_id * 1000 + a.turn AS pair_id, len(regexp_extract_all(lower(a.text), '{text.WORD}')) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT pair_id, CASE WHEN n > 0 THEN 100.0 END AS rouge_l, CASE WHEN n > 0 THEN 100.0 END AS ter, CASE WHEN n > 0 THEN round(100 * (1 - 0.5 * (1.0 / n) ** 3), 6) END AS meteor_exact FROM t
+""")
+def alignment_identical_turns(spark, sf_dir):
+    """Metrics that align words, on pairs of equal texts: all words match in one chunk."""
+    own = pairs.identical(turns(spark, sf_dir), "pair_id", "original")
+    scored = metrics.score(own, ["ROUGE-L", "TER", "METEOR (exact)"])
+    return scored.select("pair_id", *short(rouge_l=F.col("`ROUGE-L`"), ter=F.col("`TER`"), meteor_exact=F.col("`METEOR (exact)`")))
+
+
+@query(_LONG + f"""
+SELECT 'run-1' AS run_id, CAST(0 AS BIGINT) AS step, 'test/' || metric || '_' || stat AS key, round(value, 6) AS value FROM (
+  SELECT metric, unnest(['pearson_corr', 'pearson_pvalue', 'R2', 'rmse', 'mean', 'st_dev']) AS stat, unnest([r, {_pvalue("r", "n")}, r2, rmse, mean, sd]) AS value FROM stats WHERE metric IN ('ROUGE-1', 'BLEU'))
+""")
 def metric_events(spark, sf_dir):
     """The same as events of a run's log, with their keys."""
-    return as_events(evaluate.benchmark_metrics(turns(spark, sf_dir), ["ROUGE-1", "BLEU"]), "run-1", 0)
+    events = as_events(evaluate.benchmark_metrics(turns(spark, sf_dir), ["ROUGE-1", "BLEU"]), "run-1", 0)
+    return events.withColumn("value", F.round("value", DIGITS))
 
 
 @query()
@@ -331,7 +366,7 @@ def _report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as metrics; the first by name is the model."""
     kind, user = F.col("event_type"), F.col("user_id")
     metric = F.when(kind == "click", reports.MODEL).otherwise(kind)
-    stat = F.explode(F.array(F.struct(F.lit("pearson_corr").alias("stat"), F.col("value").alias("value")), F.struct(F.lit("rmse").alias("stat"), F.abs(F.col("value") - 50).alias("value")), F.struct(F.lit("pearson_pvalue").alias("stat"), (F.pmod(F.hash(kind), F.lit(2)) * 0.5).alias("value"))))
+    stat = F.explode(F.array(F.struct(F.lit("pearson_corr").alias("stat"), F.col("value").alias("value")), F.struct(F.lit("rmse").alias("stat"), F.abs(F.col("value") - 50).alias("value")), F.struct(F.lit("pearson_pvalue").alias("stat"), F.when(kind.isin("click", "view"), 0.0).otherwise(0.5).alias("value"))))
     return _cohorts(spark, sf_dir).select(user.alias("run_id"), "cohort", F.lit("test").alias("split"), metric.alias("metric"), stat.alias("v")).select("run_id", "cohort", "split", "metric", "v.*")
 
 
@@ -350,10 +385,69 @@ def report_layout(spark, sf_dir):
     return out.select(F.col("row_idx").cast("long").alias("row_idx"), "row_name", "col_name", *short(mean=F.col("mean"), stdev=F.col("stdev")), "n_runs", "is_best")
 
 
-@query()
+def _number(x: str, digits: int) -> str:
+    return rf"regexp_replace(regexp_replace(CAST(CAST(round_even({x}, {digits}) AS DECIMAL(38, 6)) AS VARCHAR), '(\.\d*?)0+$', '\1'), '\.$', '')"
+
+
+def _report_sql(plain: str, augmented: str, columns: dict[str, tuple[str, bool]], sure: str = "false") -> str:
+    """Rows of a report; columns: by statistic what stands for its value, and whether high is best."""
+    rows = " UNION ALL ".join(f"SELECT row_name, '{c}' AS col_name, avg({x}) AS mean, stddev_samp({x}) AS stdev, count(*) AS n_runs FROM cells WHERE row_name IS NOT NULL GROUP BY row_name" for c, (x, _) in columns.items())
+    high = ", ".join(f"'{c}'" for c, (_, up) in columns.items() if up)
+    return _LAST + f"""
+, cells AS (
+  SELECT CASE WHEN event_type = 'click' AND cohort = '{plain}' THEN 'Trained model' WHEN event_type = 'click' AND cohort = '{augmented}' THEN 'Trained model (augmented)'
+    WHEN event_type <> 'click' AND cohort = 'plain_500_fixed' THEN event_type END AS row_name, value FROM cohort),
+rows AS ({rows})
+SELECT CAST(dense_rank() OVER (ORDER BY CASE row_name WHEN 'Trained model' THEN 1 WHEN 'Trained model (augmented)' THEN 2 ELSE 0 END, row_name) + CASE WHEN row_name LIKE 'Trained%' THEN 1 ELSE 0 END AS BIGINT) AS row_idx, row_name, col_name,
+  {_number("r.mean", 3)} || coalesce('±' || {_number("r.stdev", 2)}, '') AS text,
+  CASE WHEN col_name IN ({high}) THEN r.mean = max(r.mean) OVER (PARTITION BY col_name) ELSE r.mean = min(r.mean) OVER (PARTITION BY col_name) END AS is_best, {sure} AS is_significant FROM rows r
+"""
+
+
+def _texts_of(values: DataFrame, report) -> DataFrame:
+    out = reports.with_text(reports.cells(values, report))
+    return out.select(F.col("row_idx").cast("long").alias("row_idx"), "row_name", "col_name", "text", "is_best", "is_significant")
+
+
+@query(_report_sql("plain_250_fixed", "augmented_250_fixed", {"pearson_corr": ("value", True), "rmse": ("abs(value - 50)", False)}, "(col_name = 'pearson_corr' AND (row_name = 'view' OR row_name LIKE 'Trained%'))"))
 def report_text(spark, sf_dir):
     """Cells as text, with italics for significance."""
-    return reports.with_text(reports.cells(_report_values(spark, sf_dir), reports.CORRELATION)).select("row_idx", "row_name", "col_name", "text", "is_best", "is_significant")
+    return _texts_of(_report_values(spark, sf_dir), reports.CORRELATION)
+
+
+def _holdout_values(spark: SparkSession, sf_dir: str, split: str, **columns: Column) -> DataFrame:
+    kind = F.col("event_type")
+    stat = F.explode(F.array(*(F.struct(F.lit(k).alias("stat"), c.alias("value")) for k, c in columns.items())))
+    return _cohorts(spark, sf_dir).select(F.col("user_id").alias("run_id"), "cohort", F.lit(split).alias("split"), F.when(kind == "click", reports.MODEL).otherwise(kind).alias("metric"), stat.alias("v")).select("run_id", "cohort", "split", "metric", "v.*")
+
+
+@query(_report_sql("plain_500_fixed", "augmented_500_fixed", {"ratio_95": ("value", True), "ratio_99": ("value / 2", True)}))
+def identical_report(spark, sf_dir):
+    """The report on identical pairs, on stand-in runs."""
+    v = F.col("value")
+    return _texts_of(_holdout_values(spark, sf_dir, summary.IDENTICAL, ratio_95=v, ratio_99=v / 2, ratio_equals=v / 4), reports.SAME)
+
+
+@query(_report_sql("plain_500_fixed", "augmented_500_fixed", {"ratio_5": ("value", True), "ratio_1": ("value / 2", True), "ratio_equals": ("value / 4", True)}))
+def unrelated_report(spark, sf_dir):
+    """The report on unrelated pairs with its third column, on stand-in runs."""
+    v = F.col("value")
+    return _texts_of(_holdout_values(spark, sf_dir, summary.UNRELATED, ratio_5=v, ratio_1=v / 2, ratio_equals=v / 4), reports.OTHER.with_equals())
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, arg_max(value, event_id) AS last_click FROM events WHERE event_type = 'click' GROUP BY user_id")
+def run_lookup(spark, sf_dir):
+    """Run summaries as maps, and one key looked up, which all runs here have."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("key"), F.col("event_id").alias("step"), "value")
+    found = runs.summaries(log).where(F.map_contains_key("summary", F.lit("click")))
+    return found.select("run_id", runs.lookup(F.col("summary"), "click").alias("last_click"))
+
+
+@query("SELECT o_orderkey, o_orderstatus <> 'O' AS parsed FROM orders")
+def parse_booleans(spark, sf_dir):
+    """Spellings of booleans stand for the status of an order."""
+    status = F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.parse_bool(F.when(status == "O", " No").when(status == "F", "TRUE").otherwise("y ")).alias("parsed"))
 
 
 @query("""
@@ -407,7 +501,15 @@ def soft_coverage(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(coverage.soft_score(e, flags), DIGITS).alias("soft_score"))
 
 
-@query()
+@query(rf"""
+WITH p AS (SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS original, b.text AS simplification FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+m AS (
+  SELECT pair_id, list_transform(regexp_extract_all(lower(simplification), '{text.WORD}'), lambda w: length(w))[1:{coverage.LONGEST}] AS g,
+    flatten(list_transform(regexp_extract_all(original, '{text.SENTENCE}'), lambda t: list_transform(regexp_extract_all(lower(t), '{text.WORD}'),
+      lambda w, i: struct_pack(n := length(w), hid := CAST(i % 2 = 0 AND w NOT IN ({", ".join(f"'{w}'" for w in stop_words())}) AS INT)))))[1:{coverage.LONGEST}] AS o FROM p)
+SELECT pair_id, array_to_string(g || [2] || list_transform(o, lambda x: CASE WHEN x.hid = 1 THEN {coverage.MASK_ID} ELSE x.n END), ' ') AS ids,
+  array_to_string(list_transform(range(len(g) + 1), lambda x: -1) || list_transform(o, lambda x: x.n), ' ') AS labels, array_to_string(list_transform(range(len(g) + 1), lambda x: 0) || list_transform(o, lambda x: x.hid), ' ') AS flags FROM m
+""")
 def coverage_input(spark, sf_dir):
     """Input of the language model: ids, labels, flags."""
     p = turns(spark, sf_dir)
