@@ -421,18 +421,18 @@ def _holdout_values(spark: SparkSession, sf_dir: str, split: str, **columns: Col
     return _cohorts(spark, sf_dir).select(F.col("user_id").alias("run_id"), "cohort", F.lit(split).alias("split"), F.when(kind == "click", reports.MODEL).otherwise(kind).alias("metric"), stat.alias("v")).select("run_id", "cohort", "split", "metric", "v.*")
 
 
-@query(_report_sql("plain_500_fixed", "augmented_500_fixed", {"ratio_95": ("value", True), "ratio_99": ("value / 2", True)}))
+@query(_report_sql("plain_500_fixed", "augmented_500_fixed", {"ratio_95": ("value / 1.1", True), "ratio_99": ("value / 2.3", True)}))
 def identical_report(spark, sf_dir):
     """The report on identical pairs, on stand-in runs."""
     v = F.col("value")
-    return _texts_of(_holdout_values(spark, sf_dir, summary.IDENTICAL, ratio_95=v, ratio_99=v / 2, ratio_equals=v / 4), reports.SAME)
+    return _texts_of(_holdout_values(spark, sf_dir, summary.IDENTICAL, ratio_95=v / 1.1, ratio_99=v / 2.3, ratio_equals=v / 3.7), reports.SAME)
 
 
-@query(_report_sql("plain_500_fixed", "augmented_500_fixed", {"ratio_5": ("value", True), "ratio_1": ("value / 2", True), "ratio_equals": ("value / 4", True)}))
+@query(_report_sql("plain_500_fixed", "augmented_500_fixed", {"ratio_5": ("value / 1.1", True), "ratio_1": ("value / 2.3", True), "ratio_equals": ("value / 3.7", True)}))
 def unrelated_report(spark, sf_dir):
     """The report on unrelated pairs with its third column, on stand-in runs."""
     v = F.col("value")
-    return _texts_of(_holdout_values(spark, sf_dir, summary.UNRELATED, ratio_5=v, ratio_1=v / 2, ratio_equals=v / 4), reports.OTHER.with_equals())
+    return _texts_of(_holdout_values(spark, sf_dir, summary.UNRELATED, ratio_5=v / 1.1, ratio_1=v / 2.3, ratio_equals=v / 3.7), reports.OTHER.with_equals())
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS run_id, arg_max(value, event_id) AS last_click FROM events WHERE event_type = 'click' GROUP BY user_id")
