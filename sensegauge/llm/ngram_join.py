@@ -29,6 +29,7 @@ decides no link; other columns are ignored, whatever their names; an empty table
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -264,10 +265,8 @@ def _joined(docs: DataFrame, rule: Rule) -> DataFrame:
     under = cut(dealt_join(own, mixed, ["grp"], hot_keys(leaders, ["grp"], "c"), F.xxhash64("unit")).select("w", "band", "unit", "n", "c", "units", (F.col("c") == F.col("hub")).alias("main")))
     small, crowded = under.where(F.col("units") <= CROWDED), under.where(F.col("units") > CROWDED)
     pairs = _pairs(small, percent)
-    crowd = cut(crowded.select("unit", "n", "c").distinct())
-    if not crowd.isEmpty():
-        with scratch() as keep:
-            pairs = pairs.unionByName(keep(cut(_crowds(docs, rule, crowd, near, bare))))
+    with scratch() as keep:
+        pairs = pairs.unionByName(keep(cut(_blocks(crowded, near, percent, lambda crowd: _crowds(docs, rule, crowd, near, bare)))))
     before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = possible(pairs.distinct().join(before, ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -375,10 +374,11 @@ def _often(codes: DataFrame) -> np.ndarray:
     return np.sort(counts.where(F.floor(F.log2("k")) >= least).select("code").toArrow().column("code").to_numpy().view(np.uint64))
 
 
-def _blocks(under: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+def _blocks(under: DataFrame, near: DataFrame, percent: int, anew: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) that can link of the units under crowded postings (w, band, unit, n, c). Near copies share many of these,
     so units that postings join are one crowd, in which each pair is tested once for a size band. The largest component in
-    a crowd is not paired with itself; crowds are cut to blocks, and a task has two of them."""
+    a crowd is not paired with itself; crowds are cut to blocks, and a task has two of them. That is linear in a crowd with
+    few units beside its largest component; what is said of the units (unit, n, c) of other crowds is up to anew."""
     under = cut(under.select("w", "band", "unit", "n", "c"))
     if under.isEmpty():
         return under.select(F.col("unit").alias("a"), F.col("unit").alias("b"))
@@ -388,15 +388,19 @@ def _blocks(under: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     units = under.select("unit", "n", "c").distinct().join(crowds, F.col("unit") == F.col("node"))
     band = F.floor(F.log(F.col("n")) / -math.log(percent / 100 - 1e-9)).cast("int")
     units = cut(units.select("unit", "n", "c", F.explode(F.array(band, band + 1)).alias("size"), F.col("root").alias("crowd")))
-    sizes = units.groupBy("crowd", "size", "c").agg(F.count("*").alias("k")).groupBy("crowd", "size").agg(F.max_by("c", "k").alias("most"), F.sum("k").alias("k"))
+    sizes = units.groupBy("crowd", "size", "c").agg(F.count("*").alias("k")).groupBy("crowd", "size").agg(F.max_by("c", "k").alias("most"), (F.sum("k") - F.max("k")).alias("rest"), F.sum("k").alias("k"))
     sizes = cut(sizes)
     units = dealt_join(units, sizes, ["crowd", "size"], hot_keys(sizes, ["crowd", "size"], "k"), F.xxhash64("unit"))
+    found = None
+    if anew is not None and not (wide := cut(units.where(F.col("rest") > BLOCK).select("unit", "n", "c").distinct())).isEmpty():
+        found, units = anew(wide), units.where(F.col("rest") <= BLOCK)
     units = units.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
     units = cut(units.select("unit", "n", "c", "size", "crowd", "blocks", "own", (F.col("c") == F.col("most")).alias("main")).join(near.select("unit", "bits"), "unit"))
     spread = lambda rows, mine, other: rows.select("crowd", "size", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
     keys = ["crowd", "size", "i", "j"]
     x, y = spread(units.where("not main"), "i", "j").groupBy(keys), spread(units, "j", "i").groupBy(keys)
-    return x.cogroup(y).applyInArrow(_tester(percent), "a binary, b binary").distinct()
+    met = x.cogroup(y).applyInArrow(_tester(percent), "a binary, b binary").distinct()
+    return met if found is None else met.unionByName(found)
 
 
 def _tester(percent: int):
