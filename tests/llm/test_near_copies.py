@@ -52,9 +52,8 @@ def documents(seed, n=350):
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
 def test_join_against_brute_force(spark, monkeypatch, forced, k, percent):
     if forced:
-        for name, value in {"BANDED": 3, "ROUNDS": 1, "CROWDED": 4, "BLOCK": 60, "HUB_KEYS": 1}.items():
+        for name, value in {"BANDED": 3, "ROUNDS": 1, "CROWDED": 40, "HUB_KEYS": 1}.items():
             monkeypatch.setattr(ngram_join, name, value)
-        monkeypatch.setattr(components, "FEW_EDGES", 3)
         monkeypatch.setattr(shared, "HOT_ROWS", 10)
         monkeypatch.setattr(ngram_join, "STRETCH", 100)
     rows = documents(k + forced)
