@@ -32,13 +32,30 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df. Its files go with the innermost ``scratch``, or else when the driver ends."""
     shared_folder(df.sparkSession)
     with small_batches(df.sparkSession):
-        out = df.checkpoint()
+        out = _with_bounded_size(df.checkpoint())
     _MADE[-1].append((df.sparkSession, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()))
     if next(_CUTS) % COLLECT_EACH == 0:
         collect_garbage(df.sparkSession)
     return out
 
 
+#: Estimated sizes of checkpoints of more bits are replaced by Spark's default, which no choice of a join takes for small.
+SIZE_BITS = 62
+
+
+def _with_bounded_size(df: DataFrame) -> DataFrame:
+    """df, a checkpoint, with an estimated size that is bounded. Spark takes the product of both sides for the size of
+    a join, and a checkpoint keeps that estimate: over many joins and checkpoints its digits double and double again, until
+    planning spends its time on multiplying them."""
+    spark, plan = df.sparkSession, df._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes().bit_length() <= SIZE_BITS:
+        return df
+    jvm = spark._jvm
+    parts = plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream()
+    bounded = jvm.org.apache.spark.sql.execution.LogicalRDD(*parts, spark._jsparkSession, jvm.scala.Option.empty(), jvm.scala.Option.apply(plan.constraints()))
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, bounded), spark)
+
+
 #: Spark deletes the files of a shuffle once the JVM has collected what refers to it, so operators of many steps ask for
 #: that after so many checkpoints.
 COLLECT_EACH = 8
