@@ -377,8 +377,8 @@ def _often(codes: DataFrame) -> np.ndarray:
 def _blocks(under: DataFrame, near: DataFrame, percent: int, anew: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) that can link of the units under crowded postings (w, band, unit, n, c). Near copies share many of these,
     so units that postings join are one crowd, in which each pair is tested once for a size band. The largest component in
-    a crowd is not paired with itself; crowds are cut to blocks, and a task has two of them. That is linear in a crowd with
-    few units beside its largest component; what is said of the units (unit, n, c) of other crowds is up to anew."""
+    a crowd is not paired with itself: units beside it and all units are cut to blocks each, and a task has one of either. That
+    is linear in a crowd with few units beside its largest component; what is said of the units (unit, n, c) of other crowds is up to anew."""
     under = cut(under.select("w", "band", "unit", "n", "c"))
     if under.isEmpty():
         return under.select(F.col("unit").alias("a"), F.col("unit").alias("b"))
@@ -389,16 +389,18 @@ def _blocks(under: DataFrame, near: DataFrame, percent: int, anew: Callable[[Dat
     band = F.floor(F.log(F.col("n")) / -math.log(percent / 100 - 1e-9)).cast("int")
     units = cut(units.select("unit", "n", "c", F.explode(F.array(band, band + 1)).alias("size"), F.col("root").alias("crowd")))
     sizes = units.groupBy("crowd", "size", "c").agg(F.count("*").alias("k")).groupBy("crowd", "size").agg(F.max_by("c", "k").alias("most"), (F.sum("k") - F.max("k")).alias("rest"), F.sum("k").alias("k"))
-    sizes = cut(sizes)
+    sizes = cut(sizes.where("rest > 0"))
     units = dealt_join(units, sizes, ["crowd", "size"], hot_keys(sizes, ["crowd", "size"], "k"), F.xxhash64("unit"))
     found = None
     if anew is not None and not (wide := cut(units.where(F.col("rest") > BLOCK).select("unit", "n", "c").distinct())).isEmpty():
         found, units = anew(wide), units.where(F.col("rest") <= BLOCK)
-    units = units.withColumn("blocks", F.ceil(F.col("k") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
-    units = cut(units.select("unit", "n", "c", "size", "crowd", "blocks", "own", (F.col("c") == F.col("most")).alias("main")).join(near.select("unit", "bits"), "unit"))
-    spread = lambda rows, mine, other: rows.select("crowd", "size", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(other), "unit", "n", "c", "main", "bits")
+    units = units.withColumns({"is": F.ceil(F.col("rest") / BLOCK), "js": F.ceil(F.col("k") / BLOCK), "main": F.col("c") == F.col("most")})
+    units = cut(units.select("unit", "n", "c", "size", "crowd", "is", "js", "main").join(near.select("unit", "bits"), "unit"))
+    block = lambda count: F.pmod(F.xxhash64("unit"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     keys = ["crowd", "size", "i", "j"]
-    x, y = spread(units.where("not main"), "i", "j").groupBy(keys), spread(units, "j", "i").groupBy(keys)
+    x = units.where("not main").withColumn("i", block("is")).withColumn("j", every("js")).groupBy(keys)
+    y = units.withColumn("j", block("js")).withColumn("i", every("is")).groupBy(keys)
     met = x.cogroup(y).applyInArrow(_tester(percent), "a binary, b binary").distinct()
     return met if found is None else met.unionByName(found)
 
