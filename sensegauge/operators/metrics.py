@@ -26,7 +26,7 @@ class ModelUnavailable(RuntimeError):
 
 #: Metrics of two word lists (original, simplification).
 LISTS: dict[str, Callable] = {
-    "SARI": lambda o, s: overlap.sari(o, s, [o]),
+    "SARI": overlap.sari_own,
     "BLEU": overlap.bleu,
     "METEOR (exact)": overlap.meteor_exact,
     "TER": lambda o, s: 100 - overlap.ter(o, s),
@@ -95,8 +95,14 @@ def _lists(pairs: DataFrame, names: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            both = list(zip(batch.column("_o").to_pylist(), batch.column("_s").to_pylist(), strict=True))
-            columns = [pa.array([f(o, s) if o and s else None for o, s in both], pa.float64()) for f in functions]
+            scores: list[list[float | None]] = [[] for _ in functions]
+            for o, s in zip(batch.column("_o").to_pylist(), batch.column("_s").to_pylist(), strict=True):
+                if o and s:
+                    a = overlap.Text(o)
+                    b = a if s == o else overlap.Text(s)
+                for out, f in zip(scores, functions, strict=True):
+                    out.append(f(a, b) if o and s else None)
+            columns = [pa.array(x, pa.float64()) for x in scores]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *names])
 
     return cut.mapInArrow(run, schema)

@@ -125,3 +125,52 @@ def test_alignments_against_plain_programmes():
         assert overlap.lcs(a, b) == c[n][m] and overlap._distance(a, b) == d[n][m]
         if a:
             assert overlap.ter(a, b) <= 100 * d[n][m] / n + 1e-9
+
+
+def _plain_ter(reference, prediction, words=10, far=50, most=1000):
+    """Shifts measured one by one."""
+    best, hyp, shifts = overlap._distance(prediction, reference), list(prediction), 0
+    while True:
+        found, tried = None, 0
+        for i in range(len(hyp)):
+            for j in (j for j, w in enumerate(reference) if w == hyp[i]):
+                if i == j or abs(i - j) > far or (j < len(hyp) and hyp[j] == reference[j]) or tried >= most:
+                    continue
+                n = next((n for n in range(words) if i + n >= len(hyp) or j + n >= len(reference) or hyp[i + n] != reference[j + n]), words)
+                rest, tried = hyp[:i] + hyp[i + n :], tried + 1
+                moved = rest[:j] + hyp[i : i + n] + rest[j:]
+                key = (best - overlap._distance(moved, reference), n, -i)
+                if key[0] > 0 and (found is None or key > found[0]):
+                    found = key, moved
+        if found is None:
+            return 100 * (best + shifts) / len(reference)
+        hyp, shifts, best = found[1], shifts + 1, best - found[0][0]
+
+
+def test_shifts_that_are_measured_together(monkeypatch):
+    monkeypatch.setattr(overlap, "FIRST", 2)
+    monkeypatch.setattr(overlap, "TOGETHER", 5)
+    rng = random.Random(11)
+    for _ in range(150):
+        a, b = ([f"w{rng.randrange(6)}" for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        assert overlap.ter(a, b) == _plain_ter(a, b)
+        assert overlap.ter(a, b, shifts_tried=3) == _plain_ter(a, b, most=3)
+
+
+def test_many_unrelated_words_are_measured_in_few_steps(monkeypatch):
+    """Texts of one kind share their common words: hundreds of shifts a round, of which none may take a table of its own."""
+    tables, real = [], overlap._distance
+    monkeypatch.setattr(overlap, "_distance", lambda a, b: tables.append(1) or real(a, b))
+    rng = random.Random(3)
+    a, b = ([f"w{int(rng.random() ** 3 * 60)}" for _ in range(120)] for _ in range(2))
+    overlap.ter(a, b)
+    assert len(tables) <= 1
+
+
+def test_a_source_that_is_its_own_reference():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([f"w{rng.randrange(5)}" for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        x, y = overlap.Text(a), overlap.Text(b)
+        assert overlap.sari_own(x, y) == overlap.sari(a, b, [a])
+        assert (overlap.bleu(x, y), overlap.rouge_n(x, y, 2)) == (overlap.bleu(a, b), overlap.rouge_n(a, b, 2))
