@@ -25,6 +25,17 @@ def predictions(table: DataFrame, kind: str) -> DataFrame:
     return with_pvalue(out) if kind == TEST else out
 
 
+def all_predictions(table: DataFrame) -> DataFrame:
+    """split, stat, value: ``predictions`` of all three kinds (split, prediction, label) from one aggregation. A kind without
+    rows has its rows of statistics, which are null."""
+    of = lambda kind, c: F.when(F.col("split") == kind, F.col(c))
+    named = {f"{kind}.{k}": c for kind in (TEST, IDENTICAL, UNRELATED) for k, c in aggregates(kind, of(kind, "prediction"), of(kind, "label"), population=True).items()}
+    wide = table.agg(*(c.alias(k.replace(".", "__")) for k, c in named.items()))
+    wide = wide.withColumn(f"{TEST}__pearson_pvalue", stats.pearson_pvalue(F.col(f"{TEST}__pearson_corr"), F.col(f"{TEST}__n").cast("double"))).drop(f"{TEST}__n")
+    name = F.split("name", "__")
+    return wide.unpivot([], wide.columns, "name", "value").select(name[0].alias("split"), name[1].alias("stat"), "value")
+
+
 def with_pvalue(summary: DataFrame) -> DataFrame:
     return summary.withColumn("pearson_pvalue", stats.pearson_pvalue(F.col("pearson_corr"), F.col("n").cast("double"))).drop("n")
 

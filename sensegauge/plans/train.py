@@ -23,11 +23,16 @@ def _inputs(scored: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, names: Iterable[str] = FEATURES, regularisation: float = 0.1):
-    """train: pairs with labels. Scores that are null are imputed by the mean."""
+    """train: pairs with labels. Scores that are null are imputed by the mean. The stages read the scores several times, so
+    these are kept meanwhile; pairs are scored once."""
     names = list(names)
     columns = [f"x{i}" for i in range(len(names))]
     stages = [Imputer(inputCols=columns, outputCols=columns), VectorAssembler(inputCols=columns, outputCol="features"), LinearRegression(labelCol="label", regParam=regularisation)]
-    return Pipeline(stages=stages).fit(_inputs(metrics.score(train, names), names).where("label is not null"))
+    scores = _inputs(metrics.score(train, names), names).where("label is not null").persist()
+    try:
+        return Pipeline(stages=stages).fit(scores)
+    finally:
+        scores.unpersist()
 
 
 def predict(model, pairs: DataFrame, names: Iterable[str] = FEATURES) -> DataFrame:
@@ -36,13 +41,8 @@ def predict(model, pairs: DataFrame, names: Iterable[str] = FEATURES) -> DataFra
 
 
 def evaluate(predicted: DataFrame) -> DataFrame:
-    """split, stat, value of the three kinds of split."""
-    out = None
-    for kind in (summary.TEST, summary.IDENTICAL, summary.UNRELATED):
-        row = summary.predictions(predicted.where(F.col("split") == kind), kind)
-        tall = row.withColumn("split", F.lit(kind)).unpivot(["split"], [c for c in row.columns], "stat", "value")
-        out = tall if out is None else out.unionByName(tall)
-    return out
+    """split, stat, value of the three kinds of split, from one pass."""
+    return summary.all_predictions(predicted)
 
 
 def sweep(pairs: DataFrame, holdouts: DataFrame, seeds: Iterable[int], share: float = 0.8, names: Iterable[str] = FEATURES) -> DataFrame:

@@ -183,6 +183,30 @@ def test_regression_learns_a_rule(spark):
     assert out["pearson_corr"] > 0.95
 
 
+def test_training_scores_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(o, s):
+        made.add(1)
+        return float(len(s)) if s else None
+
+    metrics.use_model("counted", counted)
+    try:
+        rows = [(i, "test", "a b c", "a " * (i % 5 + 1), 10.0 * (i % 5)) for i in range(20)] + [(90, "same_sentence", "a b", "a b", 100.0)]
+        p = spark.createDataFrame(rows, "pair_id bigint, split string, original string, simplification string, label double")
+        model = train.fit(p.where("split = 'test'"), ["counted"])
+        assert made.value == 20
+        got = {(r["split"], r["stat"]): r["value"] for r in train.evaluate(train.predict(model, p, ["counted"])).collect()}
+        assert made.value == 41
+        predicted = train.predict(model, p, ["counted"])
+        for kind in ("test", "same_sentence", "irrelevant_sentence"):
+            row = summary.predictions(predicted.where(F.col("split") == kind), kind).first().asDict()
+            assert {k: v for (s, k), v in got.items() if s == kind} == pytest.approx(row, nan_ok=True)
+    finally:
+        metrics._MODELS.pop("counted")
+
+
 def test_relative_probability(spark):
     df = spark.createDataFrame([([[0.0, 1.0, 3.0], [2.0, 2.0, 1.0]], [1, -1])], "logits array<array<double>>, labels array<int>")
     assert df.select(coverage.relative_probability(F.col("logits"), F.col("labels"))).first()[0] == pytest.approx([2.718281828**-2, 0.0])
