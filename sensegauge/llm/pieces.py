@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search goes over the pieces that begin at each place of the text and keeps, for each place, the best path to it as a
+The search goes over the pieces that end at each place of the text and keeps, for each place, the best path to it as a
 backpointer. Only places within the longest piece of the current one can still be left by a piece, so the window is that
 long; whenever the backpointer paths of all these places meet in one boundary, the ids before it are final and are
 committed. The search's memory is that window, whatever the length of a text (where paths never meet, which no text of
@@ -83,24 +83,44 @@ class Codec:
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.ids = {p: i for i, p in enumerate(v.pieces) if i not in v.special}
-        #: For each character the id of the piece that ends there, if one does, and the next characters likewise.
-        self.trie: dict[str, list] = {}
-        for p, i in self.ids.items():
-            node = [None, self.trie]
-            for char in p:
-                node = node[1].setdefault(char, [None, {}])
-            node[0] = i
+        #: For each piece whether it may stand after a piece, as far as that has been asked.
+        self.pairs: dict[int, dict[int, bool]] = {i: {} for i in self.ids.values()}
+        self.n_pairs = 0
+        self.root = self._automaton()
         self.longest = max(map(len, self.ids))
         self.window = 0  # places that the search has held at once, at most
         self.floor = min(v.scores) - 10
         self.words, self.tokens = Known(), Known()
-        self.pairs: dict[int, dict[int, bool]] = {}
-        self.n_pairs = 0
         self.word, self.odd = self._words()
         self.space = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         back = {i: bytes([b]) for b, i in v.bytes.items()}
         self.out = [back.get(i, b"" if i in v.special else p.replace(SPACE, " ").encode()) for i, p in enumerate(v.pieces)]
 
+    def _automaton(self) -> dict:
+        """For what has been read last, as far as a piece goes on with it: by character the state after it. Under "" stand the
+        pieces that end in a state, the longest first, with their lengths and what is known of pairs, and under None the state to go on from where a
+        character leads nowhere (Aho and Corasick 1975), and under 0 how many characters it has."""
+        root: dict = {"": (), None: None, 0: 0}
+        for p, i in self.ids.items():
+            state = root
+            for char in p:
+                state = state.setdefault(char, {"": (), None: root, 0: state[0] + 1})
+            state[""] = ((i, len(p), self.pairs[i]),)
+        level = [state for char, state in root.items() if char]
+        while level:  # shorter states are done first
+            further = []
+            for state in level:
+                for char, after in state.items():
+                    if char:
+                        shorter = state[None]
+                        while shorter is not None and char not in shorter:
+                            shorter = shorter[None]
+                        after[None] = root if shorter is None else shorter[char]
+                        after[""] += after[None][""]
+                        further.append(after)
+            level = further
+        return root
+
     def _words(self) -> tuple[re.Pattern | None, re.Pattern | None]:
         """Splits text where no piece goes on: before a space after something else, and before a sign after what is no
         sign. Also finds the few pairs of characters that some piece has there nevertheless; texts with these are split
@@ -134,15 +154,15 @@ class Codec:
         return parts
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether piece b may stand after piece a."""
-        own = self.pairs.get(a)
-        known = own.get(b) if own is not None else None
+        """Whether piece b may stand after piece a (-1: after none)."""
+        known = self.pairs[b].get(a)
         if known is None:
             if self.n_pairs >= PAIRS:
-                self.pairs.clear()
+                for pairs in self.pairs.values():
+                    pairs.clear()
                 self.n_pairs = 0
-            p, q = self.v.pieces[a], self.v.pieces[b]
-            known = self.pairs.setdefault(a, {})[b] = self.merge(p + q) == [p, q]
+            parts = [self.v.pieces[x] for x in (a, b) if x >= 0]
+            known = self.pairs[b][a] = self.merge("".join(parts)) == parts
             self.n_pairs += 1
         return known
 
@@ -153,46 +173,49 @@ class Codec:
         longest piece, the places that later pieces can begin at are followed back until they meet; what is before is
         final, and the window moves there."""
         stop = len(text) if stop is None else stop
-        root, pairs, none, longest = self.trie, self.pairs, {}, self.longest
-        bpe, scores, floor, worst = self.v.bpe, self.v.scores, self.floor, float("-inf")
+        root, longest, bpe, scores, floor, worst, state = self.root, self.longest, self.v.bpe, self.v.scores, self.floor, float("-inf"), self.root
         # for place base + k: id of the piece that ends there (-1: unknown character, or the beginning), where that piece
         # begins, and for unigram models the score of the path
         base, at, last, back, best = start, start, [-1], [start - 1], [0.0]
         while at < stop:
             end = min(stop, at + STEP * longest)
-            size, need = len(last), min(stop, end + longest) - base + 1
-            last.extend([-1] * (need - size))
-            back.extend(range(base + size - 1, base + need - 1))
+            size = len(last)
+            last.extend([-1] * (end - base + 1 - size))
+            back.extend(range(base + size - 1, end))
             if not bpe:
-                best.extend([worst] * (need - size))
-            for i in range(at, end):
-                k = i - base
-                a, kids, j = last[k], root, k
-                known = pairs.get(a, none)
-                for char in text[i : min(i + longest, stop)]:
-                    node = kids.get(char)
-                    if node is None:
+                best.extend([worst] * (end - base + 1 - size))
+            for j, char in enumerate(text[at:end], at - base + 1):
+                while (after := state.get(char)) is None:
+                    if state is root:
+                        after = root
                         break
-                    j += 1
-                    piece, kids = node
-                    if piece is None:
-                        continue
-                    if bpe:
-                        if a >= 0 and (ok := known.get(piece)) is not True and (ok is False or not self.follows(a, piece)):
-                            continue
-                        last[j], back[j] = piece, i
-                    elif best[k] + scores[piece] > best[j]:
-                        last[j], back[j], best[j] = piece, i, best[k] + scores[piece]
-                if not bpe and best[k] + floor > best[k + 1] and ((node := root.get(text[i])) is None or node[0] is None):
-                    last[k + 1], back[k + 1], best[k + 1] = -1, i, best[k] + floor
-            self.window = max(self.window, len(last))
-            # places from ``end`` on that a piece from before ends at; all later paths go through one of them
-            live = {p for p in range(end, base + len(last)) if p == end or back[p - base] < end} if end < stop else {stop}
-            while len(live) > 1:
-                top = max(live)
-                live.remove(top)
-                live.add(back[top - base])
-            (meet,) = live
+                    state = state[None]
+                state = after
+                if bpe:
+                    for piece, n, known in state[""]:
+                        if n <= j and (ok := known.get(last[j - n])) is not False and (ok or self.follows(last[j - n], piece)):
+                            last[j], back[j] = piece, base + j - n
+                            break
+                else:
+                    for piece, n, _ in state[""]:
+                        if n <= j and best[j - n] + scores[piece] > best[j]:
+                            last[j], back[j], best[j] = piece, base + j - n, best[j - n] + scores[piece]
+                    if best[j - 1] + floor > best[j] and char not in self.ids:
+                        last[j], back[j], best[j] = -1, base + j - 1, best[j - 1] + floor
+            if len(last) > self.window:
+                self.window = len(last)
+            # places that pieces which end later can begin at; all later paths go through one of them
+            meet = end
+            if end < stop:
+                live, going = {end}, state
+                while going is not root:
+                    live.add(max(base, end - going[0]))
+                    going = going[None]
+                while len(live) > 1:
+                    top = max(live)
+                    live.remove(top)
+                    live.add(back[top - base])
+                (meet,) = live
             ids, p = [], meet
             while p > base:
                 piece, before = last[p - base], back[p - base]
@@ -227,11 +250,16 @@ class Codec:
                 found = list(map(self.tokens.get, tokens))
                 for i in [i for i, ids in enumerate(found) if ids is None]:
                     token = tokens[i]
-                    ids = self.tokens.get(token) or self.tokens.again(token) or b"".join(self.of_stretch(SPACE + token))
+                    ids = self.tokens.get(token) or self.tokens.again(token)
+                    if not ids:  # letters and digits alone are one word
+                        ids = self.found(SPACE + token) if token.isalnum() else b"".join(self.of_stretch(SPACE + token))
                     found[i] = self.tokens.add(token, ids)
                 yield b"".join(found)
             at = cut
 
+    def found(self, word: str) -> bytes:
+        return b"".join(array("i", ids).tobytes() for ids in self.search(word))
+
     def encode(self, text: str) -> bytes:
         return b"".join(self.coded(text))
 
@@ -243,7 +271,7 @@ class Codec:
                 continue
             w = m.group()
             known, key = (self.tokens, w[1:]) if w[0] == SPACE and len(w) > 1 and w[1] != SPACE else (self.words, w)
-            ids = known.get(key) or known.again(key) or array("i", [i for ids in self.search(w) for i in ids]).tobytes()
+            ids = known.get(key) or known.again(key) or self.found(w)
             yield known.add(key, ids)
 
     def decode(self, ids: Iterable[int]) -> str:

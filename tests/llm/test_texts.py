@@ -197,6 +197,17 @@ def test_the_window_does_not_follow_the_length_of_a_word(library):
     assert codec.window <= (2 * pieces.STEP + 2) * codec.longest and longest <= codec.window * 4
 
 
+def test_a_place_is_settled_by_the_first_piece_that_fits(library):
+    """A place has one path, so no other piece that ends there is asked for once one fits."""
+    codec = pieces.Codec(pieces.Vocabulary.read())
+    word = "▁internationalizationandcounterrevolutionarieswithoutunderstanding"
+    assert [i for part in codec.search(word) for i in part] == library.encode(word[1:])
+    lasts = [-1, *(library.encode(word[1:j])[-1] for j in range(2, len(word) + 1))]
+    lasts.insert(1, codec.ids["▁"])
+    ends = {(lasts[i], codec.ids[word[i:j]]) for j in range(1, len(word) + 1) for i in range(j) if word[i:j] in codec.ids}
+    assert codec.n_pairs < 0.8 * len(ends)
+
+
 def test_parts_of_a_text_are_cut_where_paths_meet(library, monkeypatch):
     monkeypatch.setattr(pieces, "CHUNK", 7)
     codec = pieces.Codec(pieces.Vocabulary.read())
