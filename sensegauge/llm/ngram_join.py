@@ -332,17 +332,17 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def _crowds(docs: DataFrame, rule: Rule, crowd: DataFrame, near: DataFrame, bare: bool) -> DataFrame:
     """Pairs (a, b) that can link of the units of a crowd (unit, n, c), under keys of an order in which windows that many
-    of these units have come last."""
+    of these units have come last, the more of them the later: with many units, sets have hardly any other windows."""
     codes = _codes(docs, rule, near.join(crowd.select("unit"), "unit", "left_semi"), bare)
     sent = docs.sparkSession.sparkContext.broadcast(_often(codes))
 
     def run(batches):
-        often = sent.value
+        often, scale = sent.value
         for batch in (b for b in batches if b.num_rows):
             found = []
             for raw in batch.column("codes"):
                 p = np.frombuffer(raw.as_buffer(), np.uint64)
-                p = p[np.lexsort((p, np.isin(p, often)))][: int(rule.prefix(np.int64(len(p))))]
+                p = p[np.lexsort((p, _scale(p, often, scale)))][: int(rule.prefix(np.int64(len(p))))]
                 found.append(np.unique(_keys(p)))
             yield pa.RecordBatch.from_arrays([batch.column("unit").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))), pa.array(np.concatenate(found).view(np.int64))], ["unit", "w"])
 
@@ -356,8 +356,17 @@ def _crowds(docs: DataFrame, rule: Rule, crowd: DataFrame, near: DataFrame, bare
     return _pairs(posted.where(F.col("units") <= CROWDED), rule.percent).unionByName(_blocks(posted.where(F.col("units") > CROWDED), near, rule.percent))
 
 
-def _often(codes: DataFrame) -> np.ndarray:
-    """Sorted windows that CROWDED units or more have; if there are over MAX_OFTEN, only the most frequent of them."""
+def _scale(codes: np.ndarray, often: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The scale of each window, 0 for those that are not in often (sorted)."""
+    if not len(often):
+        return np.zeros(len(codes), np.int8)
+    at = np.minimum(np.searchsorted(often, codes), len(often) - 1)
+    return np.where(often[at] == codes, scale[at], np.int8(0))
+
+
+def _often(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted windows that CROWDED units or more have, and for each the binary logarithm of how many have it; if there are
+    over MAX_OFTEN, only the most frequent of them."""
 
     def run(batches):
         for batch in batches:
@@ -371,7 +380,10 @@ def _often(codes: DataFrame) -> np.ndarray:
         if (total := total + n) > MAX_OFTEN:
             break
         least = s
-    return np.sort(counts.where(F.floor(F.log2("k")) >= least).select("code").toArrow().column("code").to_numpy().view(np.uint64))
+    found = counts.select("code", F.floor(F.log2("k")).cast("tinyint").alias("s")).where(F.col("s") >= least).toArrow()
+    often, level = found.column("code").to_numpy().view(np.uint64), found.column("s").to_numpy()
+    order = np.argsort(often)
+    return often[order], level[order]
 
 
 def _blocks(under: DataFrame, near: DataFrame, percent: int, anew: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -104,6 +104,28 @@ def test_join_of_pages_of_one_template(spark, monkeypatch):
     assert seen and seen[0] <= 60  # of 16,000 pairs
 
 
+def test_join_of_pages_whose_every_window_is_frequent(spark, monkeypatch):
+    """With many pages each window is in several of them, so keys are of those windows that the fewest pages have."""
+    for name, value in {"CROWDED": 8, "BLOCK": 20, "HUB_KEYS": 1}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    seen, own = [], ngram_join._blocks
+
+    def counted(under, near, percent, anew=None):
+        if anew is None:
+            seen.append(under.count())
+        return own(under, near, percent, anew)
+
+    monkeypatch.setattr(ngram_join, "_blocks", counted)
+    random.seed(4)
+    template = [f"w{i}" for i in range(60)]
+    parts = [[f"p{i}-{j}" for j in range(6)] for i in range(60)]
+    rows = [(i, " ".join([*template[:30], *(w for p in random.sample(parts, 6) for w in p), *template[30:]])) for i in range(120)]
+    rows += [(200 + i, t.replace("w3 ", "x ", 1)) for i, t in rows[::9]]
+    got = sorted((tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=str)
+    assert got == brute_join(rows, 3, 90)
+    assert seen and seen[0] < 100  # units under crowded keys of the new order
+
+
 def test_join_of_very_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long), (2, long + " more"), (3, long.replace("w5 ", "x ", 1)), (4, "a " * 100_000), (5, "a " * 50_000)]
