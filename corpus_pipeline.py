@@ -14,18 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensegauge.llm import decontaminate, line_dedup, ngram_join, pieces, toxicity
-from sensegauge.llm.shared import BATCH_ROWS, at_end, delete, scratch, shared_folder, small_batches, table
+from sensegauge.llm.shared import BATCH_ROWS, at_end, collect_garbage, delete, scratch, shared_folder, small_batches, table
 
 
 def lean(stage):
     """The stage with Arrow batches of BATCH_ROWS rows at most, which is set for the session: whoever runs the stage writes
-    its rows, and documents may be long. ``run`` sets it back."""
+    its rows, and documents may be long. ``run`` sets it back. What stages before left in the driver's memory goes first."""
 
     @functools.wraps(stage)
     def of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
         if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
             spark.conf.set(rows, str(BATCH_ROWS))
+        collect_garbage(spark)
         return stage(spark, docs, sf_dir)
 
     return of

@@ -8,9 +8,12 @@ import gc
 import itertools
 import math
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensegauge.llm.kernels import tidy
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. A folder of its own only where that is unset and the master is local, as in tests:
@@ -63,8 +66,23 @@ _CUTS = itertools.count(1)
 
 
 def collect_garbage(spark: SparkSession) -> None:
+    """Collects the driver's garbage, and gives free memory that its two processes hold outside the heap back to the system:
+    planning and the threads of many exchanges leave the JVM hundreds of MB of it."""
     gc.collect()  # Python's own references to the JVM's objects first
     spark._jvm.System.gc()
+    tidy()
+    with contextlib.suppress(Py4JError):  # JVMs other than HotSpot from 17 on, on Linux, have no such command
+        trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """What ``jcmd System.trim_native_heap`` does, for the driver's JVM. The server's class is not exported, its interface is."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    name, kinds, given = jvm.java.lang.Class.forName, array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = name(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    return name("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 #: Rows of an Arrow batch at most, while an operator's own tables are written: documents may be long, and a batch is in

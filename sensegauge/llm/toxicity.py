@@ -23,12 +23,14 @@ one with the lowest code is picked; other columns are ignored by ``score`` and k
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensegauge.llm.kernels import ALNUM_LOWER, SLICE_BYTES, Words, bit_table, map_slices, member, mix, text_bytes, tidy
+from sensegauge.llm.kernels import ALNUM_LOWER, Words, bit_table, map_slices, member, mix, slices, text_bytes, tidy
 
 MAX_ROWS = 1500
 MAX_CHARS = 100_000
@@ -37,6 +39,8 @@ SPAN_MARGINAL = 0.5
 MAX_SENTENCES = 15_000
 #: Words of a sentence that are fitted as one run, at most.
 RUN_WORDS = 400
+#: Bytes of text of which the fit has the tokens at once.
+FIT_BYTES = 1 << 18
 STEMS = (4, 5, 6, 7)
 _PREV, _NEXT = np.uint64(0x51ED270B), np.uint64(0x3C6EF372)
 
@@ -158,19 +162,39 @@ def inputs(total: np.ndarray, top: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), np.log1p(total), top, np.minimum(1, 20 * total / np.maximum(1, words))], 1)
 
 
-def _tokens(texts: list[str]) -> Tokens:
-    return Tokens(*text_bytes(pa.array(texts, pa.string())))
-
-
-def picked_forms(docs: np.ndarray, codes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Codes picked greedily: (docs, codes) are pairs without repeats, toxic the label of each document."""
-    forms, code = np.unique(codes, return_inverse=True)
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    in_clean = np.bincount(code[~toxic[docs]], minlength=len(forms))
-    in_toxic = np.bincount(code[toxic[docs]], minlength=len(forms))
-    good = (in_toxic >= 3) & ((in_clean + 0.5) / (n_clean + 1) * 20 < in_toxic / (n_toxic + 1))
-    use = good[code] & toxic[docs]
-    docs, code, open_, out = docs[use], code[use], toxic.copy(), []
+def _distinct(tokens: Tokens, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are used and the codes of their word forms and stems, each pair once."""
+    row, docs, codes = tokens.words.rows(), [], []
+    for c in tokens.own():
+        at = np.flatnonzero((c != 0) & use[row])
+        at = at[np.unique(mix(c[at] + mix(row[at].astype(np.uint64))), return_index=True)[1]]
+        docs.append(row[at])
+        codes.append(c[at])
+    return np.concatenate(docs), np.concatenate(codes)
+
+
+def picked_forms(parts: Callable[[], Iterator[tuple[int, Tokens]]], toxic: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Sorted codes picked greedily from the documents that are single. parts() gives the first row and the tokens of each slice; toxic
+    is the label of each row. Pairs of document and code are kept of toxic documents and frequent forms only."""
+    forms, counts = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
+    for first, tokens in parts():
+        docs, codes = _distinct(tokens, single[first:])
+        every, at = np.unique(np.concatenate([forms, codes]), return_inverse=True)
+        before, at = at[: len(forms)], at[len(forms) :]
+        both = np.stack([np.bincount(at[toxic[first + docs] == k], minlength=len(every)) for k in (0, 1)])
+        both[:, before] += counts
+        forms, counts = every, both
+    in_clean, in_toxic = counts
+    open_ = toxic & single
+    n_toxic, n_clean = int(open_.sum()), int((~open_).sum())
+    good = forms[(in_toxic >= 3) & ((in_clean + 0.5) / (n_clean + 1) * 20 < in_toxic / (n_toxic + 1))]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for first, tokens in parts():
+        docs, codes = _distinct(tokens, open_[first:])
+        use = np.isin(codes, good)
+        found.append((first + docs[use], np.searchsorted(forms, codes[use])))
+    docs, code = (np.concatenate(x) for x in zip(*found))
+    out = []
     least = max(3, round(0.004 * n_toxic))
     while len(code):
         left = np.bincount(code, minlength=len(forms))
@@ -181,7 +205,7 @@ def picked_forms(docs: np.ndarray, codes: np.ndarray, toxic: np.ndarray) -> np.n
         open_[docs[code == best]] = False
         rest = open_[docs]
         docs, code = docs[rest], code[rest]
-    return forms[out]
+    return np.sort(forms[out])
 
 
 def runs(begins: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,53 +223,70 @@ def fit(rows: list[tuple[str, int]], shares: tuple[float, float] | None = None,
     if not toxic.any() or toxic.all():
         logit = np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))
         return Model(none.astype(np.uint64), none, -20.0, np.zeros(3), np.array([logit, 0, 0, 0]))
-    tokens = _tokens(texts)
-    w, n = tokens.words, len(texts)
-    row = w.rows()
+    n, sample = len(texts), pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    def parts() -> Iterator[tuple[int, Tokens]]:
+        """The first row and the tokens of each slice. Tokens take many times the memory of the text, so they are made anew each time."""
+        first = 0
+        for part in slices(sample, size=FIT_BYTES):
+            yield first, Tokens(*text_bytes(part.column("text")))
+            first += part.num_rows
+
     # near copies count as one document: those whose smallest word hash is the same
-    least = np.zeros(n, np.uint64)
-    some = np.flatnonzero(w.counts() > 0)
-    least[some] = np.minimum.reduceat(mix(w.codes), w.ptr[some]) if len(some) else 0
+    least, n_words, n_tokens, begins, sizes = np.zeros(n, np.uint64), np.zeros(n, np.int64), 0, [], []
+    for first, tokens in parts():
+        w = tokens.words
+        some = np.flatnonzero(w.counts() > 0)
+        least[first + some] = np.minimum.reduceat(mix(w.codes), w.ptr[some]) if len(some) else 0
+        n_words[first : first + len(w.counts())] = w.counts()
+        begins.append(n_tokens + tokens.begins)
+        sizes.append(tokens.sizes)
+        n_tokens += tokens.n
     _, keep = np.unique(np.stack([least, toxic.astype(np.uint64)]), axis=1, return_index=True)
     single = np.zeros(n, bool)
     single[keep] = True
-    docs, codes = [], []
-    for c in tokens.own():
-        at = np.flatnonzero((c != 0) & single[row])
-        at = at[np.unique(mix(c[at] + mix(row[at].astype(np.uint64))), return_index=True)[1]]
-        docs.append(row[at])
-        codes.append(c[at])
-    forms = np.sort(picked_forms(np.concatenate(docs), np.concatenate(codes), toxic & single))
-    del docs, codes
-    tagged = np.zeros(tokens.n, bool)
-    for c in tokens.own():
-        tagged |= np.isin(c, forms)
-    tagged &= toxic[row]
+    forms = picked_forms(parts, toxic, single)
+    bits, marks, own, beside = bit_table(forms), [], [], []
+    for first, tokens in parts():
+        mark = np.zeros(tokens.n, bool)
+        for c in tokens.own():
+            mark[member(c, forms, bits)] = True
+        mark &= toxic[first + tokens.words.rows()]
+        marks.append(mark)
+        own.append(tokens.words.codes[mark])
+        beside += [c[mark] for c in tokens.beside()]
+    tagged = np.concatenate(marks)
     if not tagged.any():
         return fit([], (1 - rate, rate))
 
     def often(codes: list[np.ndarray], least: int) -> np.ndarray:
-        got, count = np.unique(np.concatenate([c[tagged] for c in codes]), return_counts=True)
+        got, count = np.unique(np.concatenate(codes), return_counts=True)
         return got[(count >= least) & (got != 0)]
 
-    features = np.unique(np.concatenate([forms, often(tokens.own()[:1], 2), often(tokens.beside(), 5)]))
-    begins, run_sizes = runs(tokens.begins, tokens.sizes, RUN_WORDS)
+    features = np.unique(np.concatenate([forms, often(own, 2), often(beside, 5)]))
+    # for each kind of feature, the words that have it, and which it is
+    bits, before, hits = bit_table(features), 0, []
+    for _, tokens in parts():
+        met = [(c, member(c, features, bits)) for c in (*tokens.own(), *tokens.beside())]
+        hits.append([(before + hit, np.searchsorted(features, c[hit])) for c, hit in met])
+        before += tokens.n
+    kinds = [tuple(np.concatenate(x) for x in zip(*kind)) for kind in zip(*hits)]
+    begins, run_sizes = runs(np.concatenate(begins), np.concatenate(sizes), RUN_WORDS)
     sentence = np.repeat(np.arange(len(begins)), run_sizes)
-    has_own = np.zeros(tokens.n, bool)
-    for c in tokens.own():
-        has_own |= np.isin(c, features)
+    has_own = np.zeros(n_tokens, bool)
+    for hit, _ in kinds[: 1 + len(STEMS)]:
+        has_own[hit] = True
     toxic_s, near_s = np.unique(sentence[tagged]), np.unique(sentence[has_own & ~tagged])
     some_of = lambda x, m: x[np.argsort(mix(x.astype(np.uint64)), kind="stable")[:m]]
     use = np.unique(np.concatenate([some_of(x, max_sentences) for x in (toxic_s, near_s, np.arange(len(begins)))]))
     sizes = run_sizes[use]
     at = np.repeat(begins[use] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     y = tagged[at].astype(float)
-    where, which = [], []
-    for c in (*tokens.own(), *tokens.beside()):
-        hit = np.flatnonzero(np.isin(c[at], features))
-        where.append(hit)
-        which.append(np.searchsorted(features, c[at][hit]))
-    where, which = np.concatenate(where), np.concatenate(which)
+    place = np.full(n_tokens, -1)
+    place[at] = np.arange(len(at))
+    where, which = (np.concatenate(x) for x in zip(*((place[hit][place[hit] >= 0], code[place[hit] >= 0]) for hit, code in kinds)))
+    del sentence, has_own, tagged, place, kinds, hits, marks, own, beside, begins, run_sizes
+    tidy()
     chain = Chain(sizes)
     inner = np.concatenate(chain.steps[1:]) if len(chain.steps) > 1 else np.zeros(0, np.int64)
     moved = np.array([((1 - y[inner - 1]) * y[inner]).sum(), (y[inner - 1] * (1 - y[inner])).sum(), (y[inner - 1] * y[inner]).sum()])
@@ -262,8 +303,8 @@ def fit(rows: list[tuple[str, int]], shares: tuple[float, float] | None = None,
         theta = np.clip(theta, -12, 12)
     heavy = np.abs(theta[:-4]) > 1e-3
     model = Model(features[heavy], theta[:-4][heavy], float(theta[-4]), theta[-3:], np.zeros(4))
-    _, _, total, top = model.marginals(tokens)
-    x, t = inputs(total, top, w.counts()), toxic.astype(float)
+    total, top = (np.concatenate(x) for x in zip(*(model.marginals(tokens)[2:] for _, tokens in parts())))
+    x, t = inputs(total, top, n_words), toxic.astype(float)
     weight = np.where(toxic, rate / toxic.mean(), (1 - rate) / (1 - toxic.mean()))
     beta = np.zeros(4)
     ridge = np.diag([1e-6, 0.3, 0.3, 0.3])

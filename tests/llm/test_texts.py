@@ -111,6 +111,26 @@ def test_long_sentences_are_fitted_in_runs():
     assert len(model.codes)
 
 
+def test_the_fit_has_the_tokens_of_a_slice_at_once(monkeypatch):
+    import tracemalloc
+
+    rows = [(" ".join([t] * 30), y) for _, t, y in toxic_rows(400, 7)]
+    tracemalloc.start()
+    model = toxicity.fit(rows, steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.codes) and peak < 30 * sum(len(t) for t, _ in rows)
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 1000)
+    other = toxicity.fit(rows, steps=5)
+    assert (model.codes == other.codes).all() and (model.weights == other.weights).all() and (model.calibration == other.calibration).all()
+
+
+def test_free_memory_of_the_drivers_jvm_is_given_back(spark):
+    from sensegauge.llm import shared
+
+    assert "native heap" in shared.trim_jvm(spark)
+
+
 # --- op5 --------------------------------------------------------------------------------------------------------------
 
 
